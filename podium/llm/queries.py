@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from podium.llm import line_quality
+from podium.llm import decontaminate, line_quality
 
-QUERIES = {"op4_line_quality": line_quality.op4_line_quality}
-SQL = {"op4_line_quality": line_quality.SQL}
+QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_line_quality": line_quality.op4_line_quality,
+}
+SQL = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op4_line_quality": line_quality.SQL,
+}
