@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from podium.llm import decontaminate, line_quality
+from podium.llm import decontaminate, line_quality, substring_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_line_quality": line_quality.op4_line_quality,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_line_quality": line_quality.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }

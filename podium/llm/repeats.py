@@ -1,0 +1,329 @@
+"""Exact removal of long repeated windows (of words or of bytes) from a corpus.
+
+A window of `window` symbols is repeated if its content also starts anywhere else, in the same document or another.
+
+1. Anchors. The smallest of a window's gram hashes (grams of `gram` symbols) is the same wherever the window occurs, so a
+   window can only be repeated if its smallest gram occurs twice. Gram occurrences that are the smallest of some window
+   are counted in a sketch; windows whose smallest gram was estimated to occur once are out, none that repeats is.
+2. Gaps. Between two anchors all windows stand in one stretch of text. A stretch whose whole content occurs twice
+   (grouped exactly on 128 bits) settles all its windows in one row.
+3. Windows. What is left near the ends of repeated passages is settled window by window: unsettled windows are sketched,
+   settled stretches (one representative for each content) contribute those windows that meet the sketch, and the windows
+   that were estimated repeated are grouped exactly on 128 bits.
+
+Nothing is capped. Group sizes never meet in one task: counting is a partial aggregate, and joins are on hashes.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from podium.llm import rolling as R
+from podium.llm import sketch
+from podium.llm.common import ascii_words, whole_text, written
+
+_U = np.uint64
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What a symbol is ("word" or "byte"), the window and the gram in symbols."""
+
+    unit: str
+    window: int
+    gram: int
+
+
+class Batch:
+    """Symbols of a run of documents: values, the documents' offsets in symbols, and each window's smallest gram."""
+
+    def __init__(self, shape: Shape, offsets: np.ndarray, data: np.ndarray):
+        self.shape, self.data = shape, data
+        if shape.unit == "word":
+            self.start, self.end = R.word_bounds(data, offsets[:-1])
+            self.values = R.word_hashes(data, self.start, self.end)
+            self.offsets = np.searchsorted(self.start, offsets)
+        else:
+            self.values, self.offsets = R.byte_values(data), offsets
+        w, k, n = shape.window, shape.gram, len(self.values)
+        self.n = max(0, n - w + 1)
+        self.inside = np.zeros(self.n, dtype=bool)
+        self.least = np.zeros(self.n, dtype=_U)
+        self.anchors = np.zeros(0, dtype=np.int64)
+        self.doc = np.zeros(0, dtype=np.int64)
+        if not self.n:
+            return
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.offsets))[: self.n]
+        self.inside = np.arange(w, w + self.n) <= self.offsets[1:][self.doc]
+        self.sums = R.prefix_sums(self.values, 1)
+        at = np.arange(n - k + 1)
+        grams = R.mix(R.range_hash(self.sums, at, at + k, 1)) | _U(1)
+        self.least = R.sliding_min(grams, w - k + 1)
+        around = np.zeros(self.n + 2 * (w - k), dtype=_U)
+        around[w - k : w - k + self.n] = np.where(self.inside, self.least, _U(0))
+        self.anchors = np.flatnonzero(R.sliding_max(around, w - k + 1) == grams)
+        self.grams = grams
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the content of each range."""
+        if not hasattr(self, "_sums2"):
+            self._sums2 = R.prefix_sums(self.values, 2)
+        size = (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
+        return (
+            R.mix(R.range_hash(self.sums, start, end, 1) + size),
+            R.mix(R.range_hash(self._sums2, start, end, 2) ^ size),
+        )
+
+    def gaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs [start, end) of window starts between anchors; every window inside a document is in one of them."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = np.zeros(self.n + 1, dtype=bool)
+        cut[self.anchors[self.anchors < self.n]] = True
+        cut[self.offsets[self.offsets <= self.n]] = True
+        last = self.offsets[1:] - self.shape.window + 1
+        cut[last[(last > 0) & (last <= self.n)]] = True
+        cut[[0, self.n]] = True
+        edge = np.flatnonzero(cut)
+        start, end = edge[:-1], edge[1:]
+        keep = self.inside[start]
+        return start[keep], end[keep]
+
+    def local(self, at: np.ndarray) -> np.ndarray:
+        """Window starts counted from their document's start."""
+        return (at - self.offsets[:-1][self.doc[np.minimum(at, self.n - 1)]]).astype(np.int32)
+
+
+def _runs(shape: Shape, batch: pa.RecordBatch):
+    """Batches of about 300 kB over an Arrow batch, with the row numbers of their documents."""
+    column = batch.column(batch.schema.get_field_index("data"))
+    for first, offsets, data in R.batches(column, 300_000):
+        yield first, Batch(shape, offsets, data)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """_row, the key of a document (its id and text), and data, its bytes."""
+    text = whole_text()
+    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("_row"), text.cast("binary").alias("data"))
+
+
+def anchor_sketch(rows: DataFrame, shape: Shape, bits: int) -> sketch.Bits:
+    """Grams that are the smallest of a window in two places or more, as far as the sketch can tell."""
+
+    def anchors(batch):
+        for _, b in _runs(shape, batch):
+            yield (b.grams[b.anchors] if len(b.anchors) else np.zeros(0, _U)), 1
+
+    return sketch.build(rows, anchors, bits=bits, at_least=2)
+
+
+def _gap_rows(rows: DataFrame, shape: Shape, flagged) -> DataFrame:
+    """(h1, h2, _row, start, end) of gaps all of whose windows were flagged."""
+
+    def gaps(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, b in _runs(shape, batch):
+                start, end = b.gaps()
+                if not len(start):
+                    continue
+                hot = np.concatenate([[0], np.cumsum(flagged.value.test(b.least) & b.inside)])
+                whole = hot[end] - hot[start] == end - start
+                start, end = start[whole], end[whole]
+                if len(start):
+                    h1, h2 = b.hashes(start, end - 1 + shape.window)
+                    local = b.local(start)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            _signed(h1),
+                            _signed(h2),
+                            pa.array(keys[first + b.doc[start]]),
+                            pa.array(local),
+                            pa.array((local + (end - start)).astype(np.int32)),
+                        ],
+                        names=["h1", "h2", "_row", "start", "end"],
+                    )
+
+    return rows.mapInArrow(gaps, "h1 long, h2 long, _row long, start int, end int")
+
+
+def _candidates(rows: DataFrame, shape: Shape, flagged) -> DataFrame:
+    """Documents with a flagged window."""
+
+    def some(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for first, b in _runs(shape, batch):
+                if b.n:
+                    hot = flagged.value.test(b.least) & b.inside
+                    keep[first + b.doc[hot]] = True
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(some, "_row long, data binary")
+
+
+def _split(batch: pa.RecordBatch, shape: Shape, flagged):
+    """For each run: the unsettled flagged windows, and the windows that stand for settled stretches."""
+    gaps = batch.column(batch.schema.get_field_index("gaps"))
+    for first, b in _runs(shape, batch):
+        if not b.n:
+            continue
+        settled, stands = np.zeros(b.n + 1, dtype=np.int32), np.zeros(b.n + 1, dtype=np.int32)
+        base, size = b.offsets, len(b.offsets) - 1
+        own = gaps.slice(first, size)
+        counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(own).to_pylist()])
+        flat = own.flatten()
+        if len(flat):
+            shift = np.repeat(base[:-1], counts)
+            start = flat.field("start").to_numpy(zero_copy_only=False) + shift
+            end = flat.field("end").to_numpy(zero_copy_only=False) + shift
+            lead = flat.field("lead").to_numpy(zero_copy_only=False)
+            np.add.at(settled, start, 1)
+            np.add.at(settled, end, -1)
+            np.add.at(stands, start[lead], 1)
+            np.add.at(stands, end[lead], -1)
+        settled, stands = np.cumsum(settled[:-1]) > 0, np.cumsum(stands[:-1]) > 0
+        hot = flagged.value.test(b.least) & b.inside & ~settled
+        yield first, b, np.flatnonzero(hot), np.flatnonzero(stands)
+
+
+def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
+    """(_row, data, gaps, at) for the documents that may hold repeats: settled runs of starts, and single starts."""
+    spark = rows.sparkSession
+    flagged = spark.sparkContext.broadcast(anchor_sketch(rows, shape, bits))
+    gap_rows = written(_gap_rows(rows, shape, flagged), "gaps")
+    place = F.struct("_row", "start")
+    shared = gap_rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    settled = (
+        gap_rows.join(shared, ["h1", "h2"])
+        .groupBy("_row")
+        .agg(F.collect_set(F.struct("start", "end", (F.col("first") == place).alias("lead"))).alias("gaps"))
+    )
+    work = written(_candidates(rows, shape, flagged).join(settled, "_row", "left"), "work")
+
+    def unsettled(batch):
+        for _, b, hot, _ in _split(batch, shape, flagged):
+            yield b.hashes(hot, hot + shape.window)[0], 1
+
+    wanted = spark.sparkContext.broadcast(sketch.build(work, unsettled, bits=bits, at_least=1))
+
+    def contributed(b, stands):
+        h1, h2 = b.hashes(stands, stands + shape.window)
+        meets = wanted.value.test(h1)
+        return stands[meets], h1[meets], h2[meets]
+
+    def both(batch):
+        for _, b, hot, stands in _split(batch, shape, flagged):
+            yield b.hashes(hot, hot + shape.window)[0], 1
+            yield contributed(b, stands)[1], 2
+
+    likely = spark.sparkContext.broadcast(sketch.build(work, both, bits=bits, at_least=2))
+
+    def emit(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, b, hot, stands in _split(batch, shape, flagged):
+                h1, h2 = b.hashes(hot, hot + shape.window)
+                keep = likely.value.test(h1)
+                hot, h1, h2 = hot[keep], h1[keep], h2[keep]
+                at, s1, s2 = contributed(b, stands)
+                if len(hot) + len(at):
+                    own = np.concatenate([hot, at])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            _signed(np.concatenate([h1, s1])),
+                            _signed(np.concatenate([h2, s2])),
+                            pa.array(keys[first + b.doc[own]]),
+                            pa.array(b.local(own)),
+                            pa.array(np.concatenate([np.ones(len(hot), np.int32), np.full(len(at), 2, np.int32)])),
+                        ],
+                        names=["h1", "h2", "_row", "start", "n"],
+                    )
+
+    places = work.mapInArrow(emit, "h1 long, h2 long, _row long, start int, n int")
+    repeated = places.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+    repeated = repeated.filter("total > 1 AND least = 1").select("h1", "h2")
+    single = (
+        places.filter("n = 1").join(repeated, ["h1", "h2"]).groupBy("_row").agg(F.collect_set("start").alias("at"))
+    )
+    return work.join(single, "_row", "left")
+
+
+def removed(found: DataFrame, shape: Shape) -> DataFrame:
+    """(_row, n_removed, n_spans, kept): the document without its repeated windows; words are joined by one space."""
+
+    def cut(batches):
+        for batch in batches:
+            keys, data, gaps, at = (batch.column(i) for i in range(4))
+            out = []
+            for i in range(batch.num_rows):
+                raw = data[i].as_py()
+                symbols = raw.split() if shape.unit == "word" else raw
+                cover = np.zeros(len(symbols) + 1, dtype=np.int32)
+                g = gaps[i].as_py() or []
+                starts = np.array([x["start"] for x in g] + (p := at[i].as_py() or []), dtype=np.int64)
+                ends = np.array([x["end"] - 1 for x in g] + p, dtype=np.int64) + shape.window
+                np.add.at(cover, starts, 1)
+                np.add.at(cover, ends, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                if shape.unit == "word":
+                    kept = b" ".join(w for w, x in zip(symbols, gone.tolist(), strict=True) if not x)
+                else:
+                    kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+                out.append((keys[i].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[j] for x in out], t)
+                        for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
+                    ],
+                    names=["_row", "n_removed", "n_spans", "kept_sha256", "kept"],
+                )
+
+    schema = "_row long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return found.select("_row", "data", "gaps", "at").mapInArrow(cut, schema)
+
+
+def dedup(docs: DataFrame, shape: Shape) -> DataFrame:
+    """Per document: doc_id, n (symbols), n_removed, n_spans, kept_sha256; one row for each input row."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = repeated_windows(keyed(docs), shape, bits=sketch.bits_for(size // 60))
+    cut = removed(found, shape).drop("kept").dropDuplicates(["_row"])
+    text = whole_text()
+    if shape.unit == "word":
+        words = ascii_words(text)
+        n, plain = F.size(words), F.sha2(F.array_join(words, " "), 256)
+    else:
+        n, plain = F.octet_length(text), F.sha2(text.cast("binary"), 256)
+    base = docs.select(
+        "doc_id", F.xxhash64(F.col("doc_id"), text).alias("_row"), n.cast("long").alias("n"), plain.alias("_plain")
+    )
+    return base.join(cut, "_row", "left").select(
+        "doc_id",
+        "n",
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "_plain").alias("kept_sha256"),
+    )
+
+
+def cleaned(docs: DataFrame, shape: Shape) -> DataFrame:
+    """doc_id and text: what is left of each document (bytes that are no longer UTF-8 are replaced)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = repeated_windows(keyed(docs), shape, bits=sketch.bits_for(size // 60))
+    cut = removed(found, shape).filter("n_removed > 0").select("_row", "kept").dropDuplicates(["_row"])
+    base = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), whole_text()).alias("_row"))
+    return base.join(cut, "_row", "left").select(
+        "doc_id", F.coalesce(F.expr("decode(kept, 'UTF-8')"), F.col("text")).alias("text")
+    )
