@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from podium.llm import decontaminate, line_quality, substring_dedup
+from podium.llm import decontaminate, line_quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_line_quality": line_quality.op4_line_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,

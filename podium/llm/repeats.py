@@ -33,11 +33,32 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Shape:
-    """What a symbol is ("word" or "byte"), the window and the gram in symbols."""
+    """What a symbol is ("word" or "byte"), the window and the gram in symbols.
+
+    With `refine`, ranges are named by bucket identifiers refined from those of later offsets, not by range hashes.
+    """
 
     unit: str
     window: int
     gram: int
+    refine: bool = False
+
+
+def pair(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The identifier of a bucket refined by the identifier of a later offset."""
+    return R.mix(first * _U(0x9FB21C651E98DF25) + R.mix(later ^ _U(0x2545F4914F6CDD1D)))
+
+
+def refined(names: np.ndarray, width: int, window: int) -> np.ndarray:
+    """Bucket identifiers of `width` symbols, refined until they name `window` symbols.
+
+    Each round names 2 * width symbols at i by the identifiers of i and i + width, and the next round reuses the result.
+    """
+    while width < window:
+        step = min(width, window - width)
+        names = pair(names[:-step], names[step:])
+        width += step
+    return names
 
 
 class Batch:
@@ -64,6 +85,11 @@ class Batch:
         self.sums = R.prefix_sums(self.values, 1)
         at = np.arange(n - k + 1)
         grams = R.mix(R.range_hash(self.sums, at, at + k, 1)) | _U(1)
+        if shape.refine:
+            second = R.prefix_sums(self.values, 2)
+            self.names = tuple(
+                refined(x, k, w) for x in (grams, R.mix(R.range_hash(second, at, at + k, 2) ^ _U(0x5851F42D4C957F2D)))
+            )
         self.least = R.sliding_min(grams, w - k + 1)
         around = np.zeros(self.n + 2 * (w - k), dtype=_U)
         around[w - k : w - k + self.n] = np.where(self.inside, self.least, _U(0))
@@ -71,7 +97,10 @@ class Batch:
         self.grams = grams
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the content of each range."""
+        """128 bits of the content of each range, which is at least one window long."""
+        if self.shape.refine:
+            last = end - self.shape.window  # under a window and a gram after start, so the two windows cover the range
+            return tuple(R.mix(pair(x[start], x[last]) + (last - start).astype(_U)) for x in self.names)
         if not hasattr(self, "_sums2"):
             self._sums2 = R.prefix_sums(self.values, 2)
         size = (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
