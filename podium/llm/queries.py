@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from podium.llm import decontaminate, line_quality, near_dedup, substring_dedup, suffix_dedup
+from podium.llm import bpe, decontaminate, line_quality, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_line_quality": line_quality.op4_line_quality,
+    "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
