@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from podium.llm import bpe, decontaminate, line_quality, near_dedup, substring_dedup, suffix_dedup
+from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_language_crf": language_crf.op9_language_crf,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 SQL = {
