@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, substring_dedup, suffix_dedup
+from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_line_quality": line_quality.op4_line_quality,
     "op5_bpe": bpe.op5_bpe,
