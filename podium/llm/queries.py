@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, substring_dedup, suffix_dedup, toxicity
+from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, quality_fm, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_quality": line_quality.op4_line_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_quality_fm": quality_fm.op7_quality_fm,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_crf": language_crf.op9_language_crf,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
