@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, quality_fm, substring_dedup, suffix_dedup, toxicity
+from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, quality_fm, secret_forest, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_secret_forest": secret_forest.op3_secret_forest,
     "op4_line_quality": line_quality.op4_line_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
