@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold at most `rows` rows and about `size` bytes, so that tasks stay small on long texts."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(re.sub(r"\D+$", "", spark.conf.get(key))) <= most:
+            spark.conf.set(key, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession

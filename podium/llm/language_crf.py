@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import held_out, whole_text
+from podium.llm.common import held_out, small_batches
 
 _U = np.uint64
 BITS = 16
@@ -219,6 +219,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs`, lang_pred and score (the share of the text's words in that language)."""
     if model is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import held_out, whole_text
+from podium.llm.common import held_out, small_batches, whole_text
 
 _U = np.uint64
 BITS = 15
@@ -186,6 +186,7 @@ def train(
     fit_chars: int = 30_000,
 ) -> Machine | None:
     """A machine from a bounded sample of the labelled documents that `keep` allows."""
+    small_batches(docs.sparkSession)
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     if keep is not None:
@@ -229,6 +230,7 @@ def score(docs: DataFrame, machine: Machine | None, *columns: str) -> DataFrame:
     """The named columns of `docs` and score, 0 to 1."""
     if machine is None:
         return docs.select(*columns, F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
