@@ -1 +1,379 @@
-QUERIES = {}
+"""Tournament reports to rows: lines become rows, a parser's state becomes a window over them.
+
+Everything but HTML is built-in column functions. Parsers return structs whose fields are null where nothing was found.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from podium.functions.names import display_ratchet
+from podium.sources.orders_adapter import USAGE_SQL, usage
+
+RATCHET = r"\d-\d{2}"
+PLACE = r"^(1st|2nd|3rd)\s*(?:Place)?[:\s-]*(.*)$"
+#: What marks a line as a note and not as a player's name.
+NOISE = [
+    "!", "(click to view)", "winning combos", "top 3 photo", "top 3 deck combos", "both stages", "first stage",
+    "final stage", "finals only", "first stage only", "3on3 match finals only", "3on3 finals only", "match finals only",
+]
+#: Words of a location line that are not places.
+FORMAT_WORDS = r"(?i)\b(X Format|Ranked|Unranked|1on1|3on3|1v1|3v3|Experimental|Beyblade X)\b"
+#: Patterns of other game generations, and of the wanted one.
+OTHER_GAMES = [
+    r"(?i)\b\d{2,3}(RF|WD|RB|MB|CS|B:D|SF|RSF|MF)\b",
+    r"(?i)\bMF-[FLH]\b",
+    r"(?i)\b(L-Drago|Pegasis|Leone|Sagittario)\b",
+]
+WANTED_GAME = [r"\b\d{1,2}-\d{2,3}[A-Z]", r"(?i)Beyblade\s*X|X\s*Format"]
+
+
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group's match, null where the pattern does not match."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
+# -- dates, places, formats ---------------------------------------------------------------------------------------
+
+
+def _try_date(year: Column, month: Column, day: Column) -> Column:
+    iso = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
+    return F.when(year.isNotNull(), F.try_to_date(iso, "yyyy-MM-dd"))
+
+
+def date_en(text: Column, as_of: Column, least_year: int = 2023) -> Column:
+    """The first M/D/Y or `Month D, Y`, from `least_year` on and not after the reference date."""
+    slash = r"(\d{1,2})/(\d{1,2})/(\d{2,4})"
+    year = found(text, slash, 3).cast("int")
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    numeric = _try_date(year, found(text, slash, 1), found(text, slash, 2))
+    words = found(text, r"([A-Z][a-z]+ \d{1,2},? \d{4})")
+    plain = F.regexp_replace(words, ",", "")
+    named = F.coalesce(F.try_to_date(plain, "MMMM d yyyy"), F.try_to_date(plain, "MMM d yyyy"))
+    allowed = lambda d: F.when((F.year(d) >= least_year) & (d <= as_of), d)
+    return F.coalesce(allowed(numeric), allowed(named))
+
+
+def date_ja(text: Column, url: Column) -> Column:
+    """ISO, year-month-day with ideographs, or Y/M/D; else January 1 of a year in the address."""
+    out = []
+    for pattern in (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"(\d{4})年(\d{1,2})月(\d{1,2})日", r"(\d{4})/(\d{1,2})/(\d{1,2})"):
+        out.append(_try_date(*[found(text, pattern, k) for k in (1, 2, 3)]))
+    year = found(url, r"(20\d{2})")
+    return F.coalesce(*out, _try_date(year, F.lit("1"), F.lit("1")))
+
+
+def date_de(text: Column, posted: Column) -> Column:
+    """DD.MM.YYYY or ISO; else the day it was posted."""
+    german, iso = r"(\d{1,2})\.(\d{1,2})\.(\d{4})", r"(\d{4})-(\d{1,2})-(\d{1,2})"
+    return F.coalesce(
+        _try_date(*[found(text, german, k) for k in (3, 2, 1)]), _try_date(*[found(text, iso, k) for k in (1, 2, 3)]), posted
+    )
+
+
+def location(text: Column) -> Column:
+    """(city, state, country) of a comma or bar separated line."""
+    plain = F.regexp_replace(F.replace(text, F.lit("|"), F.lit(",")), FORMAT_WORDS, "")
+    parts = F.filter(F.transform(F.split(plain, ","), lambda x: F.regexp_replace(x, r"^[ -]+|[ -]+$", "")), lambda x: x != "")
+    n = F.size(parts)
+    at = lambda i: F.get(parts, F.lit(i))
+    city = F.when((n > 1) | (F.length(at(0)) > 1), at(0))
+    return F.struct(
+        city.alias("city"),
+        F.when(n >= 3, at(1)).alias("state"),
+        F.when(n >= 3, at(2)).when(n == 2, at(1)).alias("country"),
+    )
+
+
+def event_format(text: Column) -> Column:
+    """(format, ranked); unranked is looked for first, since it holds the other word."""
+    low = F.lower(text)
+    has = lambda *words: low.rlike("|".join(words))
+    return F.struct(
+        F.when(has("1on1", "1v1"), "1on1").when(has("3on3", "3v3"), "3on3").alias("format"),
+        F.when(has("unranked"), F.lit(False)).when(has("ranked"), F.lit(True)).alias("ranked"),
+    )
+
+
+def title(text: Column) -> Column:
+    """An event's title: cut after a bar, without bracketed tags and dates."""
+    out = F.regexp_replace(text, r"\s*[|｜].*$", "")
+    out = F.regexp_replace(out, r"【[^】]*】|\[[^\]]*\]", "")
+    return F.trim(F.regexp_replace(out, r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d{1,2}-\d{1,2}", ""))
+
+
+# -- combos -------------------------------------------------------------------------------------------------------
+
+
+def stage_note(text: Column) -> Column:
+    """both, final or first, from a note in parentheses."""
+    note = F.lower(found(text, r"(?i)\(([^)]*(?:Stage|Finals)[^)]*)\)"))
+    return (
+        F.when(note.contains("both") | (note.contains("first") & note.contains("final")), "both")
+        .when(note.contains("final"), "final")
+        .when(note.contains("first"), "first")
+    )
+
+
+def _combo(text: Column, patterns: list[tuple[str, list[str]]]) -> Column:
+    """The struct of the first pattern that matches; fields it does not name are null."""
+    tries = []
+    for pattern, names in patterns:
+        fields = {n: F.trim(F.regexp_extract(text, pattern, i + 1)) for i, n in enumerate(names)}
+        struct = F.struct(*[fields.get(n, F.lit(None).cast("string")).alias(n) for n in ("blade", "assist", "ratchet", "bit")])
+        tries.append(F.when(text.rlike(pattern), struct))
+    return F.coalesce(*tries)
+
+
+def combo_en(text: Column) -> Column:
+    """(blade, assist, ratchet, bit) of an English line; bullets, a name before a colon and stage notes are dropped."""
+    plain = F.regexp_replace(text, r"^[\s\-•*]+", "")
+    plain = F.regexp_replace(plain, r"^[^:]*:\s*([A-Za-z].+)$", "$1")
+    plain = F.trim(F.regexp_replace(plain, r"(?i)\s*\([^)]*(?:Stage|Finals|Only|Match|Type)[^)]*\)", ""))
+    return _combo(
+        plain,
+        [
+            (r"^(.+?)\s+(\d{1,2}-\d{2,3})\s+([A-Za-z][A-Za-z\s]*)$", ["blade", "ratchet", "bit"]),
+            (r"^(.+?)\s+(\d{1,2}-\d{2,3})([A-Z][A-Za-z\s]*)$", ["blade", "ratchet", "bit"]),
+            (r"^(.+?)\s+([A-Za-z]+)(\d{1,2}-\d{2,3})([A-Z][A-Za-z\s]*)$", ["blade", "assist", "ratchet", "bit"]),
+        ],
+    )
+
+
+def combo_ja(text: Column) -> Column:
+    """(blade, assist, ratchet, bit) of a katakana line."""
+    kana = "ァ-ヶー"
+    return _combo(
+        F.trim(text),
+        [
+            (rf"^(.+?)\s+([{kana}]+)\s+(\d{{1,2}}-\d{{2,3}})([A-Za-z{kana}]+)$", ["blade", "assist", "ratchet", "bit"]),
+            (rf"^(.+?)\s+(\d{{1,2}}-\d{{2,3}})([A-Za-z{kana}]+)$", ["blade", "ratchet", "bit"]),
+            (rf"^(.+?)\s+(\d{{1,2}}-\d{{2,3}})\s+([A-Za-z{kana}]+)$", ["blade", "ratchet", "bit"]),
+        ],
+    )
+
+
+def combo_de(text: Column) -> Column:
+    """(blade, assist, ratchet, bit) of a German line; the bit's letters are upper case."""
+    out = _combo(F.trim(text), [(r"(?i)^(.+?)\s+([A-Z]?\d{1,2}-\d{2,3})([A-Z]{1,2})$", ["blade", "ratchet", "bit"])])
+    return out.withField("bit", F.upper(out["bit"]))
+
+
+def looked_up(name: Column, table: dict[str, str]) -> Column:
+    """The table's value, tried as it stands and without spaces; the name itself where it has none."""
+    pairs = F.create_map(*[F.lit(x) for p in table.items() for x in p])
+    return F.coalesce(F.try_element_at(pairs, name), F.try_element_at(pairs, F.replace(name, F.lit(" "), F.lit(""))), name)
+
+
+def folded(rules: dict[str, str]) -> dict[str, str]:
+    """One map for an ordered list of rewrites: later rules see what earlier ones made."""
+    steps = list(rules.items())
+    out = {}
+    for i, (key, value) in enumerate(steps):
+        for later, target in steps[i + 1 :]:
+            if later == value:
+                value = target
+        out.setdefault(key, value)
+    return out
+
+
+def normalised(rows: DataFrame, columns: list[str], rules: dict[str, str]) -> DataFrame:
+    """The rows with the rewrites applied to the columns, and `fixes`, how many of them changed."""
+    table = F.create_map(*[F.lit(x) for p in folded(rules).items() for x in p])
+    new = {c: F.coalesce(F.try_element_at(table, F.col(c)), F.col(c)) for c in columns}
+    changed = sum((F.when(~F.col(c).eqNullSafe(v), 1).otherwise(0) for c, v in new.items()), F.lit(0))
+    return rows.withColumn("fixes", changed).withColumns(new)
+
+
+# -- posts --------------------------------------------------------------------------------------------------------
+
+
+def wanted_posts(posts: DataFrame) -> DataFrame:
+    """Posts (post_id, text) whose first 30 lines speak of the wanted game, blocked pages left out."""
+    head = F.array_join(F.slice(F.split("text", "\n"), 1, 30), " ")
+    other = head.rlike("|".join(OTHER_GAMES))
+    return posts.filter(~F.col("text").contains("Just a moment") & ~other & head.rlike("|".join(WANTED_GAME)))
+
+
+def lines(posts: DataFrame) -> DataFrame:
+    """(post_id, line_no, line) of the lines that are not blank."""
+    rows = posts.select("post_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.withColumn("line", F.trim("line")).filter("line <> ''")
+
+
+def with_event(rows: DataFrame) -> DataFrame:
+    """event 0, 1, ... within a post: a line that is only a date, or starts with a dash and has one, opens another."""
+    date = r"\d{1,2}/\d{1,2}/\d{2,4}|[A-Z][a-z]+ \d{1,2},? \d{4}"
+    header = F.col("line").rlike(rf"^(-.*({date}).*|{date})$")
+    order = Window.partitionBy("post_id").orderBy("line_no")
+    return rows.withColumn("event", F.sum(F.when(header & (F.col("line_no") > 1), 1).otherwise(0)).over(order))
+
+
+def headers(rows: DataFrame, as_of: Column, least_year: int = 2023) -> DataFrame:
+    """Per post and event: name, date, city, state, country, format and ranked, out of the lines before a placement."""
+    key = ["post_id", "event"]
+    placed = F.col("line").rlike(f"(?i){PLACE}")
+    order = Window.partitionBy(*key).orderBy("line_no")
+    top = rows.withColumn("_n", F.row_number().over(order)).withColumn("_p", F.max(placed).over(order))
+    top = top.filter((F.col("_n") <= 6) & ~F.col("_p"))
+    date = r"\d{1,2}/\d{1,2}/\d{2,4}|[A-Z][a-z]+ \d{1,2},? \d{4}"
+    line = F.col("line")
+    place_line = line.rlike(r"[,|]") & (F.col("_n") > 1)
+    name = F.trim(F.regexp_replace(F.regexp_replace(line, date, ""), r"[\s-]+$", ""))
+    pick = lambda value, when: F.min_by(value, F.when(when, F.col("line_no")))
+    day = date_en(line, as_of, least_year)
+    info = event_format(line)
+    out = top.groupBy(*key).agg(
+        pick(name, F.length(name) > 3).alias("name"),
+        pick(day, day.isNotNull()).alias("date"),
+        pick(location(line), place_line).alias("_where"),
+        pick(info["format"], info["format"].isNotNull()).alias("format"),
+        pick(info["ranked"], info["ranked"].isNotNull()).alias("ranked"),
+    )
+    return out.select(*key, "name", "date", "_where.*", "format", "ranked")
+
+
+def placements(rows: DataFrame) -> DataFrame:
+    """(post_id, event, place, player, line_no, blade, assist, ratchet, bit, stage): a row for every combo line.
+
+    A placement line opens a section; its player stands on that line, or on the next short line that is no note.
+    """
+    line, key = F.col("line"), ["post_id", "event"]
+    order = Window.partitionBy(*key).orderBy("line_no")
+    opened = F.lower(found(line, f"(?i){PLACE}"))
+    rest = F.trim(found(line, f"(?i){PLACE}", 2))
+    rows = rows.withColumn("_place", opened).withColumn(
+        "_same", F.when(opened.isNotNull() & (rest != "") & ~rest.rlike(RATCHET), rest)
+    )
+    rows = rows.withColumn("section", F.count("_place").over(order)).filter("section > 0")
+    low = F.lower(line)
+    noise = F.lit(False)
+    for x in NOISE:
+        noise = noise | low.contains(x)
+    short = F.col("_place").isNull() & ~line.rlike(RATCHET) & ~noise & ~line.startswith("(") & F.length(line).between(2, 49)
+    whole = Window.partitionBy(*key, "section")
+    rows = rows.withColumn("combo", combo_en(line)).withColumns(
+        {
+            "place": F.max(F.when(F.col("_place").isNotNull(), F.substring("_place", 1, 1).cast("int"))).over(whole),
+            "player": F.coalesce(
+                F.max("_same").over(whole), F.min_by(line, F.when(short, F.col("line_no"))).over(whole)
+            ),
+        }
+    )
+    found_rows = rows.filter(F.col("combo").isNotNull() & F.col("player").isNotNull())
+    return found_rows.select(*key, "place", "player", "line_no", "combo.*", stage_note(line).alias("stage"))
+
+
+def packed(rows: DataFrame, k: int = 3) -> DataFrame:
+    """One row per placement with its first k combos as wide columns; further ones are dropped."""
+    fields = ["blade", "ratchet", "bit", "assist", "stage"]
+    deck = F.sort_array(F.collect_list(F.struct("line_no", *fields)))
+    out = rows.groupBy("post_id", "event", "place", "player").agg(F.slice(deck, 1, k).alias("deck"))
+    wide = [F.get("deck", F.lit(i))[f].alias(f"{f}_{i + 1}") for i in range(k) for f in fields]
+    return out.select("post_id", "event", "place", "player", *wide)
+
+
+def first_wins(rows: DataFrame, key: list[str], arrival: str) -> DataFrame:
+    """The first row of each key by arrival."""
+    order = Window.partitionBy(*key).orderBy(arrival)
+    return rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+
+
+def not_loaded(rows: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the loaded ones."""
+    return rows.join(loaded.select(key).distinct(), key, "left_anti")
+
+
+def not_in_other_source(rows: DataFrame, other: DataFrame, keywords: list[str]) -> DataFrame:
+    """Events (date, name) that no other source has under the same date and name, or date and shared keyword."""
+    hits = F.filter(F.array(*[F.when(F.lower("name").contains(k.lower()), k) for k in keywords]), lambda x: x.isNotNull())
+    keyed = lambda df: df.select("date", F.explode(hits).alias("_w")).distinct()
+    rows = rows.join(other.select("date", "name").distinct(), ["date", "name"], "left_anti")
+    same_day = rows.select("date", "name", F.explode(hits).alias("_w")).join(keyed(other), ["date", "_w"], "left_semi")
+    return rows.join(same_day.select("date", "name").distinct(), ["date", "name"], "left_anti")
+
+
+# -- rendering, so that the parsers can be checked on tables of any size --------------------------------------------
+
+
+def rendered_posts(rows: DataFrame) -> DataFrame:
+    """Usage of places 1 to 3 written as forum posts, one a tournament: what the parsers above read back."""
+    ordinal = F.element_at(F.array(F.lit("1st"), F.lit("2nd"), F.lit("3rd")), F.col("place"))
+    note = F.when(F.col("stage") == "both", " (Both Stages)").when(F.col("stage") == "final", " (Final Stage)").when(
+        F.col("stage") == "first", " (First Stage)"
+    ).otherwise("")
+    combo = F.concat("blade", F.lit(" "), display_ratchet(F.col("ratchet")), F.lit(" "), "bit", note)
+    block = rows.filter("place <= 3").groupBy("tournament_id", "tournament_date", "region", "place", "player_name").agg(
+        F.array_join(F.sort_array(F.collect_list(combo)), "\n").alias("combos")
+    )
+    block = block.withColumn("text", F.concat(ordinal, F.lit(" Place: "), "player_name", F.lit("\n"), "combos"))
+    posts = block.groupBy("tournament_id", "tournament_date", "region").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("place", "text")))["text"], "\n\n").alias("body")
+    )
+    head = F.concat(
+        "tournament_id", F.lit(" - "), F.date_format("tournament_date", "M/d/yyyy"), F.lit("\nTown, ST, "), "region",
+        F.lit(" - X Format - Unranked 3on3\n\n"), "body",
+    )
+    return posts.select(F.col("tournament_id").alias("post_id"), head.alias("text"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_event(lines(wanted_posts(rendered_posts(usage(spark, sf_dir)))))
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers(_parsed(spark, sf_dir), F.to_date(F.lit("2030-01-01")), 1990).drop("event")
+
+
+def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placements(_parsed(spark, sf_dir)).drop("event", "line_no", "assist")
+
+
+def _deck_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = packed(placements(_parsed(spark, sf_dir)))
+    size = sum((F.when(F.col(f"blade_{i}").isNotNull(), 1).otherwise(0) for i in (1, 2, 3)), F.lit(0))
+    return wide.select("post_id", "place", "player", size.cast("bigint").alias("combos"), "blade_1")
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"Brand#1": "Brand#01", "Brand#2": "Brand#1x", "Brand#1x": "Brand#02"}
+    out = normalised(usage(spark, sf_dir), ["blade"], rules)
+    return out.groupBy("blade").agg(F.sum("fixes").cast("bigint").alias("fixes"), F.count("*").alias("uses"))
+
+
+def page_links(pages: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(page_id, link): distinct link targets, by keyword."""
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("link"))
+    if include:
+        rows = rows.filter(F.lower("link").rlike("|".join(include)))
+    if exclude:
+        rows = rows.filter(~F.lower("link").rlike("|".join(exclude)))
+    return rows.distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "ing_header": _headers,
+    "ing_placement_fill": _placements,
+    "ing_deck_pack": _deck_sizes,
+    "ing_normalise": _normalised,
+    "src_link_list": lambda spark, sf_dir: page_links(
+        spark.read.parquet(f"{sf_dir}/pages.parquet"), ["the", "page"], ["ref"]
+    ),
+}
+
+_RATCHET_SQL = r"regexp_replace(ratchet, '^[A-Za-z]*(\d+-\d+)$', '\1')"
+ORACLE_SQL: dict[str, str] = {
+    "ing_header": f"""WITH {USAGE_SQL} SELECT DISTINCT tournament_id AS post_id, tournament_id AS name, tournament_date AS date,
+'Town' AS city, 'ST' AS state, region AS country, '3on3' AS format, false AS ranked FROM u WHERE place <= 3""",
+    "ing_placement_fill": f"""WITH {USAGE_SQL} SELECT tournament_id AS post_id, place, player_name AS player, blade,
+{_RATCHET_SQL} AS ratchet, bit, stage FROM u WHERE place <= 3""",
+    "ing_deck_pack": f"""WITH {USAGE_SQL} SELECT tournament_id AS post_id, place, player_name AS player, count(*) AS combos,
+arg_min(blade, blade || ' ' || {_RATCHET_SQL} || ' ' || bit) AS blade_1 FROM u WHERE place <= 3 GROUP BY ALL""",
+    "ing_normalise": f"""WITH {USAGE_SQL} SELECT CASE blade WHEN 'Brand#1' THEN 'Brand#01' WHEN 'Brand#2' THEN 'Brand#02' ELSE blade END AS blade,
+CAST(sum(CASE WHEN blade IN ('Brand#1', 'Brand#2') THEN 1 ELSE 0 END) AS BIGINT) AS fixes, count(*) AS uses FROM u GROUP BY 1""",
+    "src_link_list": """SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages)
+WHERE regexp_matches(lower(link), 'the|page') AND NOT regexp_matches(lower(link), 'ref')""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.operators import comparisons, decks, discovery, ingest, rankings, summaries, timelines
-from podium.plans.oracle import ORACLE_SQL
+from podium.plans.oracle import ORACLE_SQL as ANALYTIC_SQL
 from podium.sources.orders_adapter import usage
 
 
@@ -89,3 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "share_monthly": _of(timelines.share_monthly),
     "stream_weekly": lambda spark, sf_dir: timelines.stream_weekly(spark.read.parquet(f"{sf_dir}/events.parquet")),
 } | ingest.QUERIES
+
+ORACLE_SQL: dict[str, str] = ANALYTIC_SQL | ingest.ORACLE_SQL
