@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import whole_text, written
+from podium.llm.common import small_batches, whole_text, written
 from podium.llm.components import components
 
 _U = np.uint64
@@ -233,6 +233,7 @@ def near_duplicates(
     broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable) and kept (it is that id)."""
+    small_batches(docs.sparkSession)
     percent = math.ceil(threshold * 100 - 1e-9)
     sigs = written(signatures(docs, shingle), "signatures")
     filled = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
