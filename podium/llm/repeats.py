@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
 from podium.llm import sketch
-from podium.llm.common import ascii_words, whole_text, written
+from podium.llm.common import ascii_words, small_batches, whole_text, written
 
 _U = np.uint64
 
@@ -49,16 +50,18 @@ def pair(first: np.ndarray, later: np.ndarray) -> np.ndarray:
     return R.mix(first * _U(0x9FB21C651E98DF25) + R.mix(later ^ _U(0x2545F4914F6CDD1D)))
 
 
-def refined(names: np.ndarray, width: int, window: int) -> np.ndarray:
-    """Bucket identifiers of `width` symbols, refined until they name `window` symbols.
+def refined(names: np.ndarray, at: np.ndarray, width: int, window: int) -> np.ndarray:
+    """Bucket identifiers of `window` symbols at the given places, from those of `width` symbols.
 
-    Each round names 2 * width symbols at i by the identifiers of i and i + width, and the next round reuses the result.
+    A bucket of w symbols is refined to 2w by the identifiers at i and i + w, which were refined in the same way; the
+    last step may overlap.
     """
-    while width < window:
-        step = min(width, window - width)
-        names = pair(names[:-step], names[step:])
-        width += step
-    return names
+    if window <= width:
+        return names[at]
+    half = width
+    while half * 2 < window:
+        half *= 2
+    return pair(refined(names, at, width, half), refined(names, at + window - half, width, half))
 
 
 class Batch:
@@ -72,42 +75,70 @@ class Batch:
             self.offsets = np.searchsorted(self.start, offsets)
         else:
             self.values, self.offsets = R.byte_values(data), offsets
-        w, k, n = shape.window, shape.gram, len(self.values)
-        self.n = max(0, n - w + 1)
-        self.inside = np.zeros(self.n, dtype=bool)
-        self.least = np.zeros(self.n, dtype=_U)
-        self.anchors = np.zeros(0, dtype=np.int64)
-        self.doc = np.zeros(0, dtype=np.int64)
+        self.n = max(0, len(self.values) - shape.window + 1)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """The document of each window start."""
+        return np.repeat(np.arange(len(self.offsets) - 1, dtype=np.int32), np.diff(self.offsets))[: self.n]
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        """Whether the window stands inside one document."""
+        out = np.ones(self.n, dtype=bool)
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            out[max(a, b - self.shape.window + 1) : b] = False
+        return out
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return R.prefix_sums(self.values, 1), R.prefix_sums(self.values, 2)
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        return R.mix(R.rolling(R.prefix_sums(self.values, 1), self.shape.gram, 1)) | _U(1)
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        return R.mix(R.rolling(R.prefix_sums(self.values, 2), self.shape.gram, 2) ^ _U(0x5851F42D4C957F2D))
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """The smallest gram of each window."""
+        return R.sliding_min(self.grams, self.shape.window - self.shape.gram + 1)
+
+    @cached_property
+    def anchors(self) -> np.ndarray:
+        """Places of grams that are the smallest of a window inside a document."""
+        room = self.shape.window - self.shape.gram
+        around = np.zeros(self.n + 2 * room, dtype=_U)
+        around[room : room + self.n] = np.where(self.inside, self.least, _U(0))
+        return np.flatnonzero(R.sliding_max(around, room + 1) == self.grams)
+
+    def flagged(self, bits: sketch.Bits) -> np.ndarray:
+        """Windows whose smallest gram is in the sketch; neighbours mostly share it, so each run is tested once."""
         if not self.n:
-            return
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.offsets))[: self.n]
-        self.inside = np.arange(w, w + self.n) <= self.offsets[1:][self.doc]
-        self.sums = R.prefix_sums(self.values, 1)
-        at = np.arange(n - k + 1)
-        grams = R.mix(R.range_hash(self.sums, at, at + k, 1)) | _U(1)
-        if shape.refine:
-            second = R.prefix_sums(self.values, 2)
-            self.names = tuple(
-                refined(x, k, w) for x in (grams, R.mix(R.range_hash(second, at, at + k, 2) ^ _U(0x5851F42D4C957F2D)))
-            )
-        self.least = R.sliding_min(grams, w - k + 1)
-        around = np.zeros(self.n + 2 * (w - k), dtype=_U)
-        around[w - k : w - k + self.n] = np.where(self.inside, self.least, _U(0))
-        self.anchors = np.flatnonzero(R.sliding_max(around, w - k + 1) == grams)
-        self.grams = grams
+            return np.zeros(0, dtype=bool)
+        first = np.flatnonzero(np.concatenate([[True], self.least[1:] != self.least[:-1]]))
+        found = bits.test(self.least[first])
+        return np.repeat(found, np.diff(np.append(first, self.n))) & self.inside
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the content of each range, which is at least one window long."""
+    def hash(self, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+        """64 bits of the content of each range, which is at least one window long."""
         if self.shape.refine:
-            last = end - self.shape.window  # under a window and a gram after start, so the two windows cover the range
-            return tuple(R.mix(pair(x[start], x[last]) + (last - start).astype(_U)) for x in self.names)
-        if not hasattr(self, "_sums2"):
-            self._sums2 = R.prefix_sums(self.values, 2)
+            last = end - self.shape.window  # less than a window after start, so the two windows cover the range
+            names = self.second if half else self.grams
+            first = refined(names, start, self.shape.gram, self.shape.window)
+            if not (last > start).any():
+                return R.mix(pair(first, first))
+            later = refined(names, last, self.shape.gram, self.shape.window)
+            return R.mix(pair(first, later) + (last - start).astype(_U))
         size = (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
-        return (
-            R.mix(R.range_hash(self.sums, start, end, 1) + size),
-            R.mix(R.range_hash(self._sums2, start, end, 2) ^ size),
-        )
+        return R.mix(R.range_hash(self.sums[half], start, end, 1 + half) + (size ^ _U(half)))
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the content of each range."""
+        return self.hash(start, end, 0), self.hash(start, end, 1)
 
     def gaps(self) -> tuple[np.ndarray, np.ndarray]:
         """Runs [start, end) of window starts between anchors; every window inside a document is in one of them."""
@@ -151,54 +182,51 @@ def anchor_sketch(rows: DataFrame, shape: Shape, bits: int) -> sketch.Bits:
 
     def anchors(batch):
         for _, b in _runs(shape, batch):
-            yield (b.grams[b.anchors] if len(b.anchors) else np.zeros(0, _U)), 1
+            yield (b.grams[b.anchors] if b.n else np.zeros(0, _U)), 1
 
     return sketch.build(rows, anchors, bits=bits, at_least=2)
 
 
-def _gap_rows(rows: DataFrame, shape: Shape, flagged) -> DataFrame:
-    """(h1, h2, _row, start, end) of gaps all of whose windows were flagged."""
+def _gaps_and_candidates(rows: DataFrame, shape: Shape, flagged) -> DataFrame:
+    """Two kinds of rows: the gaps all of whose windows were flagged (h1, h2, _row, start, end), and the documents with
+    a flagged window (_row, data)."""
 
-    def gaps(batches):
+    def scan(batches):
+        schema = pa.schema(
+            [("h1", pa.int64()), ("h2", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
+            + [("data", pa.binary())]
+        )
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, dtype=bool)
             for first, b in _runs(shape, batch):
-                start, end = b.gaps()
-                if not len(start):
+                hot = b.flagged(flagged.value)
+                if not hot.any():
                     continue
-                hot = np.concatenate([[0], np.cumsum(flagged.value.test(b.least) & b.inside)])
-                whole = hot[end] - hot[start] == end - start
+                keep[first + b.doc[hot]] = True
+                start, end = b.gaps()
+                count = np.concatenate([[0], np.cumsum(hot)])
+                whole = count[end] - count[start] == end - start
                 start, end = start[whole], end[whole]
                 if len(start):
                     h1, h2 = b.hashes(start, end - 1 + shape.window)
                     local = b.local(start)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            _signed(h1),
-                            _signed(h2),
-                            pa.array(keys[first + b.doc[start]]),
-                            pa.array(local),
-                            pa.array((local + (end - start)).astype(np.int32)),
-                        ],
-                        names=["h1", "h2", "_row", "start", "end"],
-                    )
-
-    return rows.mapInArrow(gaps, "h1 long, h2 long, _row long, start int, end int")
-
-
-def _candidates(rows: DataFrame, shape: Shape, flagged) -> DataFrame:
-    """Documents with a flagged window."""
-
-    def some(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for first, b in _runs(shape, batch):
-                if b.n:
-                    hot = flagged.value.test(b.least) & b.inside
-                    keep[first + b.doc[hot]] = True
-            yield batch.filter(pa.array(keep))
-
-    return rows.mapInArrow(some, "_row long, data binary")
+                    columns = [
+                        _signed(h1),
+                        _signed(h2),
+                        pa.array(keys[first + b.doc[start]]),
+                        pa.array(local),
+                        pa.array((local + (end - start)).astype(np.int32)),
+                        pa.nulls(len(start), pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            own = batch.filter(pa.array(keep))
+            if own.num_rows:
+                none = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                columns = [none[0], none[1], own.column(0), none[2], none[3], own.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return rows.mapInArrow(scan, "h1 long, h2 long, _row long, start int, end int, data binary")
 
 
 def _split(batch: pa.RecordBatch, shape: Shape, flagged):
@@ -222,38 +250,41 @@ def _split(batch: pa.RecordBatch, shape: Shape, flagged):
             np.add.at(stands, start[lead], 1)
             np.add.at(stands, end[lead], -1)
         settled, stands = np.cumsum(settled[:-1]) > 0, np.cumsum(stands[:-1]) > 0
-        hot = flagged.value.test(b.least) & b.inside & ~settled
+        hot = b.flagged(flagged.value) & ~settled
         yield first, b, np.flatnonzero(hot), np.flatnonzero(stands)
 
 
 def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
     """(_row, data, gaps, at) for the documents that may hold repeats: settled runs of starts, and single starts."""
     spark = rows.sparkSession
+    small_batches(spark)
     flagged = spark.sparkContext.broadcast(anchor_sketch(rows, shape, bits))
-    gap_rows = written(_gap_rows(rows, shape, flagged), "gaps")
+    found = written(_gaps_and_candidates(rows, shape, flagged), "gaps")
+    gap_rows = found.filter("data IS NULL").select("h1", "h2", "_row", "start", "end")
     place = F.struct("_row", "start")
     shared = gap_rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    shared = written(shared, "shared")  # so that the join is dealt anew and its hot keys can be split
     settled = (
         gap_rows.join(shared, ["h1", "h2"])
         .groupBy("_row")
         .agg(F.collect_set(F.struct("start", "end", (F.col("first") == place).alias("lead"))).alias("gaps"))
     )
-    work = written(_candidates(rows, shape, flagged).join(settled, "_row", "left"), "work")
+    work = written(found.filter("data IS NOT NULL").select("_row", "data").join(settled, "_row", "left"), "work")
 
     def unsettled(batch):
         for _, b, hot, _ in _split(batch, shape, flagged):
-            yield b.hashes(hot, hot + shape.window)[0], 1
+            yield b.hash(hot, hot + shape.window, 0), 1
 
     wanted = spark.sparkContext.broadcast(sketch.build(work, unsettled, bits=bits, at_least=1))
 
     def contributed(b, stands):
-        h1, h2 = b.hashes(stands, stands + shape.window)
+        h1 = b.hash(stands, stands + shape.window, 0)
         meets = wanted.value.test(h1)
-        return stands[meets], h1[meets], h2[meets]
+        return stands[meets], h1[meets]
 
     def both(batch):
         for _, b, hot, stands in _split(batch, shape, flagged):
-            yield b.hashes(hot, hot + shape.window)[0], 1
+            yield b.hash(hot, hot + shape.window, 0), 1
             yield contributed(b, stands)[1], 2
 
     likely = spark.sparkContext.broadcast(sketch.build(work, both, bits=bits, at_least=2))
@@ -262,16 +293,16 @@ def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, b, hot, stands in _split(batch, shape, flagged):
-                h1, h2 = b.hashes(hot, hot + shape.window)
+                h1 = b.hash(hot, hot + shape.window, 0)
                 keep = likely.value.test(h1)
-                hot, h1, h2 = hot[keep], h1[keep], h2[keep]
-                at, s1, s2 = contributed(b, stands)
+                hot, h1 = hot[keep], h1[keep]
+                at, s1 = contributed(b, stands)
                 if len(hot) + len(at):
                     own = np.concatenate([hot, at])
                     yield pa.RecordBatch.from_arrays(
                         [
                             _signed(np.concatenate([h1, s1])),
-                            _signed(np.concatenate([h2, s2])),
+                            _signed(b.hash(own, own + shape.window, 1)),
                             pa.array(keys[first + b.doc[own]]),
                             pa.array(b.local(own)),
                             pa.array(np.concatenate([np.ones(len(hot), np.int32), np.full(len(at), 2, np.int32)])),
@@ -281,7 +312,7 @@ def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
 
     places = work.mapInArrow(emit, "h1 long, h2 long, _row long, start int, n int")
     repeated = places.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
-    repeated = repeated.filter("total > 1 AND least = 1").select("h1", "h2")
+    repeated = written(repeated.filter("total > 1 AND least = 1").select("h1", "h2"), "repeated")
     single = (
         places.filter("n = 1").join(repeated, ["h1", "h2"]).groupBy("_row").agg(F.collect_set("start").alias("at"))
     )

@@ -58,6 +58,12 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int)
     return (sums[end] - sums[start]) * _powers(_INVERSE[which], len(sums))[start]
 
 
+def rolling(sums: np.ndarray, width: int, which: int) -> np.ndarray:
+    """range_hash of every run of `width` values."""
+    n = max(0, len(sums) - width)
+    return (sums[width:] - sums[:n]) * _powers(_INVERSE[which], len(sums))[:n]
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _TABLE[data]
 
