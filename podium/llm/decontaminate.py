@@ -10,7 +10,8 @@ that Spark shuffles both sides. Counting shingles is a partial aggregate, so onl
 
 Edge cases: null or empty text has no words and is never contaminated; an item without words has no window; an item
 shorter than a window is one window of its own length; repeated items and windows match once per item id; an empty
-benchmark leaves every document clean; a null id stays a row of its own; columns besides those named are ignored.
+benchmark leaves every document clean; a row with a null id has no hits and stays; rows that share an id share
+their hits; columns besides those named are ignored.
 """
 
 from __future__ import annotations
