@@ -94,7 +94,7 @@ def rate_combos(decks: DataFrame, usage: DataFrame) -> DataFrame:
         (has & (trend > 2)).alias("is_rising"),
     )
     overall = sum((F.col(f"{k}_score") * w for k, w in list(WEIGHTS.items())[1:]), F.col("meta_score") * 0.30)
-    out = out.withColumn("overall", F.round(overall, 4))
+    out = out.withColumn("overall", F.round(overall, 6))
     return out.withColumn("tier", F.when(F.col("has_data"), _tier(F.col("overall"), (85, 70, 55, 40, 25))).otherwise("?"))
 
 
@@ -106,7 +106,7 @@ def rate_decks(decks: DataFrame, usage: DataFrame) -> DataFrame:
     met = met.groupBy("deck_id").agg(F.count("*").alias("overlap"))
     size = top.agg(F.least(F.count("*"), F.lit(3)).alias("top_blades"))
     rated = combos.groupBy("deck_id").agg(
-        F.round(F.sum("overall") / 3, 4).alias("overall"),
+        F.round(F.sum("overall") / 3, 6).alias("overall"),
         count_if(F.col("is_meta_pick")).alias("picks"),
         (F.count_distinct("blade") / 3 * 40 + F.count_distinct("ratchet") / 3 * 30 + F.count_distinct("bit") / 3 * 30)
         .alias("diversity"),

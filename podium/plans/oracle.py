@@ -341,3 +341,69 @@ SELECT * FROM sh UNION ALL SELECT month, 'Others', CAST(greatest(0, 100 - sum(sh
     "stream_weekly": """SELECT CAST(DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7.0) * 7 AS INTEGER) AS DATE) AS week,
 event_type, count(*) AS uses, round(sum(value), 4) AS points FROM events GROUP BY ALL""",
 }
+
+
+def _part_rates(part: str, limit: int) -> str:
+    sub = ranked("name", f"{part} AS name", f"(SELECT * FROM s WHERE {part} IS NOT NULL)", limit, 2)
+    return f"r_{part} AS (SELECT name AS {part}, round(first / CAST(uses AS DOUBLE), 6) AS {part}_rate, uses AS {part}_uses FROM {sub})"
+
+
+_KNOWN = " + ".join(f"CASE WHEN {p}_rate IS NOT NULL THEN 1 ELSE 0 END" for p in ("blade", "ratchet", "bit"))
+_RATES = " + ".join(f"coalesce({p}_rate, 0.0)" for p in ("blade", "ratchet", "bit"))
+_THEORY = " + ".join(
+    f"coalesce({p}_rate * {w} + least({p}_uses, 20) * {u}, 0.0)" for p, w, u in (("blade", 50, 2), ("ratchet", 30, 1), ("bit", 30, 1))
+)
+DECKS = weekly("combo", 8) + f""",
+dk AS (SELECT DISTINCT concat_ws('|', tournament_id, player_name) AS deck_id, blade, ratchet, bit FROM s WHERE place = 1),
+own AS (SELECT blade, ratchet, bit, {total('ws')} AS sc, count(*) AS n, {PLACES} FROM s GROUP BY ALL),
+{_part_rates('blade', 30)}, {_part_rates('ratchet', 15)}, {_part_rates('bit', 15)},
+mt AS (SELECT * FROM {ranked(COMBO, COMBO, 'x', 20, 2)}),
+tr AS (SELECT combo, round(sum(CASE WHEN week_idx >= 4 THEN score ELSE 0.0 END), 6) AS late,
+       round(sum(CASE WHEN week_idx < 4 THEN score ELSE 0.0 END), 6) AS early FROM wk GROUP BY combo),
+j AS (SELECT dk.deck_id, dk.blade, dk.ratchet, dk.bit, own.n IS NOT NULL AS has_data, round(coalesce(sc, 0.0), 2) AS score,
+  CAST(coalesce(n, 0) AS BIGINT) AS uses, CAST(coalesce(first, 0) AS BIGINT) AS wins,
+  round(coalesce((first + 2 * second + 3 * third) / CAST(nullif(first + second + third, 0) AS DOUBLE), 0.0), 2) AS avg_place,
+  coalesce(first / CAST(n AS DOUBLE), 0.0) AS rate, {_KNOWN} AS known, {_RATES} AS rates, {_THEORY} AS parts,
+  CASE WHEN early > 0 THEN (late - early) / early * 10 ELSE 0.0 END AS trend, (SELECT max(raw_score) FROM mt) AS top_score,
+  EXISTS (SELECT 1 FROM mt WHERE mt.blade = dk.blade AND mt.ratchet = dk.ratchet AND mt.bit = dk.bit) AS is_meta_pick
+  FROM dk LEFT JOIN own ON own.blade = dk.blade AND own.ratchet = dk.ratchet AND own.bit = dk.bit
+  LEFT JOIN r_blade ON r_blade.blade = dk.blade LEFT JOIN r_ratchet ON r_ratchet.ratchet = dk.ratchet
+  LEFT JOIN r_bit ON r_bit.bit = dk.bit LEFT JOIN tr ON tr.combo = concat_ws(' ', dk.blade, dk.ratchet, dk.bit)),
+t AS (SELECT *, coalesce(rates / nullif(known, 0), 0.25) AS mean_rate, coalesce(parts / nullif(known, 0), 0.0) AS theory FROM j),
+rc AS (SELECT deck_id, blade, ratchet, bit, has_data, score, uses, wins, avg_place, round(rate * 100, 4) AS win_rate,
+  round(CASE WHEN has_data THEN least(coalesce(score / nullif(top_score, 0) * 100, 50.0), 100.0) ELSE least(theory * 0.5, 50.0) END, 4) AS meta_score,
+  round(CASE WHEN has_data THEN least(CASE WHEN avg_place > 0 THEN greatest(0.0, (4 - avg_place) / 3) * 100 ELSE 0.0 END * 0.8
+        + least(uses / 10.0, 1.0) * 20, 100.0) ELSE 0.0 END, 4) AS consistency_score,
+  round(CASE WHEN has_data THEN least(rate * 60 + least(wins * 10, 50), 100.0) ELSE theory * 0.6 END, 4) AS upside_score,
+  round(CASE WHEN has_data THEN least(greatest((CASE WHEN mean_rate > 0 THEN rate / mean_rate ELSE 1.0 END - 0.5) * 100, 0.0), 100.0)
+        WHEN known = 3 THEN theory * 0.7 ELSE 0.0 END, 4) AS synergy_score,
+  round(CASE WHEN has_data THEN least(greatest(0.0, 1 - uses / 20.0) * 50 + CASE WHEN rate > 0.3 THEN (rate - 0.3) * 100 ELSE 0.0 END, 100.0)
+        WHEN known = 3 THEN 40.0 ELSE 0.0 END, 4) AS surprise_score,
+  round(CASE WHEN has_data THEN 50 + greatest(-50.0, least(50.0, trend * 10)) ELSE 50.0 END, 4) AS trend_score, is_meta_pick,
+  has_data AND uses BETWEEN 2 AND 10 AND rate >= 0.3 AS is_hidden_gem, has_data AND trend > 2 AS is_rising FROM t),
+ro AS (SELECT *, round(meta_score * 0.30 + consistency_score * 0.20 + upside_score * 0.20 + synergy_score * 0.15
+       + surprise_score * 0.05 + trend_score * 0.10, 6) AS overall FROM rc)
+"""
+_STRENGTHS = ", ".join(
+    f"CASE WHEN {c} >= {k} THEN '{name}' END"
+    for c, k, name in (
+        ("meta_coverage", 70, "meta coverage"), ("consistency", 70, "consistency"), ("upside", 70, "high ceiling"),
+        ("diversity", 80, "diversity"), ("surprise", 60, "upset potential"),
+    )
+)
+
+
+def _deck_tier(limits: tuple[int, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN overall >= {x} THEN '{n}'" for x, n in zip(limits, "SABCD", strict=True)) + " ELSE 'F' END"
+
+
+ORACLE_SQL["rate_combo"] = DECKS + f"SELECT *, CASE WHEN has_data THEN {_deck_tier((85, 70, 55, 40, 25))} ELSE '?' END AS tier FROM ro"
+ORACLE_SQL["rate_deck"] = DECKS + f""", tb AS (SELECT DISTINCT blade FROM (SELECT * FROM mt ORDER BY raw_score DESC, {COMBO} LIMIT 10)),
+dd AS (SELECT deck_id, round(sum(overall) / 3, 6) AS overall,
+  round((SELECT count(*) FROM tb WHERE tb.blade IN (SELECT blade FROM ro q WHERE q.deck_id = ro.deck_id))
+        / CAST(greatest((SELECT least(count(*), 3) FROM tb), 1) AS DOUBLE) * 50 + {count('is_meta_pick')} / 3.0 * 50, 4) AS meta_coverage,
+  round(count(DISTINCT blade) / 3.0 * 40 + count(DISTINCT ratchet) / 3.0 * 30 + count(DISTINCT bit) / 3.0 * 30, 4) AS diversity,
+  round(sum(consistency_score) / 3, 4) AS consistency, round(max(upside_score) * 0.6 + sum(upside_score) / 3 * 0.4, 4) AS upside,
+  round(least(sum(surprise_score) / 3 + {count('is_hidden_gem')} * 15, 100.0), 4) AS surprise FROM ro GROUP BY deck_id)
+SELECT deck_id, overall, {_deck_tier((80, 65, 50, 35, 20))} AS tier, meta_coverage, diversity, consistency, upside, surprise,
+concat_ws(', ', {_STRENGTHS}) AS strengths FROM dd"""
