@@ -21,14 +21,14 @@ NOISE = [
     "final stage", "finals only", "first stage only", "3on3 match finals only", "3on3 finals only", "match finals only",
 ]
 #: Words of a location line that are not places.
-FORMAT_WORDS = r"(?i)\b(X Format|Ranked|Unranked|1on1|3on3|1v1|3v3|Experimental|Beyblade X)\b"
+FORMAT_WORDS = r"(?i)\b(X Format|Ranked|Unranked|1on1|3on3|1v1|3v3|Experimental)\b"
 #: Patterns of other game generations, and of the wanted one.
 OTHER_GAMES = [
     r"(?i)\b\d{2,3}(RF|WD|RB|MB|CS|B:D|SF|RSF|MF)\b",
     r"(?i)\bMF-[FLH]\b",
     r"(?i)\b(L-Drago|Pegasis|Leone|Sagittario)\b",
 ]
-WANTED_GAME = [r"\b\d{1,2}-\d{2,3}[A-Z]", r"(?i)Beyblade\s*X|X\s*Format"]
+WANTED_GAME = [r"\b\d{1,2}-\d{2,3}[A-Z]", r"(?i)X\s*Format"]
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -191,11 +191,14 @@ def normalised(rows: DataFrame, columns: list[str], rules: dict[str, str]) -> Da
 # -- posts --------------------------------------------------------------------------------------------------------
 
 
-def wanted_posts(posts: DataFrame) -> DataFrame:
-    """Posts (post_id, text) whose first 30 lines speak of the wanted game, blocked pages left out."""
+def wanted_posts(posts: DataFrame, game_names: tuple[str, ...] = ()) -> DataFrame:
+    """Posts (post_id, text) whose first 30 lines speak of the wanted game, blocked pages left out.
+
+    The game's own names are patterns that the caller adds to those of its part codes.
+    """
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 30), " ")
     other = head.rlike("|".join(OTHER_GAMES))
-    return posts.filter(~F.col("text").contains("Just a moment") & ~other & head.rlike("|".join(WANTED_GAME)))
+    return posts.filter(~F.col("text").contains("Just a moment") & ~other & head.rlike("|".join([*WANTED_GAME, *game_names])))
 
 
 def lines(posts: DataFrame) -> DataFrame:

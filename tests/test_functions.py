@@ -90,7 +90,7 @@ DranSword 3-60F
 HellScythe Phoenix Wing 4-80B
 
 3rd Place:
-1234beyblade
+1234spinner
 KnightShield 3-80N"""
     posts = spark.createDataFrame([("pid1", text), ("pid2", "Just a moment 3-60F")], "post_id string, text string")
     rows = ingest.with_event(ingest.lines(ingest.wanted_posts(posts)))
@@ -102,7 +102,7 @@ KnightShield 3-80N"""
     assert found == [
         (1, "Wombat", "DranSword"),
         (2, "henwooja1", "HellScythe Phoenix Wing"),
-        (3, "1234beyblade", "KnightShield"),
+        (3, "1234spinner", "KnightShield"),
     ]
 
 
