@@ -28,6 +28,20 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((hashes * np.uint64(_ODD[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """Sorted cells as steps: a byte under 255 ends a step, each 255 lengthens it."""
+    steps = np.diff(cells, prepend=0)
+    whole = steps // 255
+    out = np.full(int(whole.sum()) + len(steps), 255, dtype=np.uint8)
+    out[np.cumsum(whole + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    steps = np.frombuffer(data, dtype=np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
 class Bits:
     """The merged bit tables."""
 
@@ -70,7 +84,7 @@ def build(
                     if cut[s + 1] > cut[s]:
                         rows.append(r)
                         segs.append(s)
-                        cells.append((own[cut[s] : cut[s + 1]] - s * size).astype(np.uint32).tobytes())
+                        cells.append(packed(own[cut[s] : cut[s + 1]] - s * size))
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int32()), pa.array(segs, pa.int32()), pa.array(cells, pa.binary())],
@@ -91,7 +105,7 @@ def build(
     def merge(key, table):
         seen = np.zeros(size, dtype=np.uint8)
         for c in table["cells"]:
-            cell, count = np.unique(np.frombuffer(c.as_buffer(), dtype=np.uint32), return_counts=True)
+            cell, count = np.unique(unpacked(c.as_buffer()), return_counts=True)
             seen[cell] = np.minimum(seen[cell] + count, at_least)
         packed = np.packbits(seen >= at_least).tobytes()
         return pa.table(
