@@ -275,7 +275,7 @@ def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
         for _, b, hot, _ in _split(batch, shape, flagged):
             yield b.hash(hot, hot + shape.window, 0), 1
 
-    wanted = spark.sparkContext.broadcast(sketch.build(work, unsettled, bits=min(bits + 1, 29), at_least=1))
+    wanted = spark.sparkContext.broadcast(sketch.build(work, unsettled, bits=bits, at_least=1))
 
     def contributed(b, stands):
         h1 = b.hash(stands, stands + shape.window, 0)
@@ -287,7 +287,7 @@ def repeated_windows(rows: DataFrame, shape: Shape, *, bits: int) -> DataFrame:
             yield b.hash(hot, hot + shape.window, 0), 1
             yield contributed(b, stands)[1], 2
 
-    likely = spark.sparkContext.broadcast(sketch.build(work, both, bits=min(bits + 2, 29), at_least=2))
+    likely = spark.sparkContext.broadcast(sketch.build(work, both, bits=min(bits + 1, 29), at_least=2))
 
     def emit(batches):
         for batch in batches:

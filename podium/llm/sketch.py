@@ -114,9 +114,9 @@ def build(
         )
 
     parts = df.mapInArrow(partial, "r int, s int, cells binary")
-    merged = parts.groupBy("r", "s").applyInArrow(merge, "r int, s int, b binary").collect()
+    merged = parts.groupBy("r", "s").applyInArrow(merge, "r int, s int, b binary")
     rows = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    for x in merged:
-        b = np.frombuffer(bytes(x["b"]), dtype=np.uint8)
-        rows[x["r"]][x["s"] * size // 8 : x["s"] * size // 8 + len(b)] = b
+    for x in merged.toLocalIterator():  # a partition at a time, so the driver never holds a second copy
+        at = x["s"] * size // 8
+        rows[x["r"]][at : at + size // 8] = np.frombuffer(x["b"], dtype=np.uint8)
     return Bits(rows, bits)
