@@ -22,7 +22,9 @@ import functools
 import heapq
 import json
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -45,23 +47,28 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """A vocabulary with word ends, as read from a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or spec.get("decoder"):
             raise ValueError("a BPE vocabulary with word ends and without a decoder is needed")
         self.ids: dict[str, int] = model["vocab"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        #: Rank of a pair of ids (as one number), and the id that each rank merges into.
+        self.ranks: dict[int, int] = {}
+        self.into: list[int] = []
+        for m in model["merges"]:
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.ranks.setdefault(self.ids[a] << 32 | self.ids[b], len(self.into))
+            self.into.append(self.ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.ids | self.special).items()}
         inside, at_end = set(), set()
         for token in self.ids:
             body = token.removesuffix(END)
-            inside.update(zip(body, body[1:], strict=False))
+            inside.update([body[i : i + 2] for i in range(len(body) - 1)])
             if token.endswith(END) and len(body) > 1:
-                at_end.add((body[-2], body[-1]))
+                at_end.add(body[-2:])
         #: Pairs that some token holds before its end, and pairs that end a token with a word end.
         self.inside, self.at_end = inside, at_end
         self.letters = byte_letters()
@@ -70,83 +77,113 @@ class WordBPE:
         self.space = regex.compile(f"[{SPACE}]+")
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len)[::-1])) + ")")
         self.limit = cache
-        self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.fragments: dict[str, list[int]] = {}
 
-    def normalised(self, text: str) -> str:
+    def chunks(self, text: str) -> list[str]:
+        """The lower-cased runs between white space; no token crosses them."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.space.sub(" ", text).lower()
+        text = text.lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, but not to the vocabulary
+            return [x for x in self.space.split(text) if x]
+        return text.split()
 
     def split(self, word: str) -> list[str]:
         """Fragments between certain cuts."""
-        cuts, last = [0], len(word) - 1
-        for i in range(last):
-            pair = (word[i], word[i + 1])
-            if pair not in self.inside and not (i + 1 == last and pair in self.at_end):
-                cuts.append(i + 1)
-        cuts.append(len(word))
+        inside, last = self.inside, len(word) - 2
+        cuts = [i + 1 for i in range(last + 1) if word[i : i + 2] not in inside]
+        if cuts and cuts[-1] == last + 1 and word[last:] in self.at_end:
+            cuts.pop()
+        if not cuts:
+            return [word]
+        cuts = [0, *cuts, len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def merge(self, fragment: str, final: bool) -> tuple[int, ...]:
+    def merge(self, fragment: str, final: bool) -> list[int]:
         """Ids of a fragment; `final` fragments carry the word end."""
-        parts: list[str | None] = list(fragment)
+        ids = [self.ids[c] for c in fragment]
         if final:
-            parts[-1] += END
-        n = len(parts)
+            ids[-1] = self.ids[fragment[-1] + END]
+        n, rank, into = len(ids), self.ranks.get, self.into
+        none = len(into)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        if n > 100:
+            return self._merge_long(ids, ranks)
+        while ranks and (best := min(ranks)) < none:  # a scan of so few ranks is cheaper than a heap
+            i = ranks.index(best)
+            ids[i] = new = into[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, none)
+        return ids
+
+    def _merge_long(self, ids: list[int], first: list[int]) -> list[int]:
+        """The same merges over a heap of neighbouring pairs."""
+        n, rank, into = len(ids), self.ranks.get, self.into
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i, r in enumerate(first) if r < len(into)]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else -1
-            if j < 0 or ranks.get((parts[i], parts[j])) != r:
+            j = after[i] if ids[i] >= 0 else -1
+            if j < 0 or rank(ids[i] << 32 | ids[j]) != r:
                 continue
-            parts[i] += parts[j]
-            parts[j] = None
+            ids[i], ids[j] = into[r], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if (r := ranks.get((parts[i], parts[after[i]]))) is not None:
+                if (r := rank(ids[i] << 32 | ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (p := before[i]) >= 0 and (r := ranks.get((parts[p], parts[i]))) is not None:
+            if (p := before[i]) >= 0 and (r := rank(ids[p] << 32 | ids[i])) is not None:
                 heapq.heappush(heap, (r, p))
-        return tuple(self.ids[x] for x in parts if x is not None)
-
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one word and their tokens joined by spaces."""
-        letters = self.letters
-        pieces = self.split("".join([letters[b] for b in word.encode()]))
-        out: tuple[int, ...] = ()
-        for k, piece in enumerate(pieces):
-            key = (piece, k == len(pieces) - 1)
-            ids = self.fragments.get(key)
+        return [x for x in ids if x >= 0]
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word: fragments between certain cuts, encoded one by one."""
+        if not (word.isascii() and word.isalpha()):
+            letters = self.letters
+            word = "".join([letters[b] for b in word.encode()])
+        *pieces, last = self.split(word)
+        if not pieces:
+            return self.merge(last, True)
+        out: list[int] = []
+        for piece in pieces:
+            ids = self.fragments.get(piece)
             if ids is None:
-                ids = self.merge(*key)
+                ids = self.merge(piece, False)
                 if len(piece) <= 64:
                     if len(self.fragments) >= self.limit:
                         self.fragments.clear()
-                    self.fragments[key] = ids
+                    self.fragments[piece] = ids
             out += ids
-        found = out, " ".join([self.strings[i] for i in out])
-        if len(word) <= 64:
+        return out + self.merge(last, True)
+
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids (as bytes of 32-bit integers) and tokens of a run without white space."""
+        if chunk.isalpha():
+            ids = self.word(chunk)
+        else:
+            ids = [i for w in self.words.findall(chunk) for i in self.word(w)]
+        found = array("i", ids).tobytes(), " ".join([self.strings[i] for i in ids])
+        if len(chunk) <= 64:
             if len(self.seen) >= self.limit:
                 self.seen.clear()
-            self.seen[word] = found
+            self.seen[chunk] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, tokens) of every word and special token of a text, in order."""
-        out = []
-        seen, word = self.seen, self.word
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids (as bytes of 32-bit integers) and the tokens joined by spaces."""
+        found: list[tuple[bytes, str]] = []
         for i, part in enumerate(self.cut_special.split(text) if "<|" in text else [text]):
             if i % 2:
-                out.append(((self.special[part],), part))
+                found.append((array("i", [self.special[part]]).tobytes(), part))
             else:
-                for w in self.words.findall(self.normalised(part)):
-                    out.append(seen.get(w) or word(w))
-        return out
+                seen, chunk = self.seen, self.chunk
+                found += [seen.get(x) or chunk(x) for x in self.chunks(part)]
+        return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
 
     def decode(self, ids) -> str:
         """The tokens joined by spaces, special tokens included."""
@@ -171,14 +208,14 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
                 sizes, flat, decoded, room, i = [0], [], [], 1_000_000, first
                 while i < batch.num_rows and room > 0:
                     raw = texts[i].as_py()
-                    found = bpe.encode(raw)
-                    for ids, _ in found:
-                        flat.extend(ids)
-                    sizes.append(len(flat))
-                    decoded.append(" ".join([s for _, s in found]))
+                    ids, tokens = bpe.encode(raw)
+                    flat.append(ids)
+                    sizes.append(sizes[-1] + len(ids) // 4)
+                    decoded.append(tokens)
                     room -= len(raw)
                     i += 1
-                ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+                values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
                 own = rest.slice(first, i - first)
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, ids, pa.array(decoded, pa.string())], names=[*own.schema.names, "ids", "decoded"]
