@@ -1,11 +1,13 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with equal shingle sets are one class, and only classes are compared. Signatures are banded; in each bucket
-the members are compared with one pivot, drawn anew for every band, so a bucket of n members gives n - 1 candidates. A
+the members are compared with two pivots, the member that shares most buckets with others (in a group of edited copies
+that is the original) and one drawn anew for every band, so a bucket of n members gives at most 2n candidates. A
 candidate's signatures are compared batch by batch, and it is pruned as soon as the posterior probability of reaching the
 threshold (uniform prior, so a Beta posterior) falls under the chosen miss probability. Survivors are verified on their
-full shingle sets. Components of the verified links then show which buckets still hold more than one component; their
-cross-component pairs are compared too, in blocks of signatures, so no pair that shares a bucket is left unsettled.
+full shingle sets. Components of the verified links then show which buckets still hold more than one component. Members
+of different components are compared there in blocks, by the same pruning and on full sets, and what a block returns is
+only the links that join components, so no pair that shares a bucket is left unsettled and none is written out twice.
 
 With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 1e-7 (1.5e-5 at 0.8).
 
@@ -33,7 +35,7 @@ SIZE = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, SIZE, dtype=_U) | _U(1)
 _B = _rng.integers(0, 2**64, SIZE, dtype=_U)
-BLOCK = 512
+BLOCK = 2048
 
 
 def _sets(column, shingle: int):
@@ -147,6 +149,14 @@ def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]])
     return joined.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(doc_id, data) of the documents with the given ids, one row an id."""
+    ids = written(ids.toDF("doc_id").distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    texts = docs.select("doc_id", whole_text().cast("binary").alias("data")).join(few, "doc_id", "left_semi")
+    return written(texts, "texts").dropDuplicates(["doc_id"])
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_ids: int) -> DataFrame:
     """The pairs whose full sets reach the similarity: 100 * intersection >= percent * union."""
 
@@ -168,62 +178,95 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broad
             if sum(map(len, held.values())) > 2_000_000:
                 held.clear()
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    texts = docs.select("doc_id", whole_text().cast("binary").alias("data")).join(few, "doc_id", "left_semi")
-    texts = written(texts, "texts").dropDuplicates(["doc_id"])
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b"))), broadcast_ids)
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("data").alias("db")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("data").alias("da")), "a"
     )
     return written(joined.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"), "links")
 
 
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """The band rows of buckets with two members or more."""
+    many = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return bands.join(many, "key")
+
+
 def _star_pairs(bands: DataFrame) -> DataFrame:
-    """Each bucket's members paired with the bucket's pivot, which differs from band to band."""
+    """Each bucket's members paired with the most central one, and with one that differs from band to band."""
+    central = bands.groupBy("id").agg(F.sum("n").alias("mates"))
+    ranked = bands.join(central, "id")
     drawn = F.struct(F.xxhash64("id", "key").alias("d"), F.col("id").alias("p"))
-    pivots = bands.groupBy("key").agg(F.min(drawn).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(pivots.select("key", F.col("m.p").alias("p")), "key").filter("id <> p")
+    pivots = ranked.groupBy("key").agg(
+        F.max(F.struct("mates", F.col("id").alias("p"))).alias("c"), F.min(drawn).alias("m")
+    )
+    both = bands.join(pivots.select("key", F.array_distinct(F.array("c.p", "m.p")).alias("ps")), "key")
+    pairs = both.select("id", F.explode("ps").alias("p")).filter("id <> p")
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def _open_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, limits) -> DataFrame | None:
-    """Surviving pairs of different components out of buckets of three or more; None if there are none."""
+def _open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component, blocks) of buckets of three or more members that hold more than one component."""
     named = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = (
         named.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("n").alias("n"))
         .filter("n > 2 AND lo <> hi")
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = written(named.join(spread, "key"), "open")
-    if rows.isEmpty():
-        return None
+    return named.select("key", "id", "component").join(spread, "key")
+
+
+def _open_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int, limits) -> DataFrame:
+    """Links (a, b) between different components of a bucket; each block returns at most one fewer than its members.
+
+    A bucket's members are dealt to blocks of about BLOCK by their id, and every two blocks meet once.
+    """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).join(classes.select("id", "sig"), "id")
+    dealt = rows.withColumn("own", own).withColumn("other", other).join(texts, "id")
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "own", "sig"
+        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "own", "data"
     )
 
     def compare(table):
-        ids = table["id"].to_numpy()
-        part, own_block = table["component"].to_numpy(), table["own"].to_numpy()
+        ids, own_block = table["id"].to_pylist(), table["own"].to_numpy()
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        sig = _matrix(table["sig"].combine_chunks())
-        a, b = [], []
+        sets = [s for _, s in _sets(table["data"].combine_chunks(), shingle)]
+        sig = np.stack([signature(s) for s in sets])
+        names, part = np.unique(table["component"].to_numpy(), return_inverse=True)
         right = np.flatnonzero(own_block == y)
+        a, b = [], []
         for i in np.flatnonzero(own_block == x):
-            to = right[(part[right] != part[i]) & ((ids[right] > ids[i]) | (x != y))]
-            if len(to):
-                to = to[_surviving(np.broadcast_to(sig[i], (len(to), SIZE)), sig[to], limits)]
-                a.append(np.minimum(ids[i], ids[to]))
-                b.append(np.maximum(ids[i], ids[to]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+            to = right[part[right] != part[i]]
+            to = to if x != y else to[to > i]
+            if not len(to):
+                continue
+            to = to[_surviving(np.broadcast_to(sig[i], (len(to), SIZE)), sig[to], limits)]
+            for j in to[np.argsort(-(sig[to] == sig[i]).sum(axis=1), kind="stable")]:
+                if part[j] == part[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links (a, b); only components take part, so what is solved anew is small."""
+    of = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}")), c, "left")
+    roots = components(links.select(of("a").alias("a"), of("b").alias("b"))).withColumnsRenamed({"component": "root"})
+    nodes = labels.select("id", "component").union(roots.select("id", F.col("id").alias("component"))).distinct()
+    roots = roots.withColumnRenamed("id", "component")
+    found = nodes.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return written(found.groupBy("id").agg(F.min("component").alias("component")), "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -241,22 +284,26 @@ def near_duplicates(
         filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes"
     )
     limits = least_matches(threshold, miss)
-    bands = written(band_rows(classes), "bands")
+    bands = written(shared_buckets(band_rows(classes)), "bands")
     first = written(_prune(_star_pairs(bands), classes, limits), "pairs")
     links = _verify(first, docs, shingle, percent, broadcast_ids)
     labels = written(components(links), "labels")
-    more = _open_pairs(bands, classes, labels, limits)
-    if more is not None:
-        more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    rows = written(_open_buckets(bands, labels), "open")
+    if not rows.isEmpty():
+        texts = _texts(docs, rows.select("id"), broadcast_ids).select(F.col("doc_id").alias("id"), "data")
+        more = written(_open_links(rows, texts, shingle, percent, limits), "links")
         if not more.isEmpty():
-            links = links.union(_verify(more, docs, shingle, percent, broadcast_ids))
+            labels = _joined(labels, more)
     # rows that share an id are one document, whatever sets they have
     twice = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).filter("n > 1").select("doc_id")
     member = classes.select("h1", "h2", F.col("id").alias("rep"))
-    shared = filled.join(twice, "doc_id").join(member, ["h1", "h2"]).select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b")
+    shared = written(
+        filled.join(twice, "doc_id")
+        .join(member, ["h1", "h2"])
+        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")),
+        "shared",
     )
-    final = components(links.union(shared))
+    final = labels if shared.isEmpty() else _joined(labels, shared)
     of_class = member.join(final, member["rep"] == final["id"], "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component")
     )
