@@ -6,9 +6,10 @@ was seen), so rare expressions cost both classes alike. A text's evidence is the
 divided by length: over the whole text, and over its best stretches of 8 and 16 bytes, since a long text can hold one
 toxic phrase. A logistic calibration, fitted on labelled texts that the counts have not seen, turns this into a score.
 
-The n-gram statistics are Spark aggregates and grow with the corpus. What is broadcast for scoring is a hashed table of
-2**`bits` log ratios with an 8-bit check for each entry (5 bytes an entry), whatever the corpus; where two n-grams meet
-in one bucket the more frequent one stays. The calibration takes at most `fit_rows` texts.
+The n-gram statistics are Spark aggregates and grow with the corpus, and every n-gram keeps its own log ratio. Up to
+`broadcast_grams` of them are broadcast for scoring as a hash table with whole keys, sized by their count (24 to 48 bytes
+an entry); beyond that the distinct n-grams of each chunk of texts are joined to the ratios by shuffles, and the chunk's
+texts are scored from what comes back. The calibration takes at most `fit_rows` texts.
 
 Edge cases: null and empty texts are scored as empty; without both classes among the labels every score is 0; repeated
 labels of one id count once (toxic if any is); null labels are left out; an empty table gives an empty result; columns
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, n, ratio) and (context, n, ratio): log of the toxic over the ordinary probability.
+    """(gram, ratio) and (context, ratio): log of the toxic over the ordinary probability.
 
     The second is for n-grams that neither class has seen: the shared lower order cancels, the backoff weights remain.
     """
@@ -123,80 +125,91 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("suffix", suffix)
         .join(per_context, "context")
         .join(shared, "suffix")
-        .select("gram", (F.col("t") + F.col("o")).alias("n"), F.log(probability("t") / probability("o")).alias("ratio"))
-    )
-    contexts = per_context.select(
-        "context", (F.col("ct") + F.col("co")).alias("n"), F.log(weight("t") / weight("o")).alias("ratio")
+        .select("gram", F.log(probability("t") / probability("o")).cast("float").alias("ratio"))
     )
+    contexts = per_context.select("context", F.log(weight("t") / weight("o")).cast("float").alias("ratio"))
     return grams, contexts
 
 
-def _place(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = R.mix(x * _SALT)
-    return (h >> _U(64 - bits)).astype(np.int64), (h & _U(0xFF)).astype(np.uint8)
+_FREE = _U(2**64 - 1)  # no packed n-gram
 
 
 @dataclass
 class Table:
+    """Ratios by whole key: open addressing, laid out in the order of the keys' home places."""
+
+    keys: np.ndarray
     ratios: np.ndarray
-    checks: np.ndarray
-    used: np.ndarray
     bits: int
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, check = _place(x, self.bits)
-        return self.ratios[at], (self.checks[at] == check) & self.used[at]
-
+    @staticmethod
+    def of(keys: np.ndarray, ratios: np.ndarray) -> Table:
+        bits = max(1, int(2 * len(keys)).bit_length())
+        home = _home(keys, bits)
+        order = np.argsort(home, kind="stable")
+        step = np.arange(len(keys))
+        # each key at its home or behind the key before it
+        at = step + np.maximum.accumulate(home[order] - step) if len(keys) else step
+        size = max(1 << bits, int(at.max(initial=0)) + 1) + 1  # the last place stays free and ends every search
+        out = Table(np.full(size, _FREE), np.zeros(size, np.float32), bits)
+        out.keys[at], out.ratios[at] = keys[order], ratios[order]
+        return out
 
-def _table(df: DataFrame, key: str, bits: int) -> Table:
-    """Collect at most 2**bits entries: one for each bucket, its most frequent key."""
-
-    def bucket(column):
-        return F.pandas_udf(lambda s: _bucket_of(s, bits), "int")(column)
-
-    best = df.groupBy(bucket(F.col(key)).alias("bucket")).agg(
-        F.max(F.struct("n", F.col(key).alias("key"), "ratio")).alias("m")
-    )
-    rows = best.select("m.key", F.col("m.ratio").cast("float").alias("ratio")).toArrow()
-    out = Table(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, bool), bits)
-    at, check = _place(rows["key"].to_numpy().astype(np.int64).view(_U), bits)
-    out.ratios[at], out.checks[at], out.used[at] = rows["ratio"].to_numpy(), check, True
-    return out
-
-
-def _bucket_of(column, bits: int):
-    import pandas as pd
-
-    return pd.Series(_place(column.to_numpy(dtype=np.int64).view(_U), bits)[0].astype(np.int32))
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, 0 where there is none, and which of `x` are there."""
+        at = _home(x, self.bits)
+        here = self.keys[at]
+        seen = here == x
+        value = np.where(seen, self.ratios[at], np.float32(0))
+        left = np.flatnonzero(~seen & (here != _FREE))
+        while len(left):
+            at[left] += 1
+            here = self.keys[at[left]]
+            hit = left[here == x[left]]
+            seen[hit], value[hit] = True, self.ratios[at[hit]]
+            left = left[(here != x[left]) & (here != _FREE)]
+        return value, seen
+
+
+def _home(x: np.ndarray, bits: int) -> np.ndarray:
+    return (R.mix(x * _SALT) >> _U(64 - bits)).astype(np.int64)
+
+
+def _table(df: DataFrame, key: str) -> Table:
+    """Collect all keys with their ratios."""
+    rows = df.select(key, "ratio").toArrow()
+    return Table.of(rows[key].to_numpy().astype(np.int64).view(_U), rows["ratio"].to_numpy().astype(np.float32))
+
+
+def _evidence(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """(texts, 4) of the n-grams' log ratios: their mean, the best mean over each span, and the log length."""
+    sizes = np.diff(cut)
+    sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+    mean = (sums[cut[1:]] - sums[cut[:-1]]) / sizes
+    out = [mean]
+    ends = np.repeat(cut[1:], sizes)
+    for span in SPANS:
+        best = np.full(len(value), -np.inf)
+        if len(value) >= span:
+            best[: len(value) - span + 1] = (sums[span:] - sums[:-span]) / span
+            best[np.arange(len(value)) + span > ends] = -np.inf
+        top = np.maximum.reduceat(best, cut[:-1])
+        out.append(np.where(np.isfinite(top), top, mean))
+    return np.column_stack([*out, np.log(sizes)])
 
 
 @dataclass
 class Model:
-    grams: Table
-    contexts: Table
+    grams: Table | DataFrame  # (gram, ratio), a frame beyond the broadcast bound
+    contexts: Table | DataFrame  # (context, ratio)
     weights: np.ndarray | None = None  # of the evidence, the last one constant
     scale: np.ndarray | None = None  # means and deviations of the evidence
 
-    def evidence(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """(texts, 4): the mean log ratio, the best mean over each span, and the log length."""
-        grams, cut = _grams(offsets, data)
-        sizes = np.diff(cut)
+    def values(self, grams: np.ndarray) -> np.ndarray:
         value, seen = self.grams.find(grams)
         missing = np.flatnonzero(~seen)
-        back, known = self.contexts.find(grams[missing] >> _U(8))
-        value[missing] = np.where(known, back, 0)
-        sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        mean = (sums[cut[1:]] - sums[cut[:-1]]) / sizes
-        out = [mean]
-        ends = np.repeat(cut[1:], sizes)
-        for span in SPANS:
-            best = np.full(len(value), -np.inf)
-            if len(value) >= span:
-                best[: len(value) - span + 1] = (sums[span:] - sums[:-span]) / span
-                best[np.arange(len(value)) + span > ends] = -np.inf
-            top = np.maximum.reduceat(best, cut[:-1])
-            out.append(np.where(np.isfinite(top), top, mean))
-        return np.column_stack([*out, np.log(sizes)])
+        value[missing] = self.contexts.find(grams[missing] >> _U(8))[0]
+        return value
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = ((evidence - self.scale[0]) / self.scale[1]) @ self.weights[:-1] + self.weights[-1]
@@ -217,26 +230,88 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _with_evidence(rows: DataFrame, model, as_score: bool) -> DataFrame:
+def _column(found: list[np.ndarray], model: Model, as_score: bool) -> pa.Array:
+    found = np.concatenate(found or [np.zeros((0, len(SPANS) + 2))])
+    if as_score:
+        return pa.array(model.score(found))
+    new = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1])
+    return new.cast(pa.list_(pa.float64()))
+
+
+def _with_evidence(rows: DataFrame, model: Model, as_score: bool) -> DataFrame:
     """`rows` (with binary `_data`) and score, or the evidence as an array."""
+    if isinstance(model.grams, DataFrame):
+        return _joined_evidence(rows, model, as_score)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = shared.value
         for batch in batches:
             where = batch.schema.get_field_index("_data")
-            found = [model.value.evidence(o, d) for _, o, d in R.batches(batch.column(where), 500_000)]
-            found = np.concatenate(found or [np.zeros((0, len(SPANS) + 2))])
+            found = []
+            for _, offsets, data in R.batches(batch.column(where), 500_000):
+                grams, cut = _grams(offsets, data)
+                found.append(_evidence(model.values(grams), cut))
             rest = batch.drop_columns(["_data"])
-            if as_score:
-                new = pa.array(model.value.score(found))
-            else:
-                new = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1])
-                new = new.cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, new], names=[*rest.schema.names, "_new"])
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, _column(found, model, as_score)], names=[*rest.schema.names, "_new"]
+            )
 
     small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, _schema(rows, as_score))
+
+
+def _schema(rows: DataFrame, as_score: bool) -> str:
     fields = [f for f in rows.schema if f.name != "_data"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(run, f"{schema}, _new {'double' if as_score else 'array<double>'}")
+    return f"{schema}, _new {'double' if as_score else 'array<double>'}"
+
+
+def _joined_evidence(rows: DataFrame, model: Model, as_score: bool, chunk: int = 4 << 20) -> DataFrame:
+    """The same where the ratios stay distributed: each chunk's distinct n-grams are looked up by shuffled joins."""
+    fitted = Model(None, None, model.weights, model.scale)
+
+    def number(batches):
+        part, k, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            size += batch.column(batch.schema.get_field_index("_data")).nbytes
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, part + k))], names=[*batch.schema.names, "_chunk"]
+            )
+            if size >= chunk:
+                k, size = k + 1, 0
+
+    def distinct(batches):
+        for batch in batches:
+            for first, offsets, data in R.batches(batch.column(0), 500_000):
+                grams, cut = _grams(offsets, data)
+                own = np.repeat(batch.column(1).to_numpy()[first : first + len(offsets) - 1], np.diff(cut))
+                for c in np.unique(own):
+                    g = np.unique(grams[own == c])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(g), c)), pa.array(g.view(np.int64))], names=["_chunk", "gram"]
+                    )
+
+    def run(ratios, texts):
+        table = Table.of(ratios["gram"].to_numpy().astype(np.int64).view(_U), ratios["value"].to_numpy())
+        found = []
+        for _, offsets, data in R.batches(texts["_data"].combine_chunks(), 500_000):
+            grams, cut = _grams(offsets, data)
+            found.append(_evidence(table.find(grams)[0], cut))
+        new = _column(found, fitted, as_score)
+        return texts.drop_columns(["_data", "_chunk"]).append_column("_new", new)
+
+    small_batches(rows.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    # written, so that a text keeps its chunk
+    texts = written(rows.mapInArrow(number, f"{fields}, _chunk long"), "chunks")
+    needed = texts.select("_data", "_chunk").mapInArrow(distinct, "_chunk long, gram long").distinct()
+    needed = needed.withColumn("context", F.expr("shiftright(gram, 8)"))
+    found = needed.join(model.grams, "gram", "left").join(
+        model.contexts.withColumnRenamed("ratio", "back"), "context", "left"
+    )
+    found = found.select("_chunk", "gram", F.coalesce("ratio", "back", F.lit(0.0).cast("float")).alias("value"))
+    return found.groupBy("_chunk").cogroup(texts.groupBy("_chunk")).applyInArrow(run, _schema(rows, as_score))
 
 
 def train(
@@ -245,7 +320,7 @@ def train(
     *,
     label: str = "toxic",
     keep: Column | None = None,
-    bits: int = 21,
+    broadcast_grams: int = 2_000_000,
     fit_rows: int = 20_000,
     broadcast_labels: int = 2_000_000,
 ) -> Model | None:
@@ -263,12 +338,14 @@ def train(
     if not present[0] or not present[1]:
         return None
     grams, contexts = log_ratios(counts)
-    model = Model(_table(grams, "gram", bits), _table(contexts, "context", bits))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if counts.count() <= broadcast_grams:
+        model = Model(_table(grams, "gram"), _table(contexts, "context"))
+    else:
+        model = Model(written(grams, "ratios"), written(contexts, "backoffs"))
     share = min(1.0, 5 * fit_rows / max(1, own.count()))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003)
     rows = text.filter(aside & drawn).select("label", _padded(F.col("text")).alias("_data"))
-    found = _with_evidence(rows, shared, False).limit(2 * fit_rows).toArrow()
+    found = _with_evidence(rows, model, False).limit(2 * fit_rows).toArrow()
     x = np.array(found["_new"].to_pylist()).reshape(-1, len(SPANS) + 2)
     y = found["label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
@@ -283,9 +360,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     held = [c for c in docs.columns if c != "score"]
     if model is None:
         return docs.select(*held, F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*held, _padded(whole_text()).alias("_data"))
-    return _with_evidence(rows, shared, True).withColumnRenamed("_new", "score")
+    return _with_evidence(rows, model, True).withColumnRenamed("_new", "score")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
