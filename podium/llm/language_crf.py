@@ -6,8 +6,9 @@ between neighbouring words are learned with them. Forward-backward gives each wo
 code-switched text has words of several languages; the text's language is the one with the largest share.
 
 The tables are fitted by gradient ascent on the likelihood of a bounded sample: about `fit_rows` labelled documents of
-each language (chosen by a hash of the id among all of them, texts up to `fit_chars` characters). Every other step covers
-all documents and whole texts. Forward-backward is exact for any length: chains are cut into pieces whose transfer
+each language (chosen by a hash of the id among all of them, texts up to `fit_chars` characters; a language with fewer
+such texts is also learned from pieces of that length of its longer ones). Every other step covers all documents and whole
+texts. A document is rejected for words that no language explains, not for holding several languages. Forward-backward is exact for any length: chains are cut into pieces whose transfer
 matrices are multiplied first, so memory is bounded by a batch.
 
 Edge cases: null text and texts without a letter are `und` with score 0; languages outside the labels cannot be
@@ -198,27 +199,44 @@ def fit(samples: list[tuple[str, str]], languages: list[str], *, epochs: int = 3
     return model
 
 
+def _piece(size: int) -> Column:
+    """The text, or `size` characters of a longer one: at a drawn position, or from its first letter if none is there."""
+    text = F.col("text")
+    at = F.pmod(F.xxhash64("doc_id", text, F.lit("piece")), F.length("text") - size + 1).cast("int") + 1
+    drawn = F.substring(text, at, F.lit(size))
+    first = F.substring(text, F.length(F.regexp_extract("text", "^[^\\p{L}]*", 0)) + 1, F.lit(size))
+    return F.when(F.length("text") <= size, text).when(drawn.rlike("\\p{L}"), drawn).otherwise(first)
+
+
 def train(docs: DataFrame, *, fit_rows: int = 250, fit_chars: int = 20_000, keep: Column | None = None) -> Model | None:
     """A model from the labelled documents that `keep` allows."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     if keep is not None:
         known = known.filter(keep)
-    known = known.filter(F.length("text") <= fit_chars)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    short = F.length("text") <= fit_chars
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("short")).collect()
+    if not sizes:
         return None
+    enough = [r["lang"] for r in sizes if r["short"] >= fit_rows]
+    counts = {r["lang"]: r["short"] if r["lang"] in enough else r["n"] for r in sizes}
+    known = known.filter(short | ~F.col("lang").isin(enough))
     # the share of each language that gives about fit_rows rows, drawn by the id's hash
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    rows = known.filter(draw < share[F.col("lang")]).select("doc_id", "lang", F.lower("text").alias("text"))
+    rows = known.filter(draw < share[F.col("lang")]).select("doc_id", "lang", F.lower(_piece(fit_chars)).alias("text"))
     samples = sorted((r["lang"], r["text"]) for r in rows.limit(2 * fit_rows * len(counts)).collect())
     return fit(samples, sorted(counts))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs`, lang_pred and score (the share of the text's words in that language)."""
+    return _predicted(docs, model).drop("_sure")
+
+
+def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """predict() and _sure: the mean, over the words, of the probability of each word's best language."""
     if model is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "_sure": F.lit(0.0)})
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -226,36 +244,43 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         for batch in batches:
             where = batch.schema.get_field_index("_lid")
-            names, scores = [], []
+            names, scores, sure = [], [], []
             for _, offsets, data in R.batches(batch.column(where), 300_000):
                 x = features(offsets, data)
                 found, _ = marginals(model.scores(x), x.cut, model.moves)
                 sizes = np.diff(x.cut)
-                share = np.zeros((len(sizes), len(model.languages)))
+                share, best_word = np.zeros((len(sizes), len(model.languages))), np.zeros(len(sizes))
                 some = sizes > 0
                 if some.any():
                     share[some] = np.add.reduceat(found, x.cut[:-1][some], axis=0) / sizes[some][:, None]
+                    best_word[some] = np.add.reduceat(found.max(axis=1), x.cut[:-1][some]) / sizes[some]
                 best = share.argmax(axis=1)
                 names += [model.languages[b] if s else "und" for b, s in zip(best, sizes, strict=True)]
                 scores.append(np.clip(share[np.arange(len(best)), best], 0, 1))
+                sure.append(best_word)
             rest = batch.drop_columns(["_lid"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))],
-                names=[*rest.schema.names, "_lang", "_score"],
+                [
+                    *rest.columns,
+                    pa.array(names, pa.string()),
+                    *(pa.array(np.concatenate(v or [np.zeros(0)])) for v in (scores, sure)),
+                ],
+                names=[*rest.schema.names, "_lang", "_score", "_sure"],
             )
 
     held = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(held).schema)
     letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     rows = docs.select(*held, F.when(letter, F.concat(F.lower("text"), F.lit(" "))).cast("binary").alias("_lid"))
-    found = rows.mapInArrow(score, f"{schema}, _lang string, _score double")
+    found = rows.mapInArrow(score, f"{schema}, _lang string, _score double, _sure double")
     return found.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
 
 
 def identify(docs: DataFrame, *, reject_below: float = 0.5, **training) -> DataFrame:
-    """The documents whose language was recognised, with all their columns: no `und`, no score under the limit."""
-    found = predict(docs, train(docs, **training))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= reject_below)).select(docs.columns)
+    """The documents whose words were recognised, in one language or several, with all their columns: no `und`, and no
+    mean probability of the words' best languages under the limit."""
+    found = _predicted(docs, train(docs, **training))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("_sure") >= reject_below)).select(docs.columns)
 
 
 def op9_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from podium.llm import toxicity
+from podium.llm import language_crf, toxicity
 
 
 def _noise(seed, rows, size):
@@ -40,3 +41,38 @@ def test_toxicity_by_joins(spark):
     )
     assert len(near) == 64 and [x[0] for x in near] == [x[0] for x in far]
     assert np.allclose([x[1] for x in near], [x[1] for x in far], atol=1e-4)
+
+
+LANGUAGES = {
+    "en": "the quick brown fox jumps over that lazy dog while we were watching from this house",
+    "de": "der schnelle braune fuchs springt über den faulen hund während wir aus dem haus zusahen",
+    "fr": "le renard brun rapide saute par dessus ce chien paresseux pendant que nous regardions",
+}
+
+
+def _languages(spark, languages, repeat=1):
+    rows = []
+    for n, lang in enumerate(languages):
+        words = LANGUAGES[lang].split()
+        for i in range(40):
+            random.Random(i).shuffle(words)
+            rows.append((100 * n + i, " ".join(words * repeat), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_language_keeps_mixed_text(spark):
+    half = {k: " ".join(v.split()[:9]) for k, v in LANGUAGES.items()}
+    mixed = [(900, " ".join(half.values()), None), (901, "12 !? 34", None)]
+    docs = _languages(spark, LANGUAGES).union(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    model = language_crf.train(docs)
+    assert language_crf.predict(docs.filter("doc_id = 900"), model).first()["score"] < 0.5
+    kept = {r.doc_id for r in language_crf.identify(docs).select("doc_id").collect()}
+    assert 900 in kept and 901 not in kept and len(kept) == 121
+
+
+def test_language_of_long_texts_only(spark):
+    docs = _languages(spark, ["en", "fr"]).union(_languages(spark, ["de"], repeat=10).withColumn("doc_id", 500 + F.col("doc_id")))
+    model = language_crf.train(docs, fit_chars=300)
+    assert model.languages == ["de", "en", "fr"]
+    found = language_crf.predict(docs, model)
+    assert found.filter("lang_pred <> lang").count() == 0
