@@ -14,9 +14,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh temporary one where unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); where unset, a fresh temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,6 +40,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one run, in the shared folder; each can be dropped once no later plan reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = f"{shared_dir(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """`df`, which has `rows` rows, to be broadcast up to `limit` of them and shuffled beyond."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def whole_text(col: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -21,4 +21,5 @@ SQL = {
     "op4_line_quality": line_quality.SQL,
     "op6_near_dedup": near_dedup.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }
