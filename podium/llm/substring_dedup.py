@@ -1,12 +1,15 @@
 """Substring deduplication over windows of words, with a count-min prefilter.
 
-Every task sketches its windows through their smallest gram; the merged sketch overestimates window counts, so windows
-estimated to occur once are left out and none that repeats is. A second pass groups exactly what was estimated repeated
-(see `repeats`). Words are compared as they stand.
-
-Edge cases: null or empty text and texts shorter than a window lose nothing; equal ids with equal texts are copies of
-one another; a word covered by several repeated windows is removed once; an empty table gives an empty result; columns
-besides doc_id and text are ignored.
+Every task sketches its windows through the gram they belong to; the merged sketch overestimates window counts, so windows
+estimated to occur once are left out and none that repeats is. A second pass groups exactly what was estimated repeated:
+first the run of windows of each gram, then shorter runs of those that were not settled, at last single windows (see
+`runs`). Where a corpus is too large for the sketch it lets more pass, and the exact pass stays in proportion to the number
+of runs. Words are compared as they stand.
+
+Edge cases: null or empty text and texts shorter than a window lose nothing; very long texts are read whole, in one task
+each; equal ids with equal texts are copies of one another, equal ids with different texts are different documents; a word
+covered by several repeated windows is removed once; an empty table gives an empty result; columns besides doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -14,20 +17,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm import repeats
+from podium.llm import runs
 
 
-def shape(window: int = 35, gram: int = 12) -> repeats.Shape:
-    return repeats.Shape("word", window, gram)
+def shape(window: int = 35, gram: int = 12, widths: tuple[int, ...] = (4, 1)) -> runs.Shape:
+    return runs.Shape("word", window, gram, widths)
 
 
 def substring_dedup(docs: DataFrame, *, window: int = 35, gram: int = 12) -> DataFrame:
     """doc_id and text without words covered by repeated windows."""
-    return repeats.cleaned(docs, shape(window, gram))
+    return runs.cleaned(docs, shape(window, gram), sketched=True)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = repeats.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shape())
+    out = runs.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shape(), sketched=True)
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 

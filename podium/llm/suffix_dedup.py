@@ -1,295 +1,41 @@
 """Byte-level substring deduplication by bucket-pointer refinement over sampled suffixes.
 
 A window of `window` bytes is repeated if its content also starts anywhere else. The suffixes that take part are sampled by
-content: a window belongs to the leftmost of its q-grams with the smallest hash, so equal windows belong to equal q-grams at
-equal distances, and the windows of one suffix are a run of starts. A node is a run of starts of one suffix.
+content (see `runs`), and a bucket holds the suffixes that start with the same bytes.
 
 1. Initial buckets. Suffixes are in one bucket if they start with the same q bytes. Buckets of one member are dropped.
-2. Refinement. In every round the nodes of a bucket are cut at fixed distances from their suffix, into runs of at most
-   `widths[k]` starts. All windows of such a run share a core, which is longer the shorter the run is (50, 185 and 200 bytes
-   by default). The new bucket identifier is made of the identifier that the last round gave and of the names of the bytes
-   that the core gains at earlier and later offsets, so no round reads again what an earlier one has settled.
-3. Of nodes with the same bytes throughout, two settle each other: the run is repeated as a whole, and one of them stands
-   for all from then on. A bucket goes on only if it holds two different nodes or more, one of them not settled; buckets
-   of one node are dropped. The last round has runs of one start, whose core is the window.
-
-Members are counted by partial aggregates and looked up by joins on identifiers, so no bucket meets in one task. What is
-broadcast is counted first, and shuffled beyond `broadcast_nodes`. Each intermediate table is dropped once the next stands.
+2. Refinement. In every round a bucket is refined by the names of the bytes at later (and earlier) offsets: the new
+   identifier is made of the identifier that the last round gave and of those names, so 50 bytes become 185 and then 200,
+   and no round reads again what an earlier one has settled. Buckets of one node are dropped in every round.
+3. Ends of repeats are found by runs of starts that are cut at fixed distances from their suffix, not start by start: only
+   runs that are neither settled as a whole nor alone in their bucket are cut further.
 
 Edge cases: null or empty text and texts under a window lose nothing; very long texts are read whole, in one task each;
 equal ids with equal texts are copies of one another, equal ids with different texts are different documents; removal may
-cut a UTF-8 character, so kept bytes need not be text; an empty table gives an empty result; columns besides doc_id and
-text are ignored. Bytes are compared by 128-bit names, and a document is named by 64 bits of its id and text.
+cut a UTF-8 character, so kept bytes need not be text; ties do not arise (a window is repeated or it is not); an empty table
+gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm import rolling as R
-from podium.llm.common import Tables, small, small_batches, whole_text
-
-_U = np.uint64
-_HIGH, _LOW = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
-_NODE = "row long, code long, c long, h1 long, h2 long, w int"
-
-
-@dataclass(frozen=True)
-class Shape:
-    """Bytes of a window and of an initial bucket, and the longest run of starts in each round of refinement."""
-
-    window: int = 200
-    q: int = 50
-    widths: tuple[int, ...] = (16, 1)
-
-    @property
-    def room(self) -> int:
-        """The greatest distance of a window's start from its suffix."""
-        return self.window - self.q
-
-
-def refine(ids: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Bucket identifiers refined by the names of bytes at earlier and later offsets."""
-    return R.mix(ids * _U(0x9FB21C651E98DF25) + R.mix(before ^ _U(0x2545F4914F6CDD1D)) + R.mix(after * _U(0xD6E8FEB86659FD93)))
-
-
-class Text:
-    """The bytes of a run of documents; `name` gives 64 bits of any stretch, in two independent ways."""
-
-    def __init__(self, offsets: np.ndarray, data: np.ndarray):
-        self.offsets = offsets
-        values = R.byte_values(data)
-        self.sums = (R.prefix_sums(values, 1), R.prefix_sums(values, 2))
-
-    def name(self, start: np.ndarray, end: np.ndarray, half: int = 0) -> np.ndarray:
-        size = (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
-        return R.mix(R.range_hash(self.sums[half], start, end, 1 + half) + (size ^ _U(half)))
-
-
-def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A node in one integer: its suffix, its distances lo to hi from it, and 1 for one place, 2 for more."""
-    return (at << 30) | (lo << 16) | (hi << 2) | weight
-
-
-def unpacked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return code >> 30, (code >> 16) & 0x3FFF, (code >> 2) & 0x3FFF, code & 3
-
-
-def _node_batch(row, code, c, h1, h2, w) -> pa.RecordBatch:
-    signed = [pa.array(x.view(np.int64)) for x in (c, h1, h2)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(row), pa.array(code), *signed, pa.array(w.astype(np.int32))], names=["row", "code", "c", "h1", "h2", "w"]
-    )
-
-
-def _named(text: Text, shape: Shape, p, lo, hi, c, low, top) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of all bytes of nodes, whose core (of starts low to top) has the identifier c."""
-    before = text.name(p - hi, p - low)
-    after = text.name(p - top + shape.window, p - lo + shape.window)
-    return refine(c, before, after), text.name(p - hi, p - lo + shape.window, 1)
-
-
-def initial_nodes(rows: DataFrame, shape: Shape) -> DataFrame:
-    """All nodes: for every sampled suffix the run of windows that belong to it, c being the name of its first q bytes."""
-
-    def scan(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, offsets, data in R.batches(batch.column(1), 300_000):
-                n = len(data) - shape.window + 1
-                if n <= 0:
-                    continue
-                text = Text(offsets, data)
-                grams = R.mix(R.rolling(text.sums[0], shape.q, 1))
-                order = (grams & _HIGH) | np.arange(len(grams), dtype=_U)
-                owner = (R.sliding_min(order, shape.room + 1) & _LOW).astype(np.int64)[:n]
-                inside = np.ones(n + 1, dtype=bool)
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    inside[max(a, b - shape.window + 1) : b] = False
-                inside = inside[:n]
-                edge = np.ones(n, dtype=bool)
-                edge[1:] = (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
-                start = np.flatnonzero(edge)
-                end = np.append(start[1:], n) - 1
-                start, end = start[inside[start]], end[inside[start]]
-                if not len(start):
-                    continue
-                p = owner[start]
-                lo, hi = p - end, p - start
-                c = text.name(p, p + shape.q)
-                h1, h2 = _named(text, shape, p, lo, hi, c, np.zeros_like(p), np.full_like(p, shape.room))
-                doc = np.searchsorted(offsets, start, side="right") - 1
-                one = np.ones_like(p)
-                yield _node_batch(keys[first + doc], packed(p - offsets[doc], lo, hi, one), c, h1, h2, one)
-
-    return rows.mapInArrow(scan, _NODE)
-
-
-def refined_nodes(rows: DataFrame, shape: Shape, width: int, last: int) -> DataFrame:
-    """The nodes of documents (row, data, nodes) cut into runs of `width` starts, with their refined identifiers.
-
-    `last` is the width of the round before.
-    """
-
-    def cut(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            nodes = batch.column(2)
-            for first, offsets, data in R.batches(batch.column(1), 300_000):
-                own = nodes.slice(first, len(offsets) - 1)
-                counts = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
-                flat = own.flatten()
-                doc = np.repeat(np.arange(len(offsets) - 1), counts)
-                p, lo, hi, w = unpacked(flat.field("code").to_numpy(zero_copy_only=False))
-                c = flat.field("c").to_numpy(zero_copy_only=False).view(_U)
-                text = Text(offsets, data)
-                pieces = hi // width - lo // width + 1
-                of = np.repeat(np.arange(len(p)), pieces)
-                step = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + (lo // width)[of]
-                doc, w, c, lo, hi = doc[of], w[of], c[of], lo[of], hi[of]
-                p = p[of] + offsets[doc]
-                low, top = step * width, np.minimum(step * width + width - 1, shape.room)
-                lo, hi = np.maximum(lo, low), np.minimum(hi, top)
-                # the core of the bucket in the round before, and what the refined core has beyond it
-                was_low = lo // last * last
-                was_top = np.minimum(was_low + last - 1, shape.room)
-                c = refine(
-                    c, text.name(p - low, p - was_low), text.name(p - was_top + shape.window, p - top + shape.window)
-                )
-                h1, h2 = _named(text, shape, p, lo, hi, c, low, top)
-                yield _node_batch(keys[first + doc], packed(p - offsets[doc], lo, hi, w), c, h1, h2, w)
-
-    return rows.mapInArrow(cut, _NODE)
-
-
-def classes_of(nodes: DataFrame) -> DataFrame:
-    """Nodes with the same bytes: how many there are (two stand for more), and one of them."""
-    return nodes.groupBy("h1", "h2").agg(
-        F.sum("w").cast("long").alias("total"), F.min(F.struct("row", "code", "c")).alias("one")
-    )
-
-
-def settled_of(nodes: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
-    """(row, code) of the nodes that are repeated as a whole."""
-    many = classes.filter("total > 1").select("h1", "h2")
-    return nodes.filter("w = 1").join(small(many, many.count(), limit), ["h1", "h2"], "left_semi").select("row", "code")
-
-
-def open_of(classes: DataFrame, limit: int) -> DataFrame:
-    """(row, code, c) of one node of each class, in buckets of two classes or more with one that is not settled."""
-    flat = classes.select("one.row", "one.code", "one.c", F.least("total", F.lit(2)).alias("w"))
-    buckets = flat.groupBy("c").agg(F.count("*").alias("n"), F.min("w").alias("least")).filter("n > 1 AND least = 1")
-    kept = flat.join(small(buckets.select("c"), buckets.count(), limit), "c", "left_semi")
-    return kept.select("row", (F.col("code").bitwiseAND(~3)).bitwiseOR(F.col("w")).alias("code"), "c")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """row, the key of a document (its id and text), and data, its bytes."""
-    text = whole_text()
-    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("row"), text.cast("binary").alias("data"))
-
-
-def repeated_spans(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """(row, spans): the runs of starts of repeated windows of each document, as packed nodes."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    tables, rows, limit = Tables(spark, "suffix"), keyed(docs), broadcast_nodes
-    everything = tables.write(initial_nodes(rows, shape), "initial")
-    # only what starts with the same q bytes as another suffix is kept
-    buckets = tables.write(everything.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), "buckets")
-    nodes = everything.join(small(buckets, buckets.count(), limit), "c", "left_semi")
-    last, settled, held = shape.room + 1, [], ["initial", "buckets"]
-    for k, width in enumerate((*shape.widths, 0)):
-        classes = tables.write(classes_of(nodes), f"classes{k}")
-        settled.append(tables.write(settled_of(nodes, classes, limit), f"settled{k}"))
-        if not width:
-            tables.drop(*held, f"classes{k}")
-            break
-        left = tables.write(open_of(classes, limit), f"open{k}")
-        tables.drop(*held, f"classes{k}")
-        by_row = left.groupBy("row").agg(F.collect_list(F.struct("code", "c")).alias("nodes"))
-        of_docs = rows.join(small(by_row, left.count(), limit), "row").select("row", "data", "nodes")
-        nodes = tables.write(refined_nodes(of_docs, shape, width, last), f"nodes{k}")
-        tables.drop(f"open{k}")
-        last, held = width, [f"nodes{k}"]
-    found = settled[0]
-    for more in settled[1:]:
-        found = found.union(more)
-    return found.groupBy("row").agg(F.collect_set("code").alias("spans"))
-
-
-def without_spans(rows: DataFrame, shape: Shape) -> DataFrame:
-    """(row, n_removed, n_spans, kept_sha256, kept) of documents (row, data, spans)."""
-    schema = pa.schema(
-        [("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
-    )
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for key, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer(raw.as_py(), dtype=np.uint8)
-                p, lo, hi, _ = unpacked(spans.values.to_numpy(zero_copy_only=False))
-                cover = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(cover, p - hi, 1)
-                np.add.at(cover, p - lo + shape.window, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                kept = data[~gone].tobytes()
-                n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
-                out.append((key, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = zip(*out, strict=True) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return rows.mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _cut(docs: DataFrame, shape: Shape, broadcast_nodes: int) -> DataFrame:
-    spans = Tables(docs.sparkSession, "suffix").write(
-        repeated_spans(docs, shape, broadcast_nodes=broadcast_nodes), "spans"
-    )
-    rows = keyed(docs)
-    n = spans.count()
-    if n <= broadcast_nodes:  # texts without a span are left out before the shuffle
-        rows = rows.join(F.broadcast(spans.select("row")), "row", "left_semi")
-    found = rows.join(spans, "row").select("row", "data", "spans")
-    return without_spans(found, shape).dropDuplicates(["row"])
+from podium.llm import runs
 
 
-def dedup(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row for each input row."""
-    text = whole_text()
-    base = docs.select(
-        "doc_id",
-        F.xxhash64(F.col("doc_id"), text).alias("row"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.sha2(text.cast("binary"), 256).alias("_plain"),
-    )
-    return base.join(_cut(docs, shape, broadcast_nodes).drop("kept"), "row", "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "_plain").alias("kept_sha256"),
-    )
+def shape(window: int = 200, q: int = 50, widths: tuple[int, ...] = (16, 1)) -> runs.Shape:
+    return runs.Shape("byte", window, q, widths)
 
 
-def suffix_dedup(docs: DataFrame, *, window: int = 200, q: int = 50, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """doc_id and text without bytes covered by repeated strings (bytes that are no longer UTF-8 are replaced)."""
-    cut = _cut(docs, Shape(window, q), broadcast_nodes).select("row", "kept")
-    base = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), whole_text()).alias("row"))
-    return base.join(cut, "row", "left").select(
-        "doc_id", F.coalesce(F.expr("decode(kept, 'UTF-8')"), F.col("text")).alias("text")
-    )
+def suffix_dedup(docs: DataFrame, *, window: int = 200, q: int = 50) -> DataFrame:
+    """doc_id and text without bytes covered by repeated strings of `window` bytes."""
+    return runs.cleaned(docs, shape(window, q), sketched=False)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), Shape())
+    out = runs.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shape(), sketched=False)
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ from podium.llm import (
     line_quality,
     near_dedup,
     quality_fm,
-    repeats,
+    runs,
     secret_forest,
     substring_dedup,
     suffix_dedup,
@@ -114,14 +114,14 @@ def test_near_dedup(docs):
 
 def test_repeats(docs):
     empty = hashlib.sha256(b"").hexdigest()
-    found = by_id(repeats.dedup(docs, substring_dedup.shape()), "n", "n_removed", "kept_sha256")
+    found = by_id(runs.dedup(docs, substring_dedup.shape(), sketched=True), "n", "n_removed", "kept_sha256")
     assert len(found) == len(ROWS)
     assert (1, 80, 80, empty) in found and found.count((7, 80, 80, empty)) == 2 and (6, 40_000, 40_000, empty) in found
     assert (3, 0, 0, empty) in found and (None, 81, 80, hashlib.sha256(b"tail").hexdigest()) in found
     assert substring_dedup.substring_dedup(docs).filter("doc_id = 8").first()["text"] == "a b"
-    bytes_found = by_id(repeats.dedup(docs, suffix_dedup.shape()), "n", "n_removed", "n_spans")
+    bytes_found = by_id(runs.dedup(docs, suffix_dedup.shape(), sketched=False), "n", "n_removed", "n_spans")
     assert (6, 200_000, 200_000, 1) in bytes_found and (4, 0, 0, 0) in bytes_found and (8, 3, 0, 0) in bytes_found
-    assert repeats.dedup(docs.limit(0), suffix_dedup.shape()).count() == 0
+    assert runs.dedup(docs.limit(0), suffix_dedup.shape(), sketched=False).count() == 0
 
 
 def test_language(docs):
