@@ -2,16 +2,19 @@
 
 N-grams of the labelled texts are counted for each class over all of them. Both class models interpolate their
 discounted counts with one shared lower-order distribution, made of continuation counts (in how many contexts a suffix
-was seen), so rare expressions cost both classes alike. A text's evidence is the difference of the two log-likelihoods,
-divided by length: over the whole text, and over its best stretches of 8 and 16 bytes, since a long text can hold one
-toxic phrase. A logistic calibration, fitted on labelled texts that the counts have not seen, turns this into a score.
+was seen) and itself interpolated with the next lower order, down to single bytes, so rare expressions cost both classes
+alike. A text's evidence is the difference of the two log-likelihoods, divided by length: over the whole text, and over its
+best stretches of 8 and 16 bytes, since a long text can hold one toxic phrase. A logistic calibration turns this into a
+score. It is fitted to evidence from models that have not counted the text: labelled texts are dealt to two halves, and
+each half is judged by the counts of the other. Evidence cannot speak against itself: its weights are 0 or more.
 
 The n-gram statistics are Spark aggregates and grow with the corpus, and every n-gram keeps its own log ratio. Up to
 `broadcast_grams` of them are broadcast for scoring as a hash table with whole keys, sized by their count (24 to 48 bytes
 an entry); beyond that the distinct n-grams of each chunk of texts are joined to the ratios by shuffles, and the chunk's
 texts are scored from what comes back. The calibration takes at most `fit_rows` texts.
 
-Edge cases: null and empty texts are scored as empty; without both classes among the labels every score is 0; repeated
+Edge cases: null and empty texts are scored as empty; very long texts are counted and scored whole; ties at the threshold
+are toxic; without both classes among the labels every score is 0; repeated
 labels of one id count once (toxic if any is); null labels are left out; an empty table gives an empty result; columns
 besides doc_id and text are ignored.
 """
@@ -54,30 +57,34 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit(" " * (ORDER - 1)), F.lower(text), F.lit(" ")).cast("binary")
 
 
+#: The two halves of the labelled texts, each by class (ordinary, toxic).
+GROUPS = range(4)
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, t, o): counts in toxic and ordinary texts of (text, label) rows, over all of them."""
+    """(gram, n0 .. n3): counts in the texts of (text, label, half) rows by 2 * half + label, over all of them."""
 
     def count(batches):
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        held: dict[int, list[np.ndarray]] = {k: [] for k in GROUPS}
         size = 0
 
         def send():
             found = {k: np.unique(np.concatenate(v or [np.zeros(0, _U)]), return_counts=True) for k, v in held.items()}
-            grams = np.union1d(found[0][0], found[1][0])
+            grams = np.unique(np.concatenate([x for x, _ in found.values()]))
             columns = [pa.array(grams.view(np.int64))]
-            for k in (1, 0):
+            for k in GROUPS:
                 n = np.zeros(len(grams), dtype=np.int64)
                 n[np.searchsorted(grams, found[k][0])] = found[k][1]
                 columns.append(pa.array(n))
                 held[k].clear()
-            return pa.RecordBatch.from_arrays(columns, names=["gram", "t", "o"])
+            return pa.RecordBatch.from_arrays(columns, names=["gram", *(f"n{k}" for k in GROUPS)])
 
         for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
+            group = batch.column(1).to_numpy(zero_copy_only=False)
             for first, offsets, data in R.batches(batch.column(0), 500_000):
                 grams, cut = _grams(offsets, data)
-                own = np.repeat(label[first : first + len(offsets) - 1], np.diff(cut))
-                for k in (0, 1):
+                own = np.repeat(group[first : first + len(offsets) - 1], np.diff(cut))
+                for k in GROUPS:
                     held[k].append(grams[own == k])
                 size += len(grams)
                 if size > 4_000_000:
@@ -87,9 +94,35 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             yield send()
 
     small_batches(labelled.sparkSession)
-    rows = labelled.select(_padded(whole_text()).alias("data"), F.col("label").cast("int").alias("label"))
-    parts = rows.mapInArrow(count, "gram long, t long, o long")
-    return parts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    rows = labelled.select(_padded(whole_text()).alias("data"), (2 * F.col("half") + F.col("label")).cast("int").alias("g"))
+    parts = rows.mapInArrow(count, "gram long, " + ", ".join(f"n{k} long" for k in GROUPS))
+    return parts.groupBy("gram").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in GROUPS])
+
+
+def class_counts(counts: DataFrame, *halves: int) -> DataFrame:
+    """(gram, t, o): counts in toxic and ordinary texts of the given halves."""
+    of = lambda c: sum((F.col(f"n{2 * h + c}") for h in halves), F.lit(0))
+    return counts.select("gram", of(1).alias("t"), of(0).alias("o")).filter("t + o > 0")
+
+
+def shared_backoff(grams: DataFrame, order: int, discount: float = 0.75) -> DataFrame:
+    """(gram, below): the shared probability of the last byte of grams (gram, left) of `order` bytes after the others.
+
+    `left` is in how many contexts a gram was seen; what is discounted from it goes to the next lower order.
+    """
+    rows = grams.withColumn("context", F.expr("shiftright(gram, 8)"))
+    per_context = rows.groupBy("context").agg(F.sum("left").alias("all"), F.count("*").alias("types"))
+    rows = rows.join(per_context, "context")
+    if order == 1:
+        lower = F.lit(1 / 256)
+    else:
+        suffix = F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1)
+        shorter = grams.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left"))
+        shorter = shared_backoff(shorter, order - 1, discount).toDF("suffix", "lower")
+        rows = rows.withColumn("suffix", suffix).join(shorter, "suffix")
+        lower = F.col("lower")
+    own = F.greatest(F.col("left") - discount, F.lit(0.0)) + discount * F.col("types") * lower
+    return rows.select("gram", (own / F.col("all")).alias("below"))
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +141,8 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum((F.col("t") > 0).cast("long")).alias("nt"),
         F.sum((F.col("o") > 0).cast("long")).alias("no"),
     )
-    per_suffix = counts.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("left"))
-    per_shorter = per_suffix.groupBy(F.expr("shiftright(suffix, 8)").alias("shorter")).agg(F.sum("left").alias("all"))
-    shared = per_suffix.withColumn("shorter", F.expr("shiftright(suffix, 8)")).join(per_shorter, "shorter")
-    shared = shared.select("suffix", (F.col("left") / F.col("all")).alias("below"))
+    per_suffix = counts.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left"))
+    shared = shared_backoff(per_suffix, ORDER - 1).withColumnRenamed("gram", "suffix")
 
     def weight(c: str) -> Column:
         return F.when(F.col(f"c{c}") > 0, discount[c] * F.col(f"n{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0))
@@ -216,18 +247,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the last weight is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, signed: int, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method; the first `signed` weights are kept at 0 or more, the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w += step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-3
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            h = (x[:, used] * (p * (1 - p))[:, None]).T @ x[:, used] + np.diag(penalty[used])
+            step = np.linalg.solve(h, (x.T @ (y - p) - penalty * w)[used])
+            w[used] += step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-8:
+                break
+        against = w[:signed] < 0
+        if not against.any():
+            return w
+        used[int(w[:signed].argmin())] = False
 
 
 def _column(found: list[np.ndarray], model: Model, as_score: bool) -> pa.Array:
@@ -314,6 +352,13 @@ def _joined_evidence(rows: DataFrame, model: Model, as_score: bool, chunk: int =
     return found.groupBy("_chunk").cogroup(texts.groupBy("_chunk")).applyInArrow(run, _schema(rows, as_score))
 
 
+def _model(counts: DataFrame, broadcast_grams: int) -> Model:
+    grams, contexts = log_ratios(counts)
+    if counts.count() <= broadcast_grams:
+        return Model(_table(grams, "gram"), _table(contexts, "context"))
+    return Model(written(grams, "ratios"), written(contexts, "backoffs"))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -324,34 +369,37 @@ def train(
     fit_rows: int = 20_000,
     broadcast_labels: int = 2_000_000,
 ) -> Model | None:
-    """A model from the labelled documents that `keep` allows; a fifth of them calibrates, the others are counted."""
+    """A model from the labelled documents that `keep` allows: all are counted, about `fit_rows` of them calibrate."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     if keep is not None:
         own = own.filter(keep)
+    own = own.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     own = written(own, "labels")
-    small = F.broadcast(own) if own.count() <= broadcast_labels else own
-    text = docs.select("doc_id", whole_text().alias("text")).join(small, "doc_id")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
-    counts = written(gram_counts(text.filter(~aside)), "grams")
-    present = counts.agg(F.max("t"), F.max("o")).first()
-    if not present[0] or not present[1]:
+    labelled = own.count()
+    few = F.broadcast(own) if labelled <= broadcast_labels else own
+    text = docs.select("doc_id", whole_text().alias("text")).join(few, "doc_id")
+    counts = written(gram_counts(text), "grams")
+    present = counts.agg(*[F.coalesce(F.max(f"n{k}"), F.lit(0)) for k in GROUPS]).first()
+    if not present[0] + present[2] or not present[1] + present[3]:
         return None
-    grams, contexts = log_ratios(counts)
-    if counts.count() <= broadcast_grams:
-        model = Model(_table(grams, "gram"), _table(contexts, "context"))
-    else:
-        model = Model(written(grams, "ratios"), written(contexts, "backoffs"))
-    share = min(1.0, 5 * fit_rows / max(1, own.count()))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003)
-    rows = text.filter(aside & drawn).select("label", _padded(F.col("text")).alias("_data"))
-    found = _with_evidence(rows, model, False).limit(2 * fit_rows).toArrow()
-    x = np.array(found["_new"].to_pylist()).reshape(-1, len(SPANS) + 2)
-    y = found["label"].to_numpy().astype(float)
-    if not 0 < y.sum() < len(y):
+    model = _model(class_counts(counts, 0, 1), broadcast_grams)
+    share = min(1.0, fit_rows / max(1, labelled))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    rows = text.filter(drawn).select("label", "half", _padded(F.col("text")).alias("_data"))
+    found, truth = [], []
+    for half in (0, 1):
+        if not present[2 * half] or not present[2 * half + 1]:
+            continue  # a half without both classes judges nothing
+        other = _model(class_counts(counts, half), broadcast_grams)
+        judged = _with_evidence(rows.filter(F.col("half") == 1 - half).drop("half"), other, False).toArrow()
+        found.append(np.array(judged["_new"].to_pylist()).reshape(-1, len(SPANS) + 2))
+        truth.append(judged["label"].to_numpy().astype(float))
+    if not found or not 0 < sum(y.sum() for y in truth) < sum(map(len, truth)):
         return None
+    x, y = np.concatenate(found), np.concatenate(truth)
     model.scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-9])
-    model.weights = _logistic((x - model.scale[0]) / model.scale[1], y)
+    model.weights = _logistic((x - model.scale[0]) / model.scale[1], y, len(SPANS) + 1)
     return model
 
 

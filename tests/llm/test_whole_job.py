@@ -18,7 +18,7 @@ def test_toxicity_keeps_every_gram(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     text = docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id")
-    counted = toxicity.gram_counts(text.filter("pmod(xxhash64(doc_id, 'aside'), 5) <> 0"))
+    counted = toxicity.class_counts(toxicity.gram_counts(text.withColumn("half", F.lit(0))), 0, 1)
     grams, contexts = toxicity.log_ratios(counted)
     for table, frame, key in ((model.grams, grams, "gram"), (model.contexts, contexts, "context")):
         rows = frame.select(key, "ratio").toArrow()
