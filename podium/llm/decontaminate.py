@@ -5,37 +5,44 @@ so one shingle per window, the one rarest in the corpus, is a sufficient prefix
 Document positions meet prefixes on the shingle hash; positional bounds (the window must start and end inside the
 document) drop what cannot fit, and the words themselves are compared before a match counts.
 
-The benchmark's shingles are broadcast while there are at most `broadcast_rows` of them, each of a bounded width; above
-that Spark shuffles both sides. Counting shingles is a partial aggregate, so only benchmark shingles leave a task.
-
-Edge cases: null or empty text has no words and is never contaminated; an item without words has no window; an item
-shorter than a window is one window of its own length; repeated items and windows match once per item id; an empty
-benchmark leaves every document clean; a row with a null id has no hits and stays; rows that share an id share
-their hits; columns besides those named are ignored.
+One pass over the documents keeps the places of benchmark shingles: (document, position, hash), never the text. The
+shingles are broadcast while there are at most `broadcast_rows` of them; above that Spark shuffles both narrow sides.
+Rarity is counted and prefixes are joined on what that pass kept. Texts are read again only for documents with a candidate.
+
+Edge cases: null or empty text has no words and is never contaminated; very long texts are read whole; an item without
+words has no window; an item shorter than a window is one window of its own length; repeated items and windows match once
+per item id; ties of rarity are broken by the place in the window; an empty benchmark leaves every document clean; a
+document is judged by its own text, so rows that share an id, or have a null one, are judged each by itself; columns besides
+those named are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import whole_text, written
+from podium.llm.common import small, whole_text, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are neither letters nor digits.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def item_words(text: Column) -> Column:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased."""
-    lowered = F.translate(text, UPPER, LOWER)
-    return F.array_remove(F.split(lowered, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    plain = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _hash_at(words: Column, start: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(words, start + k) for k in range(n)])
 
 
+def _row() -> Column:
+    """The name of a document: its id and text."""
+    return F.xxhash64(F.col("doc_id"), whole_text())
+
+
 def windows_of(benchmark: DataFrame, *, window: int = 13) -> DataFrame:
     """One row per distinct (item_id, words) window: item_id, w, n."""
     items = benchmark.select("item_id", item_words(whole_text()).alias("_iw")).filter(F.size("_iw") > 0)
@@ -48,94 +55,100 @@ def windows_of(benchmark: DataFrame, *, window: int = 13) -> DataFrame:
     )
 
 
-def _shingles(windows: DataFrame, width: int) -> DataFrame:
-    """(w, n, k, h, off): the shingles of `width` words of each distinct window, windows too short left out."""
+def _shingles(windows: DataFrame, width: int, shingle: int) -> DataFrame:
+    """(w, n, width, off, h): the shingles of windows that are joined on `width` words."""
+    own = windows.filter(F.col("n") >= width if width == shingle else F.col("n") == width)
     return (
-        windows.select("w", "n")
-        .filter(F.col("n") >= width)
-        .select("w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("off"))
-        .select("w", "n", "off", _hash_at(F.col("w"), F.col("off"), width).alias("h"))
+        own.select("w", "n", F.lit(width).alias("width"), F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("off"))
+        .withColumn("h", _hash_at(F.col("w"), F.col("off"), width))
     )
 
 
-def _positions(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, dw, pos): every place in a document where a shingle of `width` words starts."""
-    words = docs.select("doc_id", item_words(whole_text()).alias("dw")).filter(F.size("dw") >= width)
-    return words.select("doc_id", "dw", F.explode(F.sequence(F.lit(0), F.size("dw") - width)).alias("pos"))
-
-
-def _small(df: DataFrame, rows: int, broadcast_rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= broadcast_rows else df
+def _places(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(row, n_words, pos, h): every place in a document where a shingle of one of the widths starts."""
+    words = docs.select(_row().alias("row"), item_words(whole_text()).alias("dw"))
+    words = words.withColumn("n_words", F.size("dw")).filter(F.col("n_words") >= widths[0])
+    at = words.select("row", "dw", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words") - widths[0])).alias("pos"))
+    pos = F.col("pos")
+    if len(widths) == 1:
+        return at.select("row", "n_words", "pos", _hash_at(F.col("dw"), pos, widths[0]).alias("h"))
+    hashes = [F.when(pos + k <= F.col("n_words"), _hash_at(F.col("dw"), pos, k)) for k in widths]
+    out = at.select("row", "n_words", "pos", F.explode(F.array(*hashes)).alias("h"))
+    return out.filter(F.col("h").isNotNull())
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shingle: int = 5, broadcast_rows: int = 200_000
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    window: int = 13,
+    shingle: int = 5,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, start, n): every occurrence of an item's window in a document."""
+    """(row, item_id, start, n): every occurrence of an item's window in a document; row is xxhash64(doc_id, text)."""
     windows = written(windows_of(benchmark, window=window), "windows")
-    lengths = [r["n"] for r in windows.select(F.least("n", F.lit(shingle)).alias("n")).distinct().collect()]
-    found = []
-    for width in sorted(lengths):
-        # windows of `shingle` words or more are joined on shingles, shorter ones as a whole
-        own = windows.filter(F.col("n") >= width if width == shingle else F.col("n") == width)
-        parts = _shingles(own.select("w", "n").distinct(), width)
-        distinct = parts.select("h").distinct()
-        n_distinct = distinct.count()
-        here = _positions(docs, width).select(
-            "doc_id", "dw", "pos", _hash_at(F.col("dw"), F.col("pos"), width).alias("h")
-        )
-        counted = (
-            here.select("h").join(_small(distinct, n_distinct, broadcast_rows), "h").groupBy("h").agg(
-                F.count("*").alias("df")
-            )
+    widths = sorted(r["k"] for r in windows.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect())
+    if not widths:
+        return docs.select(_row().alias("row")).limit(0).crossJoin(
+            benchmark.select("item_id", F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
         )
-        counted = written(counted, "rarity")
-        order = Window.partitionBy("w").orderBy("df", "off", "h")
-        # a window with a shingle that no document holds cannot occur: the inner join leaves it incomplete
-        prefix = (
-            parts.join(counted, "h")
-            .withColumn("_k", F.row_number().over(order))
-            .withColumn("_all", F.count("*").over(Window.partitionBy("w")))
-            .filter((F.col("_k") == 1) & (F.col("_all") == F.col("n") - width + 1))
-            .select("w", "n", "h", "off")
-        )
-        prefix = written(prefix, "prefix")
-        start = F.col("pos") - F.col("off")
-        hit = (
-            here.join(_small(prefix, prefix.count(), broadcast_rows), "h")
-            .filter((start >= 0) & (start + F.col("n") <= F.size("dw")))
-            .filter(F.slice("dw", start + 1, F.col("n")) == F.col("w"))
-            .select("doc_id", "w", start.alias("start"), "n")
-        )
-        found.append(hit)
-    if not found:
-        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).select(
-            "doc_id", "item_id", F.lit(0).alias("start"), F.lit(0).alias("n")
-        )
-    hits = written(reduce(DataFrame.unionByName, found), "hits")
-    return hits.join(windows.select("item_id", "w"), "w").select("doc_id", "item_id", "start", "n")
+    distinct = windows.select("w", "n").distinct()
+    parts = _shingles(distinct, widths[0], shingle)
+    for width in widths[1:]:
+        parts = parts.unionByName(_shingles(distinct, width, shingle))
+    parts = written(parts, "shingles")
+    wanted = written(parts.select("h").distinct(), "wanted")
+    met = written(_places(docs, widths).join(small(wanted, wanted.count(), broadcast_rows), "h"), "places")
+    rarity = met.groupBy("h").agg(F.count("*").alias("df"))
+    # a window with a shingle that no document holds cannot occur: the inner join leaves it incomplete
+    own = Window.partitionBy("w")
+    prefix = (
+        parts.join(rarity, "h")
+        .withColumn("_k", F.row_number().over(own.orderBy("df", "off", "h")))
+        .withColumn("_all", F.count("*").over(own))
+        .filter((F.col("_k") == 1) & (F.col("_all") == F.col("n") - F.col("width") + 1))
+        .select("w", "n", "h", "off")
+    )
+    prefix = written(prefix, "prefix")
+    start = F.col("pos") - F.col("off")
+    likely = (
+        met.join(small(prefix, prefix.count(), broadcast_rows), "h")
+        .filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+        .select("row", F.struct(start.alias("start"), "n", "w").alias("c"))
+        .distinct()
+    )
+    likely = written(likely.groupBy("row").agg(F.collect_list("c").alias("cs")), "likely")
+    rows = likely.select("row")
+    texts = docs.select(_row().alias("row"), whole_text().alias("text"))
+    texts = texts.join(small(rows, rows.count(), broadcast_rows), "row", "left_semi").dropDuplicates(["row"])
+    dw = texts.select("row", item_words(F.col("text")).alias("dw"))
+    same = F.filter("cs", lambda c: F.slice(F.col("dw"), c["start"] + 1, c["n"]) == c["w"])
+    hits = dw.join(likely, "row").select("row", F.explode(same).alias("c")).select("row", "c.*")
+    return hits.join(windows.select("item_id", "w"), "w").select("row", "item_id", "start", "n")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shingle: int = 5) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted ids as strings) and contaminated (a twentieth or more hit)."""
+    """Per document: doc_id, row (xxhash64 of id and text), n_words, n_hit, n_items, items (sorted ids as strings) and
+    contaminated (a twentieth or more hit)."""
     found = written(matches(docs, benchmark, window=window, shingle=shingle), "matches")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    order = Window.partitionBy("row").orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    spans = found.select("row", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     hit = (
         spans.withColumn("_from", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.sum(F.greatest(F.col("end") - F.col("_from"), F.lit(0))).alias("n_hit"))
     )
     items = (
-        found.select("doc_id", F.col("item_id").cast("string").alias("item"))
+        found.select("row", F.col("item_id").cast("string").alias("item"))
         .distinct()
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    base = docs.select("doc_id", F.size(item_words(whole_text())).cast("long").alias("n_words"))
-    out = base.join(hit.join(items, "doc_id"), "doc_id", "left").select(
+    base = docs.select("doc_id", _row().alias("row"), F.size(item_words(whole_text())).cast("long").alias("n_words"))
+    out = base.join(hit.join(items, "row"), "row", "left").select(
         "doc_id",
+        "row",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -147,8 +160,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shingle: int = 5) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, window=window, shingle=shingle).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = contamination(docs, benchmark, window=window, shingle=shingle).filter("contaminated").select("row").distinct()
+    return docs.join(bad, _row() == bad["row"], "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
