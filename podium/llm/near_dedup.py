@@ -11,9 +11,13 @@ only the links that join components, so no pair that shares a bucket is left uns
 
 With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 1e-7 (1.5e-5 at 0.8).
 
-Edge cases: null text and texts without words have no shingles and are linked with nothing; a text with fewer words than
-a shingle is one shingle; rows that share an id are one document; a row with a null id links with nothing of its own; an
-empty table gives an empty result; columns besides doc_id and text are ignored.
+A pivot or a bucket may hold a third of all rows: the partners of a pivot are dealt to salted copies of it, and the members
+of an open bucket to blocks bounded in rows and in bytes of text.
+
+Edge cases: null text and texts without words have no shingles and are linked with nothing; very long texts are read whole;
+a text with fewer words than a shingle is one shingle; ids may be of any type that can be ordered; rows that share an id are
+one document; a row with a null id links with nothing of its own; of equal texts the smallest id stays; an empty table gives
+an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import small_batches, whole_text, written
+from podium.llm.common import small, small_batches, whole_text, written
 from podium.llm.components import components
 
 _U = np.uint64
@@ -35,7 +39,7 @@ SIZE = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, SIZE, dtype=_U) | _U(1)
 _B = _rng.integers(0, 2**64, SIZE, dtype=_U)
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def _sets(column, shingle: int):
@@ -67,25 +71,32 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _row() -> Column:
+    """The name of a row: its id and text."""
+    return F.xxhash64(F.col("doc_id"), whole_text())
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, sig): the set's 128-bit name, its size and its MinHash values."""
+    """(doc_id, row, h1, h2, n_shingles, size, sig): the set's 128-bit name, its size, the text's bytes, MinHash values."""
 
     def sign(batches):
         for batch in batches:
             h1, h2, n, sig = [], [], [], []
-            for _, s in _sets(batch.column(1), shingle):
+            for _, s in _sets(batch.column(2), shingle):
                 h1.append(int(s.sum(dtype=_U)))
                 h2.append(int(R.mix(s ^ _U(0x94D049BB133111EB)).sum(dtype=_U)))
                 n.append(len(s))
                 sig.append(signature(s).tobytes())
             names = (pa.array(np.array(x, dtype=_U).view(np.int64)) for x in (h1, h2))
+            size = pa.compute.binary_length(batch.column(2)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *names, pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
-                names=["doc_id", "h1", "h2", "n_shingles", "sig"],
+                [batch.column(0), batch.column(1), *names, pa.array(n, pa.int64()), size, pa.array(sig, pa.binary())],
+                names=["doc_id", "row", "h1", "h2", "n_shingles", "size", "sig"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("data"))
-    return rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, n_shingles long, sig binary")
+    rows = docs.select("doc_id", _row().alias("row"), whole_text().cast("binary").alias("data"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(sign, f"doc_id {kind}, row long, h1 long, h2 long, n_shingles long, size long, sig binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -134,7 +145,20 @@ def _surviving(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> n
     return left
 
 
-def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+def _with_value(pairs: DataFrame, end: str, values: DataFrame, name: str, limit: int, most: int = 512) -> DataFrame:
+    """The pairs with the value (id, value) of one end; an end of more than `most` pairs is dealt to copies of its value."""
+    hot = pairs.groupBy(end).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    hot = written(hot.select(end, F.ceil(F.col("n") / most).cast("int").alias("_copies")), "hot")
+    few = small(hot, hot.count(), limit)
+    other = "b" if end == "a" else "a"
+    dealt = pairs.join(few, end, "left")
+    dealt = dealt.withColumn("_copy", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    values = values.toDF(end, name).join(few, end, "left")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    return dealt.join(values.select(end, name, copies.alias("_copy")), [end, "_copy"]).drop("_copy")
+
+
+def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]], limit: int) -> DataFrame:
     """The pairs (a, b) whose signatures pass every batch."""
 
     def keep(batches):
@@ -143,18 +167,16 @@ def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]])
             yield batch.select([0, 1]).take(pa.array(rows))
 
     sig = classes.select("id", "sig")
-    joined = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(
-        sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a"
-    )
+    joined = _with_value(_with_value(pairs, "b", sig, "sb", limit), "a", sig, "sa", limit)
     return joined.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
-    """(doc_id, data) of the documents with the given ids, one row an id."""
-    ids = written(ids.toDF("doc_id").distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    texts = docs.select("doc_id", whole_text().cast("binary").alias("data")).join(few, "doc_id", "left_semi")
-    return written(texts, "texts").dropDuplicates(["doc_id"])
+    """(id, data) of the rows with the given names, once each."""
+    ids = written(ids.toDF("id").distinct(), "ids")
+    texts = docs.select(_row().alias("id"), whole_text().cast("binary").alias("data"))
+    texts = texts.join(small(ids, ids.count(), broadcast_ids), "id", "left_semi")
+    return written(texts, "texts").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_ids: int) -> DataFrame:
@@ -179,9 +201,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broad
                 held.clear()
 
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b"))), broadcast_ids)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("data").alias("db")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("data").alias("da")), "a"
-    )
+    joined = _with_value(_with_value(pairs, "b", texts, "db", broadcast_ids), "a", texts, "da", broadcast_ids)
     return written(joined.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -204,49 +224,77 @@ def _star_pairs(bands: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def _open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, component, blocks) of buckets of three or more members that hold more than one component."""
+def _open_buckets(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, component, blocks) of buckets of three or more members that hold more than one component.
+
+    Of buckets with the same members one is enough.
+    """
     named = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = (
         named.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("n").alias("n"))
+        .agg(
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.first("n").alias("n"),
+            F.bit_xor(F.xxhash64("id")).alias("s1"),
+            F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"),
+        )
         .filter("n > 2 AND lo <> hi")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    return named.select("key", "id", "component").join(spread, "key")
+    spread = spread.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
+    rows = written(named.select("key", "id", "component").join(spread.select("key", "n"), "key"), "spread")
+    sized = rows.join(classes.select("id", "size"), "id")
+    blocks = F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    return rows.join(sized.groupBy("key").agg(blocks.alias("blocks")), "key").select("key", "id", "component", "blocks")
 
 
-def _open_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int, limits) -> DataFrame:
+def _open_links(rows: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int, limits) -> DataFrame:
     """Links (a, b) between different components of a bucket; each block returns at most one fewer than its members.
 
-    A bucket's members are dealt to blocks of about BLOCK by their id, and every two blocks meet once.
+    A bucket's members are dealt to blocks by their id, and every two blocks meet once. Signatures are compared first; only
+    members with a partner that is not pruned have their text read.
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).join(texts, "id")
+    dealt = rows.withColumn("own", own).join(texts, "id").join(classes.select("id", "sig"), "id").withColumn("other", other)
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "own", "data"
+        "key",
+        F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"),
+        "id",
+        "component",
+        "own",
+        "sig",
+        "data",
     )
 
     def compare(table):
         ids, own_block = table["id"].to_pylist(), table["own"].to_numpy()
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        sets = [s for _, s in _sets(table["data"].combine_chunks(), shingle)]
-        sig = np.stack([signature(s) for s in sets])
-        names, part = np.unique(table["component"].to_numpy(), return_inverse=True)
+        data = table["data"].combine_chunks()
+        held: dict[int, np.ndarray] = {}
+
+        def shingles(i):
+            if i not in held:
+                held[i] = next(_sets(data.slice(i, 1), shingle))[1]
+            return held[i]
+
+        sig = _matrix(table["sig"].combine_chunks())
+        _, part = np.unique(table["component"].to_numpy(), return_inverse=True)
         right = np.flatnonzero(own_block == y)
         a, b = [], []
-        for i in np.flatnonzero(own_block == x):
+        for i in np.flatnonzero(own_block == x).tolist():
             to = right[part[right] != part[i]]
             to = to if x != y else to[to > i]
             if not len(to):
                 continue
             to = to[_surviving(np.broadcast_to(sig[i], (len(to), SIZE)), sig[to], limits)]
-            for j in to[np.argsort(-(sig[to] == sig[i]).sum(axis=1), kind="stable")]:
+            for j in to[np.argsort(-(sig[to] == sig[i]).sum(axis=1), kind="stable")].tolist():
                 if part[j] == part[i]:
                     continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                p, q = shingles(i), shingles(j)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
                     part[part == part[j]] = part[i]
@@ -281,38 +329,38 @@ def near_duplicates(
     sigs = written(signatures(docs, shingle), "signatures")
     filled = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
-        filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes"
+        filled.groupBy("h1", "h2").agg(
+            F.min("row").alias("id"), F.min(F.struct("row", "sig", "size")).alias("one")
+        ).select("h1", "h2", "id", "one.sig", "one.size"),
+        "classes",
     )
     limits = least_matches(threshold, miss)
     bands = written(shared_buckets(band_rows(classes)), "bands")
-    first = written(_prune(_star_pairs(bands), classes, limits), "pairs")
+    first = written(_prune(_star_pairs(bands), classes, limits, broadcast_ids), "pairs")
     links = _verify(first, docs, shingle, percent, broadcast_ids)
     labels = written(components(links), "labels")
-    rows = written(_open_buckets(bands, labels), "open")
+    rows = written(_open_buckets(bands, labels, classes), "open")
     if not rows.isEmpty():
-        texts = _texts(docs, rows.select("id"), broadcast_ids).select(F.col("doc_id").alias("id"), "data")
-        more = written(_open_links(rows, texts, shingle, percent, limits), "links")
+        texts = _texts(docs, rows.select("id"), broadcast_ids)
+        more = written(_open_links(rows, texts, classes, shingle, percent, limits), "links")
         if not more.isEmpty():
             labels = _joined(labels, more)
     # rows that share an id are one document, whatever sets they have
-    twice = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).filter("n > 1").select("doc_id")
     member = classes.select("h1", "h2", F.col("id").alias("rep"))
-    shared = written(
-        filled.join(twice, "doc_id")
-        .join(member, ["h1", "h2"])
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")),
-        "shared",
-    )
+    of_id = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).filter("n > 1")
+    twice = filled.join(of_id.select("doc_id"), "doc_id").join(member, ["h1", "h2"])
+    least = twice.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    shared = written(twice.join(least, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), "shared")
     final = labels if shared.isEmpty() else _joined(labels, shared)
     of_class = member.join(final, member["rep"] == final["id"], "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component")
     )
     out = sigs.select("doc_id", "h1", "h2", "n_shingles").join(of_class, ["h1", "h2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
+    out = out.withColumn("component", F.when(~alone, F.col("component")))
+    smallest = out.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(smallest, "component", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
