@@ -221,8 +221,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id"), text).alias("row"), text.cast("binary").alias("data"))
 
 
+def _texts_of(rows: DataFrame, found: DataFrame, broadcast_ids: int) -> DataFrame:
+    """row, data and the other column of `found` (one row a document); other texts are left out before the shuffle, where
+    the documents found are few enough to be broadcast."""
+    if found.count() <= broadcast_ids:
+        rows = rows.join(F.broadcast(found.select("row")), "row", "left_semi")
+    return rows.join(found, "row").select("row", "data", *found.columns[1:])
+
+
 def repeated_spans(
-    docs: DataFrame, shape: Shape, *, sketched: bool, per_item: int = 60, broadcast_nodes: int = 400_000
+    docs: DataFrame,
+    shape: Shape,
+    *,
+    sketched: bool,
+    per_item: int = 60,
+    broadcast_nodes: int = 20_000,
+    broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
     """(row, spans): the runs of starts of repeated windows of each document, as packed nodes.
 
@@ -254,9 +268,9 @@ def repeated_spans(
         left = tables.write(open_of(classes, limit), f"open{k}")
         tables.drop(*held, f"classes{k}")
         by_row = left.groupBy("row").agg(F.collect_list(F.struct("code", "c")).alias("nodes"))
-        of_docs = rows.join(small(by_row, left.count(), limit), "row").select("row", "data", "nodes")
-        nodes = tables.write(refined_nodes(of_docs, shape, width, last), f"nodes{k}")
-        tables.drop(f"open{k}")
+        by_row = tables.write(by_row, f"rows{k}")
+        nodes = tables.write(refined_nodes(_texts_of(rows, by_row, broadcast_ids), shape, width, last), f"nodes{k}")
+        tables.drop(f"open{k}", f"rows{k}")
         last, held = width, [f"nodes{k}"]
     found = settled[0]
     for more in settled[1:]:
@@ -295,17 +309,13 @@ def without_spans(rows: DataFrame, shape: Shape) -> DataFrame:
     return rows.mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _cut(docs: DataFrame, shape: Shape, broadcast_nodes: int, **options) -> DataFrame:
+def _cut(docs: DataFrame, shape: Shape, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
     """without_spans of the documents that have a repeated window, once for each id and text."""
-    spans = repeated_spans(docs, shape, broadcast_nodes=broadcast_nodes, **options)
-    rows = keyed(docs)
-    if spans.count() <= broadcast_nodes:  # texts without a span are left out before the shuffle
-        rows = rows.join(F.broadcast(spans.select("row")), "row", "left_semi")
-    found = rows.join(spans, "row").select("row", "data", "spans")
-    return without_spans(found, shape).dropDuplicates(["row"])
+    spans = repeated_spans(docs, shape, broadcast_ids=broadcast_ids, **options)
+    return without_spans(_texts_of(keyed(docs), spans, broadcast_ids), shape).dropDuplicates(["row"])
 
 
-def dedup(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 400_000, **options) -> DataFrame:
+def dedup(docs: DataFrame, shape: Shape, **options) -> DataFrame:
     """Per document: doc_id, n (symbols), n_removed, n_spans, kept_sha256; one row for each input row."""
     text = whole_text()
     if shape.unit == "word":
@@ -319,7 +329,7 @@ def dedup(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 400_000, **op
         n.cast("long").alias("n"),
         F.sha2(plain, 256).alias("_plain"),
     )
-    return base.join(_cut(docs, shape, broadcast_nodes, **options).drop("kept"), "row", "left").select(
+    return base.join(_cut(docs, shape, **options).drop("kept"), "row", "left").select(
         "doc_id",
         "n",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
@@ -328,9 +338,9 @@ def dedup(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 400_000, **op
     )
 
 
-def cleaned(docs: DataFrame, shape: Shape, *, broadcast_nodes: int = 400_000, **options) -> DataFrame:
+def cleaned(docs: DataFrame, shape: Shape, **options) -> DataFrame:
     """doc_id and text: what is left of each document (bytes that are no longer UTF-8 are replaced)."""
-    cut = _cut(docs, shape, broadcast_nodes, **options).select("row", "kept")
+    cut = _cut(docs, shape, **options).select("row", "kept")
     base = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), whole_text()).alias("row"))
     return base.join(cut, "row", "left").select(
         "doc_id", F.coalesce(F.expr("decode(kept, 'UTF-8')"), F.col("text")).alias("text")
