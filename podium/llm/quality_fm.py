@@ -5,12 +5,14 @@ shares of capitals, digits, symbols and punctuation, repeated words and lines) a
 a weight each input has a short vector; a pair of inputs interacts through the product of their vectors, and the sum over
 all pairs costs linear time by the identity: half of (square of the sum minus sum of the squares), per dimension.
 
-The machine is fitted by adaptive gradient steps on a bounded sample: at most about `fit_rows` labelled texts of up to
-`fit_chars` characters, chosen by a hash of the id. Scoring covers every whole text.
-
-Edge cases: null and empty texts have no words and are scored by what remains; without both classes among the labels
-every score is 0; repeated labels of one id count once (the lowest); null labels are left out; a missing or null n_chars
-is read as 0; an empty table gives an empty result; other columns are ignored.
+The machine is fitted by adaptive gradient steps on a bounded sample of whole labelled texts, chosen by a hash of the id:
+about `fit_rows` of them, or as many as have about `fit_chars` characters together where that is fewer; texts of any length
+are equally likely. Scoring covers every whole text.
+
+Edge cases: null and empty texts have no words and are scored by what remains; very long texts are read whole; without both
+classes among the labels every score is 0; repeated labels of one id count once (the lowest); null labels, and labels of a
+null id, are left out, rows with a null id are scored; ties at the threshold are of label 1; a missing or null n_chars is
+read as 0; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -183,18 +185,20 @@ def train(
     label: str = "quality",
     keep: Column | None = None,
     fit_rows: int = 5_000,
-    fit_chars: int = 30_000,
+    fit_chars: int = 60_000_000,
 ) -> Machine | None:
     """A machine from a bounded sample of the labelled documents that `keep` allows."""
     small_batches(docs.sparkSession)
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    own = own.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
+    own = own.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_y"))
     if keep is not None:
         own = own.filter(keep)
-    share = min(1.0, fit_rows / max(1, own.count()))
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    drawn = F.broadcast(drawn.limit(2 * fit_rows))
-    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars).join(drawn, "doc_id")
+    some = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    sizes = docs.select("doc_id", F.length("text").alias("_n")).join(own, "doc_id")
+    n, chars = sizes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    share = min(1.0, fit_rows / max(1, n), fit_chars / max(1, chars))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    rows = docs.select(some).filter(draw).join(own.filter(draw), "doc_id")
 
     def prepare(batches):
         for batch in batches:
@@ -216,7 +220,7 @@ def train(
             )
 
     schema = "label int, bucket array<int>, weight array<float>, dense array<double>"
-    found = _rows(rows, F.col("label")).mapInArrow(prepare, schema).toArrow()
+    found = _rows(rows, F.col("_y")).mapInArrow(prepare, schema).toArrow()
     y = found["label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
