@@ -2,18 +2,21 @@
 
 Every word has a score for each language: byte pairs and triples (with the word's edges, so short affixes too), its first
 and last three bytes, and the word itself as a lexicon entry, all hashed into tables of a fixed size. Transition scores
-between neighbouring words are learned with them. Forward-backward gives each word's language probabilities, so a
-code-switched text has words of several languages; the text's language is the one with the largest share.
+between neighbouring words are learned with them. Forward-backward gives each word's language probabilities, so the words
+of a code-switched text are labelled one by one (`label_words`); a text's language is the one with the largest share.
 
 The tables are fitted by gradient ascent on the likelihood of a bounded sample: about `fit_rows` labelled documents of
-each language (chosen by a hash of the id among all of them, texts up to `fit_chars` characters; a language with fewer
-such texts is also learned from pieces of that length of its longer ones). Every other step covers all documents and whole
-texts. A document is rejected for words that no language explains, not for holding several languages. Forward-backward is exact for any length: chains are cut into pieces whose transfer
-matrices are multiplied first, so memory is bounded by a batch.
-
-Edge cases: null text and texts without a letter are `und` with score 0; languages outside the labels cannot be
-predicted; without any labelled row everything is `und`; rows are scored one by one, so repeated ids and copies do not
-matter; an empty table gives an empty result; columns besides doc_id, text and lang are ignored.
+each language, chosen by a hash of the id among all of them; of a text longer than `fit_chars` characters a drawn piece of
+that length stands for it. As labelled texts are in one language each, chains of two to four stretches of different texts
+are added to them, one for every two texts, from which the switches are learned. Every other step covers all documents and
+whole texts. A document is rejected for words that no language explains, not for holding several languages.
+Forward-backward is exact for any length: chains are cut into pieces whose transfer matrices are multiplied first, so memory
+is bounded by a batch.
+
+Edge cases: null text and texts without a letter are `und` with score 0; very long texts are labelled whole; ties go to the
+language that sorts first; languages outside the labels cannot be predicted; without any labelled row everything is `und`;
+rows are scored one by one, so repeated and null ids and copies do not matter; an empty table gives an empty result;
+columns besides doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ class Words:
     pair: np.ndarray
     triple: np.ndarray
     first: np.ndarray
+    last: np.ndarray  # one beyond each word's last byte
     start: np.ndarray
     stop: np.ndarray
     word: np.ndarray
@@ -74,6 +78,7 @@ def features(offsets: np.ndarray, data: np.ndarray) -> Words:
         pair,
         triple,
         s - 1,
+        e - 1,
         _bucket(four[s - 1], 33),
         _bucket(four[np.maximum(e - 3, 0)], 44),
         _bucket(hashes, 55),
@@ -156,8 +161,28 @@ def marginals(scores: np.ndarray, cut: np.ndarray, moves: np.ndarray) -> tuple[n
     return out, pairs
 
 
-def fit(samples: list[tuple[str, str]], languages: list[str], *, epochs: int = 3, rate: float = 0.4, seed: int = 5) -> Model:
-    """Adaptive gradient ascent on the likelihood of (language, lower-cased text) samples."""
+def spliced(samples: list[tuple[str, str]], seed: int = 9) -> list[list[tuple[str, str]]]:
+    """The samples as chains of one stretch, and for every two of them a chain of stretches of several texts."""
+    rng = np.random.default_rng(seed)
+    chains = [[x] for x in samples]
+    if len({lang for lang, _ in samples}) < 2:
+        return chains
+    for _ in range(len(samples) // 2):
+        chain = []
+        for i in rng.integers(0, len(samples), rng.integers(2, 5)).tolist():
+            lang, text = samples[i]
+            words = text.split()
+            size = int(rng.integers(3, 25))
+            at = int(rng.integers(0, max(1, len(words) - size + 1)))
+            chain.append((lang, " ".join(words[at : at + size])))
+        chains.append(chain)
+    return chains
+
+
+def fit(
+    chains: list[list[tuple[str, str]]], languages: list[str], *, epochs: int = 3, rate: float = 0.4, seed: int = 5
+) -> Model:
+    """Adaptive gradient ascent on the likelihood of chains of (language, lower-cased text) stretches."""
     k = len(languages)
     tables = {kind: np.zeros((1 << BITS, k), dtype=np.float32) for kind in _KINDS}
     model = Model(languages, tables, np.zeros((k, k)))
@@ -166,18 +191,18 @@ def fit(samples: list[tuple[str, str]], languages: list[str], *, epochs: int = 3
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
     for _ in range(epochs):
-        order = rng.permutation(len(samples))
+        order = rng.permutation(len(chains))
         for a in range(0, len(order), 64):
-            part = [samples[i] for i in order[a : a + 64]]
-            raw = [(x + " ").encode() for _, x in part]
+            part = [chains[i] for i in order[a : a + 64]]
+            raw = [(x + " ").encode() for chain in part for _, x in chain]
             offsets = np.cumsum([0, *map(len, raw)])
             x = features(offsets, np.frombuffer(b"".join(raw), dtype=np.uint8))
             n = len(x.word)
             if not n:
                 continue
-            sizes = np.diff(x.cut)
-            truth = np.repeat([number[y] for y, _ in part], sizes)
-            found, pairs = marginals(model.scores(x), x.cut, model.moves)
+            truth = np.repeat([number[y] for chain in part for y, _ in chain], np.diff(x.cut))
+            cut = x.cut[np.cumsum([0, *map(len, part)])]
+            found, pairs = marginals(model.scores(x), cut, model.moves)
             wrong = -found
             wrong[np.arange(n), truth] += 1
             per_byte = np.repeat(wrong, np.diff(np.append(x.first, len(x.pair))), axis=0)
@@ -190,9 +215,11 @@ def fit(samples: list[tuple[str, str]], languages: list[str], *, epochs: int = 3
                     g[0] = 0 if kind in ("pair", "triple") else g[0]
                     squares[kind][:, j] += g * g
                     tables[kind][:, j] += (rate * g / np.sqrt(squares[kind][:, j])).astype(np.float32) * 0.2
+            inner = np.ones(n, dtype=bool)  # words that follow another one of their chain
+            inner[cut[:-1][cut[:-1] < n]] = False
+            at = np.flatnonzero(inner)
             seen = np.zeros((k, k))
-            for y, size in zip((number[y] for y, _ in part), sizes, strict=True):
-                seen[y, y] += max(0, size - 1)
+            np.add.at(seen, (truth[at - 1], truth[at]), 1)
             g = seen - pairs - 0.5 * model.moves * n / 100
             move_squares += g * g
             model.moves += rate * g / np.sqrt(move_squares)
@@ -213,19 +240,14 @@ def train(docs: DataFrame, *, fit_rows: int = 250, fit_chars: int = 20_000, keep
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     if keep is not None:
         known = known.filter(keep)
-    short = F.length("text") <= fit_chars
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("short")).collect()
-    if not sizes:
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
-    enough = [r["lang"] for r in sizes if r["short"] >= fit_rows]
-    counts = {r["lang"]: r["short"] if r["lang"] in enough else r["n"] for r in sizes}
-    known = known.filter(short | ~F.col("lang").isin(enough))
     # the share of each language that gives about fit_rows rows, drawn by the id's hash
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    rows = known.filter(draw < share[F.col("lang")]).select("doc_id", "lang", F.lower(_piece(fit_chars)).alias("text"))
-    samples = sorted((r["lang"], r["text"]) for r in rows.limit(2 * fit_rows * len(counts)).collect())
-    return fit(samples, sorted(counts))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_003)) / 1_000_003
+    rows = known.filter(draw < share[F.col("lang")]).select("lang", F.lower(_piece(fit_chars)).alias("text"))
+    return fit(spliced(sorted((r["lang"], r["text"]) for r in rows.collect())), sorted(counts))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -276,6 +298,45 @@ def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     return found.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
 
 
+def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of `docs` and word_langs: the lower-cased words of a text, each with its language and probability."""
+    kind = "array<struct<word:string,lang:string,score:double>>"
+    if model is None:
+        return docs.withColumn("word_langs", F.array().cast(kind))
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def label(batches):
+        model = shared.value
+        for batch in batches:
+            where, out = batch.schema.get_field_index("_lid"), []
+            for _, offsets, data in R.batches(batch.column(where), 300_000):
+                x = features(offsets, data)
+                found, _ = marginals(model.scores(x), x.cut, model.moves)
+                best, raw = found.argmax(axis=1), data.tobytes()
+                for a, b in zip(x.cut[:-1].tolist(), x.cut[1:].tolist(), strict=True):
+                    out.append(
+                        [
+                            {
+                                "word": raw[x.first[i] : x.last[i]].decode("utf-8", "replace"),
+                                "lang": model.languages[best[i]],
+                                "score": float(found[i, best[i]]),
+                            }
+                            for i in range(a, b)
+                        ]
+                    )
+            rest = batch.drop_columns(["_lid"])
+            fields = pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())])
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, pa.array(out, pa.list_(fields))], names=[*rest.schema.names, "word_langs"]
+            )
+
+    held = [c for c in docs.columns if c != "word_langs"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(held).schema)
+    rows = docs.select(*held, F.concat(F.lower("text"), F.lit(" ")).cast("binary").alias("_lid"))
+    return rows.mapInArrow(label, f"{schema}, word_langs {kind}")
+
+
 def identify(docs: DataFrame, *, reject_below: float = 0.5, **training) -> DataFrame:
     """The documents whose words were recognised, in one language or several, with all their columns: no `und`, and no
     mean probability of the words' best languages under the limit."""
