@@ -12,7 +12,8 @@ Letters and digits are those of the installed Unicode tables; characters that ne
 than by a library with older ones.
 
 Edge cases: null text is read as empty and has no ids; a special token's string in a text becomes its id, as the
-tokenizers library does; very long words are encoded whole; an empty table gives an empty result; columns besides doc_id
+tokenizers library does; very long words and texts are encoded whole; rows are encoded one by one, so repeated and null
+ids do not matter; an empty table gives an empty result; columns besides doc_id
 and text are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import unicodedata
 from array import array
 
@@ -53,6 +55,9 @@ class WordBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or spec.get("decoder"):
             raise ValueError("a BPE vocabulary with word ends and without a decoder is needed")
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or model.get("unk_token") or model.get("byte_fallback"):
+            raise ValueError("a vocabulary that normalises by NFC, white space and lower case is needed")
         self.ids: dict[str, int] = model["vocab"]
         #: Rank of a pair of ids (as one number), and the id that each rank merges into.
         self.ranks: dict[int, int] = {}
@@ -75,6 +80,8 @@ class WordBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(split.replace("\\s", SPACE))
         self.space = regex.compile(f"[{SPACE}]+")
+        #: What all special tokens begin with, and a pattern that cuts them out.
+        self.mark = os.path.commonprefix(list(self.special)) if self.special else None
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len)[::-1])) + ")")
         self.limit = cache
         self.seen: dict[str, tuple[bytes, str]] = {}
@@ -177,7 +184,8 @@ class WordBPE:
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids (as bytes of 32-bit integers) and the tokens joined by spaces."""
         found: list[tuple[bytes, str]] = []
-        for i, part in enumerate(self.cut_special.split(text) if "<|" in text else [text]):
+        special = self.mark is not None and self.mark in text
+        for i, part in enumerate(self.cut_special.split(text) if special else [text]):
             if i % 2:
                 found.append((array("i", [self.special[part]]).tobytes(), part))
             else:
