@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. An empty table passes through every stage; repeated ids, null texts and other edge cases are those of the
-operators.
+documents. An empty table passes through every stage. A null text, an empty one and one without a letter are of no language
+and go in the first stage; rows with a null id pass as long as their text does; rows that share an id are one document to the
+second stage and are judged by their own texts in the others; very long texts are read whole; of equal texts the smallest id
+stays; columns of any name pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of each text."""
+    """doc_id, lang, source, n_tokens, the token ids of each text, and the digest of what they decode to."""
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary_path())
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    size = F.size("ids").cast("long").alias("n_tokens")
+    return encoded.select("doc_id", "lang", "source", size, "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
