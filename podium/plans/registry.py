@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.operators import comparisons, decks, discovery, ingest, rankings, summaries, timelines
+from podium.operators import comparisons, decks, discovery, ingest, parts, places, rankings, summaries, timelines
 from podium.plans.oracle import ORACLE_SQL as ANALYTIC_SQL
 from podium.sources.orders_adapter import usage
 
@@ -88,6 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distribution": _of(timelines.distribution),
     "share_monthly": _of(timelines.share_monthly),
     "stream_weekly": lambda spark, sf_dir: timelines.stream_weekly(spark.read.parquet(f"{sf_dir}/events.parquet")),
-} | ingest.QUERIES
+} | ingest.QUERIES | parts.QUERIES | places.QUERIES
 
-ORACLE_SQL: dict[str, str] = ANALYTIC_SQL | ingest.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = ANALYTIC_SQL | ingest.ORACLE_SQL | parts.ORACLE_SQL | places.ORACLE_SQL
