@@ -47,7 +47,8 @@ def display_ratchet(ratchet: Column) -> Column:
 
 
 def full_blade(lock_chip: Column, blade: Column) -> Column:
-    return F.concat_ws(" ", lock_chip, blade)
+    """The chip before the blade's display name, where there is a chip."""
+    return F.concat_ws(" ", F.when(lock_chip != "", lock_chip), display_blade(blade))
 
 
 def label(*parts: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,15 +37,38 @@ def recency(days: Column, half_life: float) -> Column:
 
 
 def latest(usage: DataFrame) -> Column:
-    """The newest date of the usage, as a scalar subquery."""
+    """The reference date: the one the usage was scoped to, else its newest date, as a scalar subquery."""
+    if "as_of" in usage.columns:
+        return F.col("as_of")
     return usage.agg(F.max("tournament_date")).scalar()
 
 
-def scored(usage: DataFrame, rules: Rules = SITE, *, as_of: Column | None = None, region: str | None = None) -> DataFrame:
+def scope(usage: DataFrame, as_of: datetime.date | str | None = None, region: str | None = None) -> DataFrame:
+    """The usage of one region, as it stood on a reference date: later rows are left out and ages count from that date.
+
+    Without one, ages count from the newest date of all regions.
+    """
+    if as_of is not None:
+        day = F.lit(as_of).cast("date")
+        usage = usage.filter(F.col("tournament_date") <= day).withColumn("as_of", day)
+    if region not in (None, "ALL"):
+        usage = usage.withColumn("as_of", latest(usage)).filter(F.col("region") == region)
+    return usage
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator on usage take `as_of` and `region`."""
+
+    @functools.wraps(operator)
+    def run(usage: DataFrame, *args, as_of: datetime.date | str | None = None, region: str | None = None, **options):
+        return operator(scope(usage, as_of, region), *args, **options)
+
+    return run
+
+
+def scored(usage: DataFrame, rules: Rules = SITE, *, as_of: Column | None = None) -> DataFrame:
     """Usage with days before the reference date, points (p), and the decayed score (ws); dates default to the newest."""
     as_of = latest(usage) if as_of is None else as_of
-    if region not in (None, "ALL"):
-        usage = usage.filter(F.col("region") == region)
     own = points(F.col("place"))
     if rules.staged:
         own = own * stage_factor(F.col("stage"))
@@ -53,6 +79,17 @@ def scored(usage: DataFrame, rules: Rules = SITE, *, as_of: Column | None = None
     )
 
 
+def trend_class(trend: Column) -> Column:
+    """up, down or neutral at a tenth."""
+    return F.when(trend > 0.1, "up").when(trend < -0.1, "down").otherwise("neutral")
+
+
+def ordinal(average: Column) -> Column:
+    """An average placement as 1st, 2nd, 3rd, or -- where there is none (0)."""
+    rounded = F.floor(average + 0.5)
+    return F.when(average == 0, "--").when(rounded <= 1, "1st").when(rounded == 2, "2nd").otherwise("3rd")
+
+
 def total(column: str, when: Column | None = None) -> Column:
     """A sum rounded to 6 places, so that it does not depend on the order of addition; 0 where nothing is summed."""
     value = F.col(column) if when is None else F.when(when, F.col(column)).otherwise(0.0)

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions.scoring import CLI, SITE, Rules, count_if, ratio, scored, total
-from podium.operators.rankings import shown
+from podium.functions.scoring import CLI, SITE, Rules, count_if, ratio, scoped, scored, total
 
 
 def _sides(rows: DataFrame, is_a: Column, is_b: Column, name_a: str, name_b: str) -> DataFrame:
-    """One row per side with its figures, and the head-to-head of the tournaments both entered (best place counts)."""
-    side = F.when(is_a, name_a).when(is_b, name_b)
-    rows = rows.withColumn("name", side).filter(F.col("name").isNotNull())
+    """One row per side with its figures, and the head-to-head of the tournaments both entered (best place counts).
+
+    A row may belong to both sides.
+    """
+    sides = F.array(
+        F.when(is_a, F.struct(F.lit(0).alias("side"), F.lit(name_a).alias("name"))),
+        F.when(is_b, F.struct(F.lit(1).alias("side"), F.lit(name_b).alias("name"))),
+    )
+    rows = rows.withColumn("_s", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("*", "_s.*").drop("_s")
     place = F.col("place")
-    totals = rows.groupBy("name").agg(
+    totals = rows.groupBy("side", "name").agg(
         total("ws").alias("raw_score"),
         F.count("*").alias("uses"),
         *[count_if(place == k).alias(n) for k, n in ((1, "first"), (2, "second"), (3, "third"))],
@@ -22,7 +27,7 @@ def _sides(rows: DataFrame, is_a: Column, is_b: Column, name_a: str, name_b: str
         F.round(F.avg("place"), 6).alias("avg_place"),
     )
     best = rows.groupBy("tournament_id").agg(
-        F.min(F.when(F.col("name") == name_a, place)).alias("a"), F.min(F.when(F.col("name") == name_b, place)).alias("b")
+        F.min(F.when(F.col("side") == 0, place)).alias("a"), F.min(F.when(F.col("side") == 1, place)).alias("b")
     )
     met = best.filter("a IS NOT NULL AND b IS NOT NULL").agg(
         F.count("*").alias("met"),
@@ -31,9 +36,9 @@ def _sides(rows: DataFrame, is_a: Column, is_b: Column, name_a: str, name_b: str
         count_if(F.col("a") == F.col("b")).alias("tied"),
     )
     out = totals.crossJoin(F.broadcast(met))  # one row
-    mine = F.col("name") == name_a
+    mine = F.col("side") == 0
     return out.select(
-        *totals.columns,
+        *totals.columns[1:],
         "met",
         F.coalesce(F.when(mine, F.col("a_won")).otherwise(F.col("b_won")), F.lit(0)).alias("won"),
         F.coalesce(F.when(mine, F.col("b_won")).otherwise(F.col("a_won")), F.lit(0)).alias("lost"),
@@ -41,26 +46,38 @@ def _sides(rows: DataFrame, is_a: Column, is_b: Column, name_a: str, name_b: str
     )
 
 
-def compare_blades(usage: DataFrame, a: str, b: str, *, rules: Rules = SITE, region: str | None = None) -> DataFrame:
-    rows = scored(usage, rules, region=region).filter(F.lower("blade").isin(a.lower(), b.lower()))
+@scoped
+def compare_blades(usage: DataFrame, a: str, b: str, *, rules: Rules = SITE) -> DataFrame:
+    rows = scored(usage, rules).filter(F.lower("blade").isin(a.lower(), b.lower()))
     blade = F.lower("blade")
     return _sides(rows, blade == a.lower(), blade == b.lower(), a, b)
 
 
+@scoped
 def compare_blades_cli(usage: DataFrame, a: str, b: str) -> DataFrame:
     return compare_blades(usage, a, b, rules=CLI)
 
 
-def compare_combos(usage: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str]) -> DataFrame:
-    """Two (blade, ratchet, bit) configurations under display names."""
-    rows = shown(scored(usage, SITE))
+@scoped
+def compare_combos(usage: DataFrame, a: tuple[str | None, ...], b: tuple[str | None, ...]) -> DataFrame:
+    """Two configurations (blade, ratchet, bit, and where they matter lock chip and assist), by stored names without case."""
+    columns = ("blade", "ratchet", "bit", "lock_chip", "assist")
 
     def same(x):
-        return (F.col("blade") == x[0]) & (F.col("ratchet") == x[1]) & (F.col("bit") == x[2])
+        out = F.lit(True)
+        for column, value in zip(columns, x, strict=False):
+            if value:
+                out = out & F.coalesce(F.lower(column) == value.lower(), F.lit(False))
+        return out
+
+    def label(x):
+        blade, ratchet, bit, lock_chip, assist = (*x, None, None)[:5]
+        return " ".join(v for v in (lock_chip, blade, assist, f"{ratchet}{bit}") if v)
 
-    return _sides(rows, same(a), same(b), " ".join(a), " ".join(b))
+    return _sides(scored(usage, SITE).filter(same(a) | same(b)), same(a), same(b), label(a), label(b))
 
 
+@scoped
 def compare_share(usage: DataFrame, a: str, b: str) -> DataFrame:
     """Each side's share in percent of score, uses, wins and inverted average place; halves where both are 0."""
     rows = compare_blades(usage, a, b)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.functions.scoring import SITE, count_if, scored, total
-from podium.operators.rankings import rank_combos, rank_parts, shown
-from podium.operators.timelines import weekly
+from podium.functions.scoring import SITE, count_if, scope, scored, total
+from podium.operators.rankings import rank_combos, shown
 
 WEIGHTS = {"meta": 0.30, "consistency": 0.20, "upside": 0.20, "synergy": 0.15, "surprise": 0.05, "trend": 0.10}
 
@@ -19,32 +20,65 @@ def _tier(score: Column, limits: tuple[int, ...]) -> Column:
     return out.otherwise("F")
 
 
-def rate_combos(decks: DataFrame, usage: DataFrame) -> DataFrame:
+#: How many of each kind of part, by score, lend their figures to combos without data.
+TOP_PARTS = {"blade": 30, "ratchet": 15, "bit": 15}
+
+
+def _top_parts(rows: DataFrame, min_uses: int = 2) -> DataFrame:
+    """One row: for each kind of part a map from the names of the best ones to their win rate and uses."""
+    kinds = ", ".join(f"'{k}', {k}" for k in TOP_PARTS)
+    long = rows.select("ws", "place", F.expr(f"stack({len(TOP_PARTS)}, {kinds}) AS (kind, name)")).filter("name IS NOT NULL")
+    sums = long.groupBy("kind", "name").agg(
+        total("ws").alias("score"), F.count("*").alias("uses"), count_if(F.col("place") == 1).alias("first")
+    )
+    order = Window.partitionBy("kind").orderBy(F.desc("score"), "name")
+    best = sums.filter(F.col("uses") >= min_uses).withColumn("k", F.row_number().over(order))
+    limit = F.lit(0)
+    for kind, most in TOP_PARTS.items():
+        limit = F.when(F.col("kind") == kind, most).otherwise(limit)
+    best = best.filter(F.col("k") <= limit)
+    figures = F.struct(F.round(F.col("first") / F.col("uses"), 6).alias("rate"), "uses")
+    entry = F.struct("name", figures.alias("figures"))
+    return best.agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(f"_{kind}s") for kind in TOP_PARTS]
+    )
+
+
+def _meta(usage: DataFrame, limit: int = 20) -> DataFrame:
+    """One row: the leading combos in order of rank."""
+    top = rank_combos(usage, limit=limit, min_uses=2)
+    entry = F.struct("rank", "blade", "ratchet", "bit", "raw_score")
+    return top.agg(F.sort_array(F.collect_list(entry)).alias("_meta"))
+
+
+def rate_combos(
+    decks: DataFrame, usage: DataFrame, *, as_of: datetime.date | str | None = None, region: str | None = None
+) -> DataFrame:
     """Six sub-scores of every (deck_id, blade, ratchet, bit) row; combos without data are rated by their parts."""
+    return _rated(decks, scope(usage, as_of, region)).drop("_meta")
+
+
+def _rated(decks: DataFrame, usage: DataFrame) -> DataFrame:
+    """rate_combos and _meta; the usage is read once for the combos, once for all parts and once for the leaders."""
     rows = shown(scored(usage, SITE))
     key = ["blade", "ratchet", "bit"]
-    place = F.col("place")
+    place, days = F.col("place"), F.col("days")
     own = rows.groupBy(*key).agg(
         total("ws").alias("_score"),
         F.count("*").alias("uses"),
         *[count_if(place == k).alias(n) for k, n in ((1, "wins"), (2, "second"), (3, "third"))],
+        total("p", days.between(0, 27)).alias("_late"),
+        total("p", days.between(28, 55)).alias("_early"),
+    )
+    out = decks.join(own, key, "left").crossJoin(F.broadcast(_top_parts(rows))).crossJoin(F.broadcast(_meta(usage)))  # one row each
+    for part in key:
+        figures = F.try_element_at(F.col(f"_{part}s"), F.col(part))
+        out = out.withColumns({f"{part}_rate": figures["rate"], f"{part}_uses": figures["uses"]})
+    same = F.exists(
+        "_meta", lambda m: (m["blade"] == F.col("blade")) & (m["ratchet"] == F.col("ratchet")) & (m["bit"] == F.col("bit"))
     )
-    out = decks.join(own, key, "left")
-    for part, k in (("blade", 30), ("ratchet", 15), ("bit", 15)):
-        stats = rank_parts(usage, part, limit=k, min_uses=2, ranked=False)
-        stats = stats.select(
-            F.col("name").alias(part),
-            F.round(F.col("first") / F.col("uses"), 6).alias(f"{part}_rate"),
-            F.col("uses").alias(f"{part}_uses"),
-        )
-        out = out.join(F.broadcast(stats), part, "left")
-    meta = rank_combos(usage, limit=20, min_uses=2).select(*key, "raw_score")
-    top = meta.agg(F.max("raw_score").alias("top_score"))
-    picks = meta.select(*key).distinct().withColumn("is_meta_pick", F.lit(True))
-    weeks = weekly(usage, key, weeks=8, wanted=decks.select(*key).distinct())
-    half = lambda late: F.round(F.sum(F.when((F.col("week_idx") >= 4) == late, F.col("score")).otherwise(0.0)), 6)
-    trends = weeks.groupBy(*key).agg(half(F.lit(True)).alias("_late"), half(F.lit(False)).alias("_early"))
-    out = out.join(F.broadcast(picks), key, "left").join(trends, key, "left").crossJoin(F.broadcast(top))  # one row
+    top_score = F.array_max(F.transform("_meta", lambda m: m["raw_score"]))
+    out = out.withColumns({"is_meta_pick": same, "top_score": top_score})
     has = F.col("uses").isNotNull()
     uses, wins = F.coalesce("uses", F.lit(0)), F.coalesce("wins", F.lit(0))
     podiums = wins + F.coalesce("second", F.lit(0)) + F.coalesce("third", F.lit(0))
@@ -81,6 +115,7 @@ def rate_combos(decks: DataFrame, usage: DataFrame) -> DataFrame:
     }
     out = out.select(
         "deck_id",
+        "_meta",
         *key,
         has.alias("has_data"),
         score.alias("score"),
@@ -98,37 +133,63 @@ def rate_combos(decks: DataFrame, usage: DataFrame) -> DataFrame:
     return out.withColumn("tier", F.when(F.col("has_data"), _tier(F.col("overall"), (85, 70, 55, 40, 25))).otherwise("?"))
 
 
-def rate_decks(decks: DataFrame, usage: DataFrame) -> DataFrame:
-    """Deck scores: overall, meta coverage, diversity, consistency, upside, surprise, tier and named strengths."""
-    combos = rate_combos(decks, usage)
-    top = rank_combos(usage, limit=10, min_uses=2).select("blade").distinct()
-    met = combos.select("deck_id", "blade").distinct().join(F.broadcast(top), "blade")
-    met = met.groupBy("deck_id").agg(F.count("*").alias("overlap"))
-    size = top.agg(F.least(F.count("*"), F.lit(3)).alias("top_blades"))
-    rated = combos.groupBy("deck_id").agg(
+def rate_decks(
+    decks: DataFrame, usage: DataFrame, *, as_of: datetime.date | str | None = None, region: str | None = None
+) -> DataFrame:
+    """Deck scores: overall, meta coverage, diversity, consistency, upside, surprise, tier, named strengths and weaknesses."""
+    combos = _rated(decks, scope(usage, as_of, region))
+    leaders = F.array_distinct(F.transform(F.slice("_meta", 1, 10), lambda m: m["blade"]))
+    combos = combos.withColumns(
+        {"_leads": F.array_contains(leaders, F.col("blade")), "_top": F.least(F.size(leaders), F.lit(3))}
+    )
+    tier_in = lambda *names: count_if(F.col("tier").isin(*names))
+    out = combos.groupBy("deck_id").agg(
         F.round(F.sum("overall") / 3, 6).alias("overall"),
         count_if(F.col("is_meta_pick")).alias("picks"),
+        F.count_distinct(F.when(F.col("_leads"), F.col("blade"))).alias("overlap"),
+        F.max("_top").alias("top_blades"),
         (F.count_distinct("blade") / 3 * 40 + F.count_distinct("ratchet") / 3 * 30 + F.count_distinct("bit") / 3 * 30)
         .alias("diversity"),
+        F.count_distinct("blade").alias("_blades"),
         F.round(F.sum("consistency_score") / 3, 4).alias("consistency"),
         F.round(F.max("upside_score") * 0.6 + F.sum("upside_score") / 3 * 0.4, 4).alias("upside"),
         F.round(F.least(F.sum("surprise_score") / 3 + count_if(F.col("is_hidden_gem")) * 15, F.lit(100.0)), 4)
         .alias("surprise"),
+        F.max("has_data").alias("_data"),
+        F.max("is_rising").alias("_rising"),
+        tier_in("S", "A").alias("_strong"),
+        tier_in("D", "F", "?").alias("_weak"),
+        F.max(F.col("blade") == F.get(leaders, F.lit(0))).alias("_leader"),
+        F.min(F.struct(F.round(F.col("meta_score") + F.col("consistency_score"), 4).alias("s"), "tier"))["tier"].alias("_worst"),
     )
-    out = rated.join(met, "deck_id", "left").crossJoin(F.broadcast(size))  # one row
     coverage = F.coalesce("overlap", F.lit(0)) / F.greatest("top_blades", F.lit(1)) * 50 + F.col("picks") / 3 * 50
     out = out.withColumn("meta_coverage", F.round(coverage, 4)).withColumn("diversity", F.round("diversity", 4))
-    strengths = F.filter(
-        F.array(
-            F.when(F.col("meta_coverage") >= 70, "meta coverage"),
-            F.when(F.col("consistency") >= 70, "consistency"),
-            F.when(F.col("upside") >= 70, "high ceiling"),
-            F.when(F.col("diversity") >= 80, "diversity"),
-            F.when(F.col("surprise") >= 60, "upset potential"),
-        ),
-        lambda x: x.isNotNull(),
+    cover, steady, high, varied, surprise = map(F.col, ("meta_coverage", "consistency", "upside", "diversity", "surprise"))
+
+    def notes(*pairs):
+        return F.filter(F.array(*[F.when(when, text) for when, text in pairs]), lambda x: x.isNotNull())
+
+    strengths = notes(
+        (cover >= 70, "meta coverage"), (steady >= 70, "consistency"), (high >= 70, "high ceiling"),
+        (varied >= 80, "diversity"), (surprise >= 60, "upset potential"), (F.col("_rising"), "rising picks"),
+        (F.col("_strong") >= 2, "strong core"),
+    )
+    strengths = F.when(F.size(strengths) > 0, strengths).otherwise(
+        F.array(F.when(F.col("_data"), "tested").otherwise("new combinations"))
+    )
+    weaknesses = notes(
+        (cover < 40, "meta coverage"), (steady < 40, "inconsistent"), (high < 40, "low ceiling"),
+        (varied < 50, "predictable"), (~F.col("_data"), "untested"), (F.col("_weak") >= 2, "weak core"),
+    )
+    advice = notes(
+        ((cover < 50) & ~F.coalesce("_leader", F.lit(True)), "add the leading blade"),
+        (F.col("_worst").isin("D", "F", "?"), "replace the weakest combo"),
+        ((varied < 50) & (F.col("_blades") < 3), "vary the blades"),
+        ((steady < 50) & (high > 60), "add steady combos"),
+        ((surprise < 30) & (cover > 70), "add a surprise"),
     )
     return out.withColumn("tier", _tier(F.col("overall"), (80, 65, 50, 35, 20))).select(
         "deck_id", "overall", "tier", "meta_coverage", "diversity", "consistency", "upside", "surprise",
-        F.array_join(strengths, ", ").alias("strengths"),
+        F.array_join(strengths, ", ").alias("strengths"), F.array_join(weaknesses, ", ").alias("weaknesses"),
+        F.array_join(advice, ", ").alias("advice"),
     )

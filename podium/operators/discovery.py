@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.functions.scoring import SITE, count_if, ratio, scored, total
+from podium.functions.scoring import SITE, count_if, ratio, scoped, scored, total
 from podium.operators.rankings import shown
 from podium.operators.timelines import with_era
 
 GEM = ["blade", "ratchet", "bit", "lock_chip"]
 
 
+@scoped
 def hidden_gems(usage: DataFrame, *, min_uses: int = 4, max_uses: int = 20, limit: int = 20) -> DataFrame:
     """Combos with few uses and many wins, by potential."""
     rows = shown(scored(usage, SITE))
@@ -47,6 +48,7 @@ def hidden_gems(usage: DataFrame, *, min_uses: int = 4, max_uses: int = 20, limi
     )
 
 
+@scoped
 def gem_stats(usage: DataFrame) -> DataFrame:
     """Per combo (with chip): totals, uses, wins and points per era of three, the last 60 and 90 days, and the peak."""
     rows = with_era(shown(scored(usage, SITE)), usage, 3)
@@ -107,7 +109,10 @@ def meta_blades(stats: DataFrame, *, k: int = 10) -> DataFrame:
     return top.select("blade").distinct()
 
 
-def gems_underused(usage: DataFrame, *, limit: int = 8, min_uses: int = 5, max_recent: int = 5) -> DataFrame:
+@scoped
+def gems_underused(
+    usage: DataFrame, *, limit: int = 8, min_uses: int = 5, max_recent: int = 5, min_win_rate: float = 0.2
+) -> DataFrame:
     """Blades that win but are hardly used now, each with its best combo."""
     stats = gem_stats(usage)
     blades = stats.groupBy("blade").agg(
@@ -119,7 +124,7 @@ def gems_underused(usage: DataFrame, *, limit: int = 8, min_uses: int = 5, max_r
     best = stats.withColumn("k", F.row_number().over(order)).filter("k = 1")
     win = F.col("blade_wins") / F.col("blade_uses")
     return (
-        blades.filter((F.col("blade_uses") >= min_uses) & (win >= 0.2) & (F.col("recent_uses") <= max_recent))
+        blades.filter((F.col("blade_uses") >= min_uses) & (win >= min_win_rate) & (F.col("recent_uses") <= max_recent))
         .join(meta_blades(stats), "blade", "left_anti")
         .join(best, "blade")
         .select(
@@ -132,6 +137,7 @@ def gems_underused(usage: DataFrame, *, limit: int = 8, min_uses: int = 5, max_r
     )
 
 
+@scoped
 def gems_forgotten(usage: DataFrame, *, limit: int = 8) -> DataFrame:
     """Former winners that hardly appear in the current era."""
     past, wins = F.col("early_uses") + F.col("mid_uses"), F.col("early_wins") + F.col("mid_wins")
@@ -148,6 +154,7 @@ def gems_forgotten(usage: DataFrame, *, limit: int = 8) -> DataFrame:
     )
 
 
+@scoped
 def gems_rising(usage: DataFrame, *, limit: int = 8, max_uses: int = 15) -> DataFrame:
     """New combos of the current era that already win."""
     recent = F.col("last60_wins") / F.col("last60_uses")
@@ -169,6 +176,7 @@ def gems_rising(usage: DataFrame, *, limit: int = 8, max_uses: int = 15) -> Data
     )
 
 
+@scoped
 def gems_counter_meta(usage: DataFrame, *, limit: int = 8) -> DataFrame:
     """Combos of blades outside the current top that win in the current era."""
     stats = gem_stats(usage)
@@ -185,6 +193,7 @@ def gems_counter_meta(usage: DataFrame, *, limit: int = 8) -> DataFrame:
     )
 
 
+@scoped
 def eras3(usage: DataFrame, *, k: int = 5) -> DataFrame:
     """Top combos of three equal eras, used twice or more in theirs."""
     rows = with_era(shown(scored(usage, SITE)), usage, 3)
@@ -193,6 +202,7 @@ def eras3(usage: DataFrame, *, k: int = 5) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@scoped
 def part_analysis(usage: DataFrame, part: str = "blade", *, min_uses: int = 3, top: int = 10) -> DataFrame:
     """Per part: win rate, average place, versatility, consistency, and how often the other parts are top ones.
 
@@ -224,6 +234,7 @@ def part_analysis(usage: DataFrame, part: str = "blade", *, min_uses: int = 3, t
     return out.filter(F.col("uses") >= min_uses).orderBy(F.desc("win_rate"), "name")
 
 
+@scoped
 def variance(usage: DataFrame, *, min_uses: int = 3) -> DataFrame:
     """Mean, population variance, ceiling and floor of each combo's decayed scores."""
     rows = shown(scored(usage, SITE))
@@ -240,6 +251,7 @@ def variance(usage: DataFrame, *, min_uses: int = 3) -> DataFrame:
     )
 
 
+@scoped
 def part_matrix(usage: DataFrame, *, blades: int = 10, ratchets: int = 8, bits: int = 10) -> DataFrame:
     """Win rate of the top blades with the top ratchets and bits, zero where a pair was never used."""
     rows = shown(scored(usage, SITE))
@@ -266,6 +278,7 @@ def part_matrix(usage: DataFrame, *, blades: int = 10, ratchets: int = 8, bits:
     return out
 
 
+@scoped
 def landscape(usage: DataFrame, *, limit: int = 20) -> DataFrame:
     """Bubble data of the top blades: uses, share of wins, radius by score, champion share and bar length."""
     rows = shown(scored(usage, SITE))

@@ -575,8 +575,8 @@ def rendered_posts(rows: DataFrame) -> DataFrame:
         F.when(F.col("event") > 0, F.concat(F.lit("- "), slash, F.lit("\n"), name, F.lit("\nTown, ST, Canada - Unranked 3on3")))
         .when(kind == 0, F.concat(name, F.lit("\n- "), slash, F.lit("\nTown, ST, Canada - X Format - Unranked 3on3")))
         .when(kind == 1, F.concat(name, F.lit(" | X Format (Unranked)\nTown, Canada | "), words))
-        .when(kind == 2, F.concat(slash, F.lit("\nTown, ST, Canada - Ranked 1on1\n"), name))
-        .otherwise(F.concat(name, F.lit("\n"), words, F.lit("\nTown, ST, Canada")))
+        .when(kind == 2, F.concat(slash, F.lit("\nTown, ST, Canada - X Format - Ranked 1on1\n"), name))
+        .otherwise(F.concat(name, F.lit("\n"), words, F.lit("\nTown, ST, Canada - X Format")))
     )
     events = events.withColumn("text", F.concat(head, F.lit("\n\n"), "body"))
     return events.groupBy(F.concat_ws("_", "region", "pair").alias("post_id")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import names
-from podium.functions.scoring import CLI, SITE, count_if, scored, tier7, total
+from podium.functions.scoring import CLI, SITE, count_if, scoped, scored, tier7, total
 
 #: The last 30 days, and the 30 before (SQL conditions, since columns need a running session).
 RECENT_SQL, PREVIOUS_SQL = "days <= 30", "days > 30 AND days <= 60"
@@ -17,6 +17,7 @@ def _places() -> list[Column]:
     return [count_if(place == k).alias(name) for k, name in ((1, "first"), (2, "second"), (3, "third"))]
 
 
+@scoped
 def cli_ranking(usage: DataFrame, keys: list[str], *, limit: int, min_uses: int, where: Column | None = None) -> DataFrame:
     """Score by the 90-day rules; the trend sets the last 30 days against everything before."""
     rows = scored(usage, CLI)
@@ -66,8 +67,8 @@ def shown(usage: DataFrame) -> DataFrame:
     )
 
 
-def site_ranking(rows: DataFrame, keys: list[str], *, limit: int, min_uses: int) -> DataFrame:
-    """Score by the 30-day rules with stages, and its trend, of scored rows; ordered and cut."""
+def site_ranking(rows: DataFrame, keys: list[str], *, limit: int | None, min_uses: int) -> DataFrame:
+    """Score by the 30-day rules with stages, and its trend, of scored rows; ordered and cut where a limit is given."""
     out = rows.groupBy(*keys).agg(
         total("ws").alias("raw_score"),
         F.count("*").alias("uses"),
@@ -77,14 +78,13 @@ def site_ranking(rows: DataFrame, keys: list[str], *, limit: int, min_uses: int)
         total("ws", F.expr(PREVIOUS_SQL)).alias("older_score"),
         count_if(F.expr(PREVIOUS_SQL)).alias("older_uses"),
     )
-    return (
+    out = (
         out.filter(F.col("uses") >= min_uses)
         .withColumn("avg_score", F.col("raw_score") / F.col("uses"))
         .withColumn("trend", site_trend())
         .drop("recent_score", "recent_uses", "older_score", "older_uses")
-        .orderBy(F.desc("raw_score"), *keys)
-        .limit(limit)
     )
+    return out if limit is None else out.orderBy(F.desc("raw_score"), *keys).limit(limit)
 
 
 def _ranked(out: DataFrame, keys: list[str], tiers: bool = True) -> DataFrame:
@@ -95,54 +95,63 @@ def _ranked(out: DataFrame, keys: list[str], tiers: bool = True) -> DataFrame:
     return out
 
 
-def rank_blades(usage: DataFrame, *, limit: int = 20, min_uses: int = 3, region: str | None = None) -> DataFrame:
-    rows = shown(scored(usage, SITE, region=region))
+@scoped
+def rank_blades(usage: DataFrame, *, limit: int = 20, min_uses: int = 3) -> DataFrame:
+    rows = shown(scored(usage, SITE))
     return _ranked(site_ranking(rows, ["blade", "series"], limit=limit, min_uses=min_uses), ["blade", "series"])
 
 
 COMBO = ["combo", "blade", "ratchet", "bit", "lock_chip", "assist"]
 
 
-def combo_rows(rows: DataFrame) -> DataFrame:
-    """Valid combos under display names: full blade name and label; a main blade without its chip is dropped."""
-    valid = rows.filter(~(F.col("blade").isin(names.NEEDS_LOCK_CHIP) & F.col("lock_chip").isNull()))
-    full = names.full_blade(F.col("lock_chip"), F.col("blade"))
-    named = valid.withColumns(
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows under display names: full blade name (with its chip), and the combo's label."""
+    named = rows.withColumns(
         {
             "ratchet": names.display_ratchet(F.col("ratchet")),
             "bit": names.display_bit(F.col("bit")),
-            "blade": full,
+            "blade": names.full_blade(F.col("lock_chip"), F.col("blade")),
         }
     )
     return named.withColumn("combo", names.label(*map(F.col, ("blade", "assist", "ratchet", "bit"))))
 
 
-def rank_combos(usage: DataFrame, *, limit: int = 20, min_uses: int = 2, region: str | None = None) -> DataFrame:
-    rows = combo_rows(scored(usage, SITE, region=region))
+def combo_rows(rows: DataFrame) -> DataFrame:
+    """labelled() of valid combos: a main blade without its chip is dropped."""
+    return labelled(rows.filter(~(F.col("blade").isin(names.NEEDS_LOCK_CHIP) & F.col("lock_chip").isNull())))
+
+
+@scoped
+def rank_combos(usage: DataFrame, *, limit: int = 20, min_uses: int = 2) -> DataFrame:
+    rows = combo_rows(scored(usage, SITE))
     return _ranked(site_ranking(rows, COMBO, limit=limit, min_uses=min_uses), COMBO)
 
 
+@scoped
 def rank_parts(
-    usage: DataFrame, part: str, *, limit: int = 15, min_uses: int = 3, region: str | None = None, ranked: bool = True
+    usage: DataFrame, part: str, *, limit: int = 15, min_uses: int = 3, ranked: bool = True
 ) -> DataFrame:
     """Ranking of one part column under its display name, absent parts left out."""
-    rows = shown(scored(usage, SITE, region=region)).filter(F.col(part).isNotNull())
+    rows = shown(scored(usage, SITE)).filter(F.col(part).isNotNull())
     out = site_ranking(rows.withColumn("name", F.col(part)), ["name"], limit=limit, min_uses=min_uses)
     return _ranked(out, ["name"], tiers=False) if ranked else out
 
 
+@scoped
 def rank_blades_by_series(usage: DataFrame, series: str, *, limit: int = 50, min_uses: int = 2) -> DataFrame:
     """The first 200 blades, cut to one series; ranks stay those of the whole ranking."""
     return rank_blades(usage, limit=200, min_uses=min_uses).filter(F.col("series") == series).orderBy("rank").limit(limit)
 
 
+@scoped
 def top_by_series(usage: DataFrame, *, k: int = 5, min_uses: int = 2) -> DataFrame:
     order = Window.partitionBy("series").orderBy("rank")
     found = rank_blades(usage, limit=200, min_uses=min_uses).withColumn("series_rank", F.row_number().over(order))
     return found.filter(F.col("series_rank") <= k)
 
 
-def rank_unique_blade(usage: DataFrame, *, limit: int = 200, min_uses: int = 2) -> DataFrame:
+@scoped
+def rank_unique_blade(usage: DataFrame, *, limit: int = 500, min_uses: int = 2) -> DataFrame:
     """The best combo of each blade, in ranking order."""
     order = Window.partitionBy("blade").orderBy("rank")
     return rank_combos(usage, limit=limit, min_uses=min_uses).withColumn("k", F.row_number().over(order)).filter(
@@ -150,12 +159,13 @@ def rank_unique_blade(usage: DataFrame, *, limit: int = 200, min_uses: int = 2)
     ).drop("k")
 
 
+@scoped
 def rank_search(
     usage: DataFrame, text: str, *, height: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
     """Combos whose name or parts hold the text (any case), down to one use; by ratchet height if given."""
     rows = combo_rows(scored(usage, SITE))
-    found = site_ranking(rows, COMBO, limit=1_000_000, min_uses=1)
+    found = site_ranking(rows, COMBO, limit=None, min_uses=1)
     low = text.lower()
     hit = F.lower("combo").contains(low) | F.lower("ratchet").contains(low) | F.lower("bit").contains(low)
     found = found.filter(hit)
@@ -164,10 +174,14 @@ def rank_search(
     return found.orderBy(F.desc("raw_score"), *COMBO).offset(offset).limit(limit)
 
 
-def best_for(usage: DataFrame, part: str, name: str, *, limit: int = 10, region: str | None = None) -> DataFrame:
-    """The pairs of other parts that did best with one part, compared under display names."""
+@scoped
+def best_for(usage: DataFrame, part: str, name: str, *, limit: int = 10) -> DataFrame:
+    """The pairs of other parts that did best with one part, whose stored name is compared without case; blades stand under
+    their stored names, ratchets and bits under display names."""
     others = [c for c in ("blade", "ratchet", "bit") if c != part]
-    rows = shown(scored(usage, SITE, region=region)).filter(F.lower(part) == name.lower())
+    rows = scored(usage, SITE).filter(F.lower(part) == name.lower()).withColumns(
+        {"ratchet": names.display_ratchet(F.col("ratchet")), "bit": names.display_bit(F.col("bit"))}
+    )
     out = rows.groupBy(*others).agg(total("ws").alias("raw_score"), F.count("*").alias("uses"), *_places())
     return (
         out.withColumn("avg_score", F.col("raw_score") / F.col("uses"))
@@ -176,6 +190,7 @@ def best_for(usage: DataFrame, part: str, name: str, *, limit: int = 10, region:
     )
 
 
+@scoped
 def best_for_blade_cli(usage: DataFrame, name: str, *, limit: int = 10) -> DataFrame:
     rows = scored(usage, CLI).filter(F.lower("blade") == name.lower())
     out = rows.groupBy("ratchet", "bit").agg(total("ws").alias("raw_score"), F.count("*").alias("uses"), *_places())

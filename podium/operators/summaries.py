@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions import names
-from podium.functions.scoring import SITE, count_if, latest, ratio, scored, total
-from podium.operators.rankings import combo_rows, shown
+from podium.functions.scoring import SITE, count_if, latest, ordinal, scoped, scored, total, trend_class
+from podium.operators.rankings import rank_blades, shown
 
 
+@scoped
 def part_stats(usage: DataFrame) -> DataFrame:
     """Counts and win rate of every part, all five kinds from one scan; absent assists and chips are left out."""
     kinds = ", ".join(f"'{k}', {k}" for k in ("blade", "ratchet", "bit", "assist", "lock_chip"))
@@ -23,6 +23,7 @@ def part_stats(usage: DataFrame) -> DataFrame:
     )
 
 
+@scoped
 def combo_stats(usage: DataFrame) -> DataFrame:
     """Counts and win rate of every (chip, blade, ratchet, bit); ratchet and bit are joined without a space."""
     label = F.concat_ws(" ", "lock_chip", "blade", F.concat("ratchet", "bit"))
@@ -34,10 +35,10 @@ def combo_stats(usage: DataFrame) -> DataFrame:
     )
 
 
-def summary(usage: DataFrame, *, region: str | None = None) -> DataFrame:
+@scoped
+def summary(usage: DataFrame) -> DataFrame:
     """One row: tournaments, placements, uses, distinct players and blades, and the date range."""
-    rows = usage if region is None else usage.filter(F.col("region") == region)
-    return rows.agg(
+    return usage.agg(
         F.count_distinct("tournament_id").alias("tournaments"),
         F.count_distinct("tournament_id", "place").alias("placements"),
         F.count("*").alias("combo_uses"),
@@ -48,6 +49,7 @@ def summary(usage: DataFrame, *, region: str | None = None) -> DataFrame:
     )
 
 
+@scoped
 def top_parts_stats(usage: DataFrame, *, limit: int = 10) -> DataFrame:
     """The most used blades and combos, tournaments of each region and of each source, as (kind, name, total)."""
     blades = usage.groupBy(F.col("blade").alias("name")).agg(F.count("*").alias("total"))
@@ -64,11 +66,13 @@ def top_parts_stats(usage: DataFrame, *, limit: int = 10) -> DataFrame:
     )
 
 
+@scoped
 def recent_by_source(usage: DataFrame, source: str, *, limit: int = 5) -> DataFrame:
     rows = usage.filter(F.col("source") == source).select("tournament_id", "tournament_date").distinct()
     return rows.orderBy(F.desc("tournament_date"), "tournament_id").limit(limit)
 
 
+@scoped
 def snapshot(usage: DataFrame, *, days: int = 30, limit: int = 10, fused: bool = False) -> DataFrame:
     """Top blades and combos by uses in the last days, with wins and the period's number of tournaments."""
     rows = usage.filter(F.col("tournament_date") >= F.date_sub(latest(usage), days))
@@ -86,6 +90,7 @@ def snapshot(usage: DataFrame, *, days: int = 30, limit: int = 10, fused: bool =
     return out.crossJoin(F.broadcast(count))  # one row
 
 
+@scoped
 def combo_point(
     usage: DataFrame, blade: str, ratchet: str, bit: str, *, lock_chip: str | None = None, assist: str | None = None
 ) -> DataFrame:
@@ -109,6 +114,7 @@ def combo_point(
     return out.withColumn("avg_placement", F.round(F.coalesce(average, F.lit(0.0)), 2))
 
 
+@scoped
 def distinct_parts(usage: DataFrame) -> DataFrame:
     """(kind, name) of every part under its display name."""
     rows = shown(usage)
@@ -117,16 +123,12 @@ def distinct_parts(usage: DataFrame) -> DataFrame:
     return rows.orderBy("kind", "name")
 
 
-def expressions(usage: DataFrame) -> DataFrame:
-    """Every scoring expression on usage rows, summed up by blade, bit, stage and place."""
-    rows = combo_rows(scored(usage))
-    trend = F.col("p") - 1
-    return rows.groupBy("blade", "ratchet", "stage", F.least("place", F.lit(4)).alias("place_class")).agg(
-        F.round(F.sum("p"), 6).alias("points"),
-        total("ws").alias("score"),
-        F.count("*").alias("uses"),
-        F.first(names.label(F.col("blade"), F.col("ratchet"))).alias("label"),
-        F.when(F.count("*") >= 15, "strong").when(F.count("*") >= 8, "moderate").otherwise("limited").alias("quality"),
-        F.when(F.avg(trend) > 0.1, "up").when(F.avg(trend) < -0.1, "down").otherwise("neutral").alias("trend_class"),
-        ratio(count_if(F.col("place") == 1), F.count("*")).alias("win_rate"),
+@scoped
+def blade_cards(usage: DataFrame, *, limit: int = 50) -> DataFrame:
+    """Ranked blades with the class of their trend and their average placement as an ordinal."""
+    podiums = F.col("first") + F.col("second") + F.col("third")
+    average = F.coalesce(F.try_divide(F.col("first") + 2 * F.col("second") + 3 * F.col("third"), podiums), F.lit(0.0))
+    ranked = rank_blades(usage, limit=limit, min_uses=1)
+    return ranked.select(
+        "blade", "rank", trend_class(F.col("trend")).alias("trend_class"), ordinal(average).alias("placement")
     )

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.functions.scoring import SITE, count_if, latest, scored, total
-from podium.operators.rankings import combo_rows, shown
+from podium.functions.scoring import SITE, count_if, latest, scoped, scored, total
+from podium.operators.rankings import labelled, shown
 
 
 def label() -> Column:
     return F.concat_ws(" ", "blade", "ratchet", "bit")
 
 
-def weekly(usage: DataFrame, keys: list[str], *, weeks: int = 7, wanted: DataFrame | None = None) -> DataFrame:
-    """Undecayed points per entity and week (week 0 is the oldest), zero filled over all weeks.
-
-    `wanted` (with the key columns) names the entities; without it they are all that were used in the period.
-    """
+@scoped
+def weekly(usage: DataFrame, keys: list[str], *, weeks: int = 7) -> DataFrame:
+    """Undecayed points per entity used in the period and week (week 0 is the oldest), zero filled over all weeks."""
     rows = shown(scored(usage, SITE)).withColumn("combo", label())
     week = F.floor(F.col("days") / 7)
     rows = rows.withColumn("week_idx", (weeks - 1 - week).cast("int")).filter((week >= 0) & (week < weeks))
     sums = rows.groupBy(*keys, "week_idx").agg(total("p").alias("score"), F.count("*").alias("uses"))
-    entities = wanted if wanted is not None else rows.select(*keys).distinct()
-    spine = entities.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week_idx"))
+    spine = sums.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week_idx"))
     return spine.join(sums, [*keys, "week_idx"], "left").select(
         *keys,
         "week_idx",
@@ -32,16 +29,30 @@ def weekly(usage: DataFrame, keys: list[str], *, weeks: int = 7, wanted: DataFra
     )
 
 
+def _series(usage: DataFrame, weeks: int, **wanted: str) -> DataFrame:
+    """(week_idx, score) of the rows whose stored parts are the wanted ones without case, zero filled."""
+    rows = scored(usage, SITE)
+    for column, value in wanted.items():
+        rows = rows.filter(F.lower(column) == value.lower())
+    week = F.floor(F.col("days") / 7)
+    sums = rows.filter((week >= 0) & (week < weeks)).groupBy((weeks - 1 - week).cast("int").alias("week_idx")).agg(
+        total("p").alias("score")
+    )
+    spine = usage.sparkSession.range(weeks).select(F.col("id").cast("int").alias("week_idx"))
+    return spine.join(sums, "week_idx", "left").select("week_idx", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@scoped
 def spark_blade(usage: DataFrame, blade: str, *, weeks: int = 7) -> DataFrame:
-    one = usage.sparkSession.createDataFrame([(blade,)], "blade string")
-    return weekly(usage, ["blade"], weeks=weeks, wanted=one).select("week_idx", "score")
+    return _series(usage, weeks, blade=blade)
 
 
-def spark_combo(usage: DataFrame, combo: str, *, weeks: int = 7) -> DataFrame:
-    one = usage.sparkSession.createDataFrame([(combo,)], "combo string")
-    return weekly(usage, ["combo"], weeks=weeks, wanted=one).select("week_idx", "score")
+@scoped
+def spark_combo(usage: DataFrame, blade: str, ratchet: str, bit: str, *, weeks: int = 7) -> DataFrame:
+    return _series(usage, weeks, blade=blade, ratchet=ratchet, bit=bit)
 
 
+@scoped
 def rising_trends(usage: DataFrame, *, weeks: int = 8, min_uses: int = 3, limit: int = 15) -> DataFrame:
     """Growth of the last four weeks over the first four, momentum and projection; more than 10 % growth is kept."""
     rows = weekly(usage, ["blade"], weeks=weeks)
@@ -77,6 +88,7 @@ def with_era(rows: DataFrame, usage: DataFrame, eras: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(span)).withColumn("era", era).drop("lo", "hi")  # one row
 
 
+@scoped
 def evolution_eras(usage: DataFrame) -> DataFrame:
     """Top five blades and top three combos of each of four eras, by undecayed points."""
     rows = with_era(shown(scored(usage, SITE)), usage, 4).withColumn("combo", label())
@@ -102,6 +114,7 @@ def _monthly(usage: DataFrame, key: Column) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(order))
 
 
+@scoped
 def evolution_timeline(usage: DataFrame) -> DataFrame:
     """Per month: top blade, top combo, distinct event dates and tournaments."""
     month = F.date_format("tournament_date", "yyyy-MM").alias("month")
@@ -113,6 +126,7 @@ def evolution_timeline(usage: DataFrame) -> DataFrame:
     return counts.join(blade, "month").join(combo, "month")
 
 
+@scoped
 def evolution_journeys(usage: DataFrame, *, top: int = 5, limit: int = 10) -> DataFrame:
     """Blades ever in a month's top: peak rank and month, current rank, and how they move."""
     ranks = _monthly(usage, F.col("blade"))
@@ -151,9 +165,12 @@ def evolution_journeys(usage: DataFrame, *, top: int = 5, limit: int = 10) -> Da
     )
 
 
+@scoped
 def spotlight(usage: DataFrame, *, days: int = 30, k: int = 3) -> DataFrame:
-    """Champion of the newest days, and the combos that rose or fell by three ranks or more since the days before."""
-    rows = combo_rows(scored(usage, SITE)).filter(F.col("days") <= 2 * days)
+    """Champion of the days up to the newest tournament, and the combos that rose or fell by three ranks or more since the
+    days before; with the date of that tournament, and whether it is stale (older than `days` on the reference date)."""
+    newest = usage.agg(F.max("tournament_date")).scalar()
+    rows = labelled(scored(usage, SITE, as_of=newest)).filter(F.col("days") <= 2 * days)
     rows = rows.withColumn("recent", F.col("days") <= days)
     sums = rows.groupBy("recent", "combo").agg(
         total("p").alias("score"), F.count("*").alias("uses"), count_if(F.col("place") == 1).alias("wins")
@@ -174,15 +191,19 @@ def spotlight(usage: DataFrame, *, days: int = 30, k: int = 3) -> DataFrame:
     moved = moved.withColumn("change", F.col("old_rank") - F.col("new_rank")).filter(F.abs("change") >= 3)
     out = champion
     for kind, sign in (("riser", 1), ("faller", -1)):
-        side = moved.filter(F.col("change") * sign > 0).orderBy(F.desc(F.col("change") * sign), "new_rank").limit(k)
+        # risers by their new rank on a tie, fallers by their old one
+        tie = F.col("new_rank") if sign > 0 else F.col("old_rank")
+        side = moved.filter(F.col("change") * sign > 0).orderBy(F.desc(F.col("change") * sign), tie).limit(k)
         out = out.union(
             side.select(
                 F.lit(kind), "combo", "score", "uses", percent("wins", "uses"), percent("uses", "all"), "new_rank", "change"
             )
         )
-    return out
+    today = usage.agg(F.max("as_of")).scalar() if "as_of" in usage.columns else newest
+    return out.withColumns({"last_date": newest, "is_stale": F.datediff(today, newest) > days})
 
 
+@scoped
 def distribution(usage: DataFrame, *, days: int = 30, limit: int = 6) -> DataFrame:
     """Share of uses in percent for the most used blades of the last days."""
     rows = shown(scored(usage, SITE)).filter(F.col("days") <= days)
@@ -192,6 +213,7 @@ def distribution(usage: DataFrame, *, days: int = 30, limit: int = 6) -> DataFra
     return out.select("blade", "uses", F.round(F.col("uses") * 100.0 / F.col("all"), 1).alias("share"))
 
 
+@scoped
 def share_monthly(usage: DataFrame, *, months: int = 6, k: int = 5) -> DataFrame:
     """Monthly percentages of the combos ever among a month's top, and of all others together."""
     start = F.add_months(F.trunc(latest(usage), "month"), -(months - 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from podium.functions import names
 from podium.sources.orders_adapter import USAGE_SQL
 
 RATCHET = r"regexp_replace(ratchet, '^[A-Za-z]*(\d+-\d+)$', '\1')"
@@ -9,16 +10,36 @@ POINTS = "CASE place WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 WHEN 3 THEN 1.0 ELSE 0.0 EN
 STAGE = "CASE stage WHEN 'first' THEN 0.5 WHEN 'both' THEN 1.15 ELSE 1.0 END"
 DAYS = "date_diff('day', tournament_date, (SELECT max(tournament_date) FROM u))"
 
-#: Scored usage: c by the 90-day rules under raw names, s by the 30-day rules under display names, x as valid combos.
-WITH = f"""WITH {USAGE_SQL},
+
+
+def case(column: str, table: dict[str, str]) -> str:
+    return f"CASE {column}" + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {column} END"
+
+
+def scored(usage: str = USAGE_SQL) -> str:
+    """Scored usage: c by the 90-day rules under raw names; by the 30-day rules r under raw names, s under display names, y
+    with full blade names and labels, and x with the valid combos of y."""
+    blade, bit = case("blade", names.BLADE_DISPLAY), case("bit", names.BIT_DISPLAY)
+    needs = ", ".join(f"'{b}'" for b in names.NEEDS_LOCK_CHIP)
+    return f"""WITH {usage},
 c AS (SELECT *, {DAYS} AS days, CAST({POINTS} AS DOUBLE) * power(0.5, greatest({DAYS}, 0) / 90.0) AS ws FROM u),
-s AS (SELECT * REPLACE ({RATCHET} AS ratchet), {DAYS} AS days, CAST({POINTS} AS DOUBLE) * CAST({STAGE} AS DOUBLE) AS p,
+r AS (SELECT *, {DAYS} AS days, CAST({POINTS} AS DOUBLE) * CAST({STAGE} AS DOUBLE) AS p,
              CAST({POINTS} AS DOUBLE) * CAST({STAGE} AS DOUBLE) * power(0.5, greatest({DAYS}, 0) / 30.0) AS ws FROM u),
-x AS (SELECT * REPLACE (concat_ws(' ', lock_chip, blade) AS blade),
-             concat_ws(' ', lock_chip, blade, assist, ratchet, bit) AS combo FROM s)
+s AS (SELECT * REPLACE ({RATCHET} AS ratchet, {blade} AS blade, {bit} AS bit) FROM r),
+t0 AS (SELECT * REPLACE (concat_ws(' ', nullif(lock_chip, ''), blade) AS blade), blade AS raw_blade FROM s),
+y AS (SELECT *, concat_ws(' ', blade, assist, ratchet, bit) AS combo FROM t0),
+x AS (SELECT * FROM y WHERE NOT (raw_blade IN ({needs}) AND lock_chip IS NULL))
 """
 
 
+WITH = scored()
+#: The usage with aliased, chip-less and mixed-case names in place of some (see registry.named_usage).
+NAMED_SQL = USAGE_SQL.replace("\nu AS (SELECT", "\nu0 AS (SELECT") + """,
+u AS (SELECT * REPLACE (CASE blade WHEN 'Brand#11' THEN 'Soar Phoenix' WHEN 'Brand#12' THEN 'Dark' WHEN 'Brand#13' THEN 'DARK' ELSE blade END AS blade,
+      CASE bit WHEN 'PROMO' THEN 'BS' WHEN 'ECONOMY' THEN 'economy' ELSE bit END AS bit) FROM u0)"""
+NAMED = scored(NAMED_SQL)
+
+
 def count(when: str) -> str:
     return f"CAST(sum(CASE WHEN {when} THEN 1 ELSE 0 END) AS BIGINT)"
 
@@ -75,24 +96,24 @@ def part(name: str, limit: int = 15, least: int = 3, rank: bool = True) -> str:
     return WITH + "SELECT * FROM " + (tiered("name", sub, False) if rank else sub)
 
 
-def best(where: str, keys: str, src: str = "s", avg: bool = True) -> str:
+def best(where: str, keys: str, src: str = "s", avg: bool = True, start: str | None = None) -> str:
     more = ", raw_score / uses AS avg_score" if avg else ""
-    return WITH + f"""SELECT *{more} FROM (SELECT {keys}, {total('ws')} AS raw_score, count(*) AS uses, {PLACES}
+    return (start or WITH) + f"""SELECT *{more} FROM (SELECT {keys}, {total('ws')} AS raw_score, count(*) AS uses, {PLACES}
 FROM {src} WHERE {where} GROUP BY ALL) ORDER BY raw_score DESC, {keys} LIMIT 10"""
 
 
 def sides(src: str, is_a: str, is_b: str, a: str, b: str) -> str:
     return f"""
-z AS (SELECT * FROM (SELECT *, CASE WHEN {is_a} THEN '{a}' WHEN {is_b} THEN '{b}' END AS name FROM {src}) WHERE name IS NOT NULL),
-tot AS (SELECT name, {total('ws')} AS raw_score, count(*) AS uses, {PLACES},
+z AS (SELECT *, 0 AS side, '{a}' AS name FROM {src} WHERE {is_a} UNION ALL SELECT *, 1 AS side, '{b}' AS name FROM {src} WHERE {is_b}),
+tot AS (SELECT side, name, {total('ws')} AS raw_score, count(*) AS uses, {PLACES},
         round({count('place = 1')} / CAST(count(*) AS DOUBLE), 6) AS win_rate, round(avg(place), 6) AS avg_place
-        FROM z GROUP BY name),
-bst AS (SELECT min(CASE WHEN name = '{a}' THEN place END) AS a, min(CASE WHEN name = '{b}' THEN place END) AS b
+        FROM z GROUP BY side, name),
+bst AS (SELECT min(CASE WHEN side = 0 THEN place END) AS a, min(CASE WHEN side = 1 THEN place END) AS b
         FROM z GROUP BY tournament_id),
 met AS (SELECT count(*) AS met, coalesce({count('a < b')}, 0) AS aw, coalesce({count('b < a')}, 0) AS bw,
         coalesce({count('a = b')}, 0) AS tied FROM bst WHERE a IS NOT NULL AND b IS NOT NULL),
-cmp AS (SELECT tot.*, met, CASE WHEN name = '{a}' THEN aw ELSE bw END AS won,
-        CASE WHEN name = '{a}' THEN bw ELSE aw END AS lost, tied FROM tot, met)
+cmp AS (SELECT tot.* EXCLUDE (side), met, CASE WHEN side = 0 THEN aw ELSE bw END AS won,
+        CASE WHEN side = 0 THEN bw ELSE aw END AS lost, tied FROM tot, met)
 """
 
 
@@ -177,11 +198,13 @@ SELECT t.*, (SELECT count(DISTINCT tournament_id) FROM n) AS tournaments FROM ({
 
 COMPARE_C = WITH + "," + sides("c", "blade = 'Brand#2'", "blade = 'Brand#3'", "Brand#2", "Brand#3")
 COMPARE_S = WITH + "," + sides("s", "blade = 'Brand#2'", "blade = 'Brand#3'", "Brand#2", "Brand#3")
-SAME = "blade = '{}' AND ratchet = '{}' AND bit = '{}'"
-COMPARE_X = WITH + "," + sides(
-    "s", SAME.format("Brand#2", "10-60", "ECONOMY"), SAME.format("Brand#3", "11-80", "STANDARD"),
-    "Brand#2 10-60 ECONOMY", "Brand#3 11-80 STANDARD",
-)
+
+
+def combos(usage: str, a: tuple, b: tuple) -> str:
+    columns = ("blade", "ratchet", "bit", "lock_chip", "assist")
+    same = lambda x: " AND ".join(f"lower({c}) = '{v.lower()}'" for c, v in zip(columns, x, strict=False) if v)
+    label = lambda x: " ".join(v for v in (*x[3:4], x[0], *x[4:5], x[1] + x[2]) if v)
+    return scored(usage) + "," + sides("r", same(a), same(b), label(a), label(b)) + "SELECT * FROM cmp"
 
 
 def share(c: str) -> str:
@@ -198,15 +221,41 @@ FROM {top_names('blade', 10)} b CROSS JOIN {top_names(kind, k)} r LEFT JOIN (SEL
 round({count('place = 1')} / CAST(count(*) AS DOUBLE), 6) AS win_rate FROM s GROUP BY ALL) a ON a.blade = b.blade AND a.{kind} = r.{kind}"""
 
 
-SPOT = WITH + f""", q AS (SELECT days <= 30 AS recent, combo, {total('p')} AS score, count(*) AS uses, {count('place = 1')} AS wins
-FROM x WHERE days <= 60 GROUP BY ALL),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY recent ORDER BY score DESC, combo) AS INTEGER) AS rank, sum(uses) OVER (PARTITION BY recent) AS total FROM q),
+
+
+def spotlight(usage: str, where: str = "true", today: str | None = None) -> str:
+    newest = "(SELECT max(tournament_date) FROM u)"
+    return scored(usage) + f""", q AS (SELECT days <= 30 AS recent, combo, {total('p')} AS score, count(*) AS uses, {count('place = 1')} AS wins
+FROM y WHERE days <= 60 GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY recent ORDER BY score DESC, combo) AS INTEGER) AS rank, sum(uses) OVER (PARTITION BY recent) AS total FROM q),
 f AS (SELECT combo, score, uses, CAST(floor(wins * 100.0 / uses + 0.5) AS BIGINT) AS win_rate,
-             CAST(floor(uses * 100.0 / total + 0.5) AS BIGINT) AS dominance, rank AS new_rank FROM r WHERE recent),
-m AS (SELECT f.*, o.rank - f.new_rank AS change FROM f JOIN r o ON o.combo = f.combo AND NOT o.recent WHERE abs(o.rank - f.new_rank) >= 3)
-SELECT * FROM ((SELECT 'champion' AS kind, *, 0 AS change FROM f WHERE uses >= 2 ORDER BY score DESC, combo LIMIT 1)
-UNION ALL (SELECT 'riser', * FROM m WHERE change > 0 ORDER BY change DESC, new_rank LIMIT 3)
-UNION ALL (SELECT 'faller', * FROM m WHERE change < 0 ORDER BY change, new_rank LIMIT 3))"""
+             CAST(floor(uses * 100.0 / total + 0.5) AS BIGINT) AS dominance, rank AS new_rank FROM k WHERE recent),
+m AS (SELECT f.*, o.rank - f.new_rank AS change, o.rank AS old_rank FROM f JOIN k o ON o.combo = f.combo AND NOT o.recent WHERE abs(o.rank - f.new_rank) >= 3)
+SELECT *, (SELECT max(tournament_date) FROM u WHERE {where}) AS last_date,
+  date_diff('day', (SELECT max(tournament_date) FROM u WHERE {where}), {today or f"(SELECT max(tournament_date) FROM u WHERE {where})"}) > 30 AS is_stale
+FROM ((SELECT 'champion' AS kind, *, 0 AS change FROM f WHERE uses >= 2 ORDER BY score DESC, combo LIMIT 1)
+UNION ALL (SELECT 'riser', * EXCLUDE (old_rank) FROM m WHERE change > 0 ORDER BY change DESC, new_rank LIMIT 3)
+UNION ALL (SELECT 'faller', * EXCLUDE (old_rank) FROM m WHERE change < 0 ORDER BY change, old_rank LIMIT 3))"""
+
+
+_RD = f""", rd AS (SELECT * REPLACE ({case('bit', names.BIT_DISPLAY)} AS bit), bit AS raw_bit FROM r)
+"""
+NAMED_RD, PLAIN_RD = NAMED + _RD, WITH + _RD
+
+
+def series(usage: str, where: str, weeks: int = 7) -> str:
+    return scored(usage) + f"""SELECT CAST(i AS INTEGER) AS week_idx, coalesce(score, 0.0) AS score FROM (SELECT unnest(range({weeks})) AS i)
+LEFT JOIN (SELECT {weeks} - 1 - floor(days / 7.0) AS w, {total('p')} AS score FROM r WHERE {where} AND days >= 0 AND floor(days / 7.0) < {weeks} GROUP BY 1) ON w = i"""
+
+
+def as_of(day: str, region: str | None = None) -> str:
+    """Scored usage as it stood on a day, of one region."""
+    more = f" AND region = '{region}'" if region else ""
+    usage = USAGE_SQL.replace("\nu AS (SELECT", "\nu0 AS (SELECT") + f""",
+u AS (SELECT * FROM u0 WHERE tournament_date <= DATE '{day}'{more})"""
+    own = f"DATE '{day}'" if day < "2100" else "(SELECT max(tournament_date) FROM u0)"
+    return scored(usage).replace("(SELECT max(tournament_date) FROM u)", own)
+
 
 ORACLE_SQL: dict[str, str] = {
     "view_usage": f"WITH {USAGE_SQL} SELECT * FROM u",
@@ -229,14 +278,14 @@ concat_ws(' ', lock_chip, blade, ratchet || bit) AS combo, count(*) AS total, {c
     "top_by_series": WITH + f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY rank) AS INTEGER) AS series_rank
 FROM {BLADES(limit=200, least=2)}) WHERE series_rank <= 5""",
     "rank_unique_blade": WITH + f"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY blade ORDER BY rank) AS k
-FROM {COMBOS(limit=200)}) WHERE k = 1""",
-    "rank_search": WITH + f"""SELECT * FROM {ranked(COMBO, COMBO, 'x', 1000000, 1)} WHERE (lower(combo) LIKE '%econ%'
+FROM {COMBOS(limit=500)}) WHERE k = 1""",
+    "rank_search": WITH + f"""SELECT * FROM {ranked(COMBO, COMBO, 'x', 100000000, 1)} WHERE (lower(combo) LIKE '%econ%'
 OR lower(ratchet) LIKE '%econ%' OR lower(bit) LIKE '%econ%') AND regexp_extract(ratchet, '-(\\d+)', 1) = '60'
 ORDER BY raw_score DESC, combo, blade, ratchet, bit, lock_chip NULLS FIRST, assist NULLS FIRST LIMIT 50""",
     "best_for_blade_cli": best("lower(blade) = 'brand#2'", "ratchet, bit", "c", avg=False),
     "best_for_blade": best("lower(blade) = 'brand#2'", "ratchet, bit"),
-    "best_for_ratchet": best("lower(ratchet) = '10-60'", "blade, bit"),
-    "best_for_bit": best("lower(bit) = 'economy'", "blade, ratchet"),
+    "best_for_ratchet": best("lower(ratchet) = '10-60'", "blade, bit", "rd", start=PLAIN_RD),
+    "best_for_bit": best("lower(raw_bit) = 'economy'", "blade, ratchet", f"(SELECT * REPLACE ({RATCHET} AS ratchet) FROM rd)", start=PLAIN_RD),
     "top_parts_stats": f"""WITH {USAGE_SQL} SELECT * FROM (
 (SELECT 'blade' AS kind, blade AS name, count(*) AS total FROM u GROUP BY ALL ORDER BY total DESC, name LIMIT 10)
 UNION ALL (SELECT 'combo', concat_ws(' ', lock_chip, blade, ratchet || bit) AS name, count(*) AS total FROM u
@@ -249,13 +298,14 @@ ORDER BY tournament_date DESC, tournament_id LIMIT 5""",
     "summary_region": summary("region = 'EUROPE'"),
     "snapshot": snapshot("blade || ' ' || ratchet || ' ' || bit"),
     "snapshot_cli": snapshot("blade || ' ' || ratchet || bit"),
-    "combo_stats_point": WITH.replace(f"* REPLACE ({RATCHET} AS ratchet)", "*") + f"""SELECT 'Brand#2 10-60ECONOMY' AS combo, round({total('ws')}, 2) AS raw_score,
+    "combo_stats_point": WITH + f"""SELECT 'Brand#2 10-60ECONOMY' AS combo, round({total('ws')}, 2) AS raw_score,
 count(*) AS uses, {PLACES}, round(coalesce((first + 2 * second + 3 * third) / CAST(nullif(first + second + third, 0) AS DOUBLE), 0.0), 2) AS avg_placement
-FROM s WHERE blade = 'Brand#2' AND ratchet = '10-60' AND bit = 'ECONOMY' HAVING count(*) > 0""",
+FROM r WHERE blade = 'Brand#2' AND ratchet = '10-60' AND bit = 'ECONOMY' HAVING count(*) > 0""",
     "distinct_parts": WITH + f"SELECT DISTINCT kind, name FROM ({stack(KINDS, 's')}) WHERE name IS NOT NULL",
     "compare_blades_cli": COMPARE_C + "SELECT * FROM cmp",
     "compare_blades": COMPARE_S + "SELECT * FROM cmp",
-    "compare_combos": COMPARE_X + "SELECT * FROM cmp",
+    "compare_combos": combos(USAGE_SQL, ("Brand#2", "10-60", "ECONOMY"), ("Brand#3", "11-80", "STANDARD")),
+    "compare_combos_named": combos(NAMED_SQL, ("dark", "h1-80", "Economy"), ("Dark", "H1-80", "ECONOMY", "o")),
     "compare_share": COMPARE_S + f"""SELECT name, {share('raw_score')} AS score_share, {share('uses')} AS use_share,
 {share('first')} AS win_share, {share('inv')} AS place_share FROM (SELECT *, greatest(4 - avg_place, 0.0) AS inv FROM cmp)""",
     "hidden_gems": WITH + f"""SELECT blade, ratchet, bit, uses, round(w, 6) AS win_rate, round(score / uses, 6) AS avg_score,
@@ -273,7 +323,7 @@ FROM (SELECT era, {GEM}, {total('p')} AS score, count(*) AS uses FROM e GROUP BY
 {quality('bu', 15, 8)} AS data_quality, peak_era, gtrend AS trend
 FROM (SELECT blade, CAST(sum(uses) AS BIGINT) AS bu, CAST(sum(wins) AS BIGINT) AS bw, CAST(sum(last60_uses) AS BIGINT) AS ru FROM gt GROUP BY blade) b
 JOIN (SELECT *, row_number() OVER (PARTITION BY blade ORDER BY score DESC, ratchet, bit, lock_chip NULLS FIRST) AS k FROM gt) t ON t.blade = b.blade AND k = 1
-WHERE bu >= 5 AND bw >= 0.2 * bu AND ru <= 5000 AND b.blade NOT IN (SELECT blade FROM meta)
+WHERE bu >= 5 AND bw >= 0.1 * bu AND ru <= 5000 AND b.blade NOT IN (SELECT blade FROM meta)
 ORDER BY win_rate DESC, total_uses DESC, b.blade LIMIT 8""",
     "gems_forgotten": GEMS + f"""SELECT {GEM}, early_uses + mid_uses AS total_uses, early_wins + mid_wins AS past_wins,
 round((early_wins + mid_wins) / CAST(early_uses + mid_uses AS DOUBLE), 6) AS win_rate, {quality('early_uses + mid_uses', 8, 4)} AS data_quality,
@@ -304,7 +354,7 @@ round(score / nullif(max(score) OVER (), 0) * 20 + 4, 4) AS radius, round(uses /
 round(uses * 100.0 / max(uses) OVER (), 4) AS bar_pct
 FROM (SELECT blade, series, {total('ws')} AS score, count(*) AS uses, {count('place = 1')} AS first FROM s GROUP BY ALL
       ORDER BY score DESC, blade, series LIMIT 20)""",
-    "spark_blade": weekly("blade") + "SELECT week_idx, score FROM wk WHERE blade = 'Brand#2'",
+    "spark_blade": series(USAGE_SQL, "lower(blade) = 'brand#2'"),
     "spark_blades": weekly("blade") + "SELECT * FROM wk",
     "spark_combos": weekly("combo") + "SELECT * FROM wk",
     "rising_trends": weekly("blade", 8) + """SELECT blade, uses, growth_rate, round((r - m) - (m - o), 6) AS momentum,
@@ -328,7 +378,19 @@ jj AS (SELECT name, min(rank) AS peak_rank, min(m) AS fm, max(m) AS lm, max(last
 SELECT name AS blade, peak_rank, (SELECT min(month) FROM ow WHERE ow.name = jj.name AND ow.rank = jj.peak_rank) AS peak_month, cur AS current_rank,
 CASE WHEN fm >= last - 1 THEN 'new' WHEN cur IS NULL AND lm < last - 1 THEN 'gone' WHEN cur < prev - 1 THEN 'rising' WHEN cur > prev + 1 THEN 'falling' ELSE 'stable' END AS trend
 FROM jj ORDER BY peak_rank, peak_month, blade LIMIT 10""",
-    "spotlight": SPOT,
+    "spotlight": spotlight(USAGE_SQL),
+    "spotlight_named": spotlight(NAMED_SQL),
+    "rank_combos_named": NAMED + "SELECT * FROM " + COMBOS(),
+    "rank_blades_named": NAMED + "SELECT * FROM " + BLADES(),
+    "best_for_ratchet_named": best("lower(ratchet) = 'h10-60'", "blade, bit", "rd", start=NAMED_RD),
+    "best_for_bit_named": best("lower(raw_bit) = 'bs'", "blade, ratchet", f"(SELECT * REPLACE ({RATCHET} AS ratchet) FROM rd)", start=NAMED_RD),
+    "spark_blade_named": series(NAMED_SQL, "lower(blade) = 'dark'"),
+    "spark_combo": series(USAGE_SQL, "lower(blade) = 'brand#2' AND lower(ratchet) = '10-60' AND lower(bit) = 'economy'"),
+    "blade_cards": WITH + f"""SELECT blade, rank, CASE WHEN trend > 0.1 THEN 'up' WHEN trend < -0.1 THEN 'down' ELSE 'neutral' END AS trend_class,
+CASE WHEN pods = 0 THEN '--' WHEN floor(av + 0.5) <= 1 THEN '1st' WHEN floor(av + 0.5) = 2 THEN '2nd' ELSE '3rd' END AS placement
+FROM (SELECT *, first + second + third AS pods, (first + 2 * second + 3 * third) / CAST(nullif(first + second + third, 0) AS DOUBLE) AS av FROM {BLADES(limit=50, least=1)})""",
+    "rank_combos_as_of": as_of("1998-06-30") + "SELECT * FROM " + COMBOS(),
+    "rank_combos_region": as_of("2100-01-01", "ASIA") + "SELECT * FROM " + COMBOS(),
     "distribution": WITH + """SELECT blade, uses, round(uses * 100.0 / sum(uses) OVER (), 1) AS share FROM (SELECT blade, count(*) AS uses FROM s WHERE days <= 30 GROUP BY ALL)
 ORDER BY uses DESC, blade LIMIT 6""",
     "share_monthly": WITH + f""", mc AS (SELECT strftime(tournament_date, '%Y-%m') AS month, {NAME} AS combo, count(*) AS uses FROM s
@@ -385,10 +447,26 @@ ro AS (SELECT *, round(meta_score * 0.30 + consistency_score * 0.20 + upside_sco
        + surprise_score * 0.05 + trend_score * 0.10, 6) AS overall FROM rc)
 """
 _STRENGTHS = ", ".join(
-    f"CASE WHEN {c} >= {k} THEN '{name}' END"
-    for c, k, name in (
-        ("meta_coverage", 70, "meta coverage"), ("consistency", 70, "consistency"), ("upside", 70, "high ceiling"),
-        ("diversity", 80, "diversity"), ("surprise", 60, "upset potential"),
+    f"CASE WHEN {when} THEN '{name}' END"
+    for when, name in (
+        ("meta_coverage >= 70", "meta coverage"), ("consistency >= 70", "consistency"), ("upside >= 70", "high ceiling"),
+        ("diversity >= 80", "diversity"), ("surprise >= 60", "upset potential"), ("rising", "rising picks"),
+        ("strong >= 2", "strong core"),
+    )
+)
+_WEAKNESSES = ", ".join(
+    f"CASE WHEN {when} THEN '{name}' END"
+    for when, name in (
+        ("meta_coverage < 40", "meta coverage"), ("consistency < 40", "inconsistent"), ("upside < 40", "low ceiling"),
+        ("diversity < 50", "predictable"), ("NOT has_any", "untested"), ("weak >= 2", "weak core"),
+    )
+)
+_ADVICE = ", ".join(
+    f"CASE WHEN {when} THEN '{name}' END"
+    for when, name in (
+        ("meta_coverage < 50 AND NOT leader", "add the leading blade"), ("worst IN ('D', 'F', '?')", "replace the weakest combo"),
+        ("diversity < 50 AND blades < 3", "vary the blades"), ("consistency < 50 AND upside > 60", "add steady combos"),
+        ("surprise < 30 AND meta_coverage > 70", "add a surprise"),
     )
 )
 
@@ -398,12 +476,18 @@ def _deck_tier(limits: tuple[int, ...]) -> str:
 
 
 ORACLE_SQL["rate_combo"] = DECKS + f"SELECT *, CASE WHEN has_data THEN {_deck_tier((85, 70, 55, 40, 25))} ELSE '?' END AS tier FROM ro"
-ORACLE_SQL["rate_deck"] = DECKS + f""", tb AS (SELECT DISTINCT blade FROM (SELECT * FROM mt ORDER BY raw_score DESC, {COMBO} LIMIT 10)),
+ORACLE_SQL["rate_deck"] = DECKS + f""", mo AS (SELECT *, row_number() OVER (ORDER BY raw_score DESC, {COMBO}) AS pos FROM mt),
+tb AS (SELECT DISTINCT blade FROM mo WHERE pos <= 10),
+rt AS (SELECT *, CASE WHEN has_data THEN {_deck_tier((85, 70, 55, 40, 25))} ELSE '?' END AS ctier FROM ro),
 dd AS (SELECT deck_id, round(sum(overall) / 3, 6) AS overall,
-  round((SELECT count(*) FROM tb WHERE tb.blade IN (SELECT blade FROM ro q WHERE q.deck_id = ro.deck_id))
+  round((SELECT count(*) FROM tb WHERE tb.blade IN (SELECT blade FROM ro q WHERE q.deck_id = rt.deck_id))
         / CAST(greatest((SELECT least(count(*), 3) FROM tb), 1) AS DOUBLE) * 50 + {count('is_meta_pick')} / 3.0 * 50, 4) AS meta_coverage,
   round(count(DISTINCT blade) / 3.0 * 40 + count(DISTINCT ratchet) / 3.0 * 30 + count(DISTINCT bit) / 3.0 * 30, 4) AS diversity,
   round(sum(consistency_score) / 3, 4) AS consistency, round(max(upside_score) * 0.6 + sum(upside_score) / 3 * 0.4, 4) AS upside,
-  round(least(sum(surprise_score) / 3 + {count('is_hidden_gem')} * 15, 100.0), 4) AS surprise FROM ro GROUP BY deck_id)
+  round(least(sum(surprise_score) / 3 + {count('is_hidden_gem')} * 15, 100.0), 4) AS surprise, bool_or(has_data) AS has_any,
+  bool_or(is_rising) AS rising, {count("ctier IN ('S', 'A')")} AS strong, {count("ctier IN ('D', 'F', '?')")} AS weak, count(DISTINCT blade) AS blades,
+  coalesce(bool_or(blade = (SELECT blade FROM mo WHERE pos = 1)), true) AS leader,
+  (list_sort(list((round(meta_score + consistency_score, 4), ctier))))[1][2] AS worst FROM rt GROUP BY deck_id)
 SELECT deck_id, overall, {_deck_tier((80, 65, 50, 35, 20))} AS tier, meta_coverage, diversity, consistency, upside, surprise,
-concat_ws(', ', {_STRENGTHS}) AS strengths FROM dd"""
+coalesce(nullif(concat_ws(', ', {_STRENGTHS}), ''), CASE WHEN has_any THEN 'tested' ELSE 'new combinations' END) AS strengths,
+concat_ws(', ', {_WEAKNESSES}) AS weaknesses, concat_ws(', ', {_ADVICE}) AS advice FROM dd"""

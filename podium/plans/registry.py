@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.functions import names
 from podium.operators import comparisons, decks, discovery, ingest, parts, places, rankings, summaries, timelines
 from podium.plans.oracle import ORACLE_SQL as ANALYTIC_SQL
 from podium.sources.orders_adapter import usage
@@ -23,6 +24,21 @@ def deck_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("deck_id"), "blade", "ratchet", "bit").distinct()
 
 
+def named_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage with aliased, chip-less and mixed-case names in place of some of the tables' names."""
+    swap = lambda c, table: names.renamed(F.col(c), table)
+    return usage(spark, sf_dir).withColumns(
+        {
+            "blade": swap("blade", {"Brand#11": "Soar Phoenix", "Brand#12": "Dark", "Brand#13": "DARK"}),
+            "bit": swap("bit", {"PROMO": "BS", "ECONOMY": "economy"}),
+        }
+    )
+
+
+def _named(fn: Callable[..., DataFrame], *args, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(named_usage(spark, sf_dir), *args, **options)
+
+
 def _deck(fn):
     return lambda spark, sf_dir: fn(deck_table(spark, sf_dir), usage(spark, sf_dir))
 
@@ -69,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hidden_gems": _of(discovery.hidden_gems),
     "eras3": _of(discovery.eras3),
     "gem_stats": _of(discovery.gem_stats),
-    "gems_underused": _of(discovery.gems_underused, min_uses=5, max_recent=5000),
+    "gems_underused": _of(discovery.gems_underused, max_recent=5000, min_win_rate=0.1),
     "gems_forgotten": _of(discovery.gems_forgotten),
     "gems_rising": _of(discovery.gems_rising, max_uses=60),
     "gems_counter_meta": _of(discovery.gems_counter_meta),
@@ -85,6 +101,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evolution_timeline": _of(timelines.evolution_timeline),
     "evolution_journeys": _of(timelines.evolution_journeys),
     "spotlight": _of(timelines.spotlight),
+    "spotlight_named": _named(timelines.spotlight),
+    "rank_combos_named": _named(rankings.rank_combos),
+    "rank_blades_named": _named(rankings.rank_blades),
+    "best_for_ratchet_named": _named(rankings.best_for, "ratchet", "H10-60"),
+    "best_for_bit_named": _named(rankings.best_for, "bit", "bs"),
+    "spark_blade_named": _named(timelines.spark_blade, "dark"),
+    "spark_combo": _of(timelines.spark_combo, "brand#2", "10-60", "Economy"),
+    "compare_combos_named": _named(
+        comparisons.compare_combos, ("dark", "h1-80", "Economy"), ("Dark", "H1-80", "ECONOMY", "o")
+    ),
+    "blade_cards": _of(summaries.blade_cards),
+    "rank_combos_as_of": _of(rankings.rank_combos, as_of="1998-06-30"),
+    "rank_combos_region": _of(rankings.rank_combos, region="ASIA"),
     "distribution": _of(timelines.distribution),
     "share_monthly": _of(timelines.share_monthly),
     "stream_weekly": lambda spark, sf_dir: timelines.stream_weekly(spark.read.parquet(f"{sf_dir}/events.parquet")),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_HELD: dict[tuple[str, str], DataFrame] = {}
+from podium.sources.tables import file_system, shared_dir
+
+TABLES = ("region", "nation", "customer", "orders", "lineitem", "part")
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +40,32 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the present state of the tables: it changes with their files."""
+    seen = []
+    for table in TABLES:
+        fs, there = file_system(spark, f"{sf_dir}/{table}.parquet")
+        for f in fs.listStatus(there):
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flattened fact, one row per combo used; held for the session, since every analytic reads it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _HELD:
-        return _HELD[key]
+    """The flattened fact, one row per combo used.
+
+    It is stored in the shared folder, by region and sorted by date, so regions and days are pruned at the scan; it is
+    written anew when the files of the tables have changed.
+    """
+    path = f"{shared_dir(spark)}/usage-{_version(spark, sf_dir)}"
+    fs, done = file_system(spark, f"{path}/_SUCCESS")
+    fact = _fact(spark, sf_dir)
+    if not fs.exists(done):
+        rows = fact.sortWithinPartitions("region", "tournament_date")
+        rows.write.mode("overwrite").partitionBy("region").parquet(path)
+    return spark.read.schema(fact.schema).parquet(path).select(fact.columns)
+
+
+def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_extendedprice"
@@ -49,7 +74,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size")
     flag, size = F.col("l_returnflag"), F.col("p_size")
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
-    out = (
+    return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(placements(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
@@ -73,8 +98,6 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source",
         )
     )
-    _HELD[key] = out.persist()
-    return _HELD[key]
 
 
 #: The same mapping as a DuckDB common table expression.

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A broken file is an error, not an empty one.
+STRICT = {"mode": "FAILFAST"}
 EVENTS = """array<struct<wbo_post_id: string, name: string, date: string, placements: array<struct<place: int,
 player: string, combos: array<struct<blade: string, lock_chip: string, ratchet: string, bit: string, assist: string>>>>>>"""
 CHAMPIONSHIPS = """tournaments array<struct<id: string, name: string, date: string, location: string, region: string,
@@ -19,7 +21,7 @@ combos: array<struct<blade: string, ratchet: string, bit: string, lock_chip: str
 def page_dump(spark: SparkSession, path: str) -> DataFrame:
     """(page_no, html) of JSON objects that map page numbers to HTML."""
     text = spark.read.text(path, wholetext=True)
-    pages = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("page_no", "html"))
+    pages = text.select(F.explode(F.from_json("value", "map<string,string>", STRICT)).alias("page_no", "html"))
     return pages.select(F.col("page_no").cast("int").alias("page_no"), "html")
 
 
@@ -33,7 +35,7 @@ def page_folder(spark: SparkSession, path: str) -> DataFrame:
 def event_json(spark: SparkSession, path: str, default_date: str = "2024-01-01") -> DataFrame:
     """(post_id, name, date, place, player, combos) of arrays of events; a missing date is the default."""
     text = spark.read.text(path, wholetext=True)
-    events = text.select(F.explode(F.from_json("value", EVENTS)).alias("e")).select("e.*")
+    events = text.select(F.explode(F.from_json("value", EVENTS, STRICT)).alias("e")).select("e.*")
     rows = events.withColumn("p", F.explode_outer("placements"))
     date = F.coalesce(F.try_to_date(F.col("date")), F.to_date(F.lit(default_date)))
     return rows.select(F.col("wbo_post_id").alias("post_id"), "name", date.alias("date"), "p.*")
@@ -42,7 +44,7 @@ def event_json(spark: SparkSession, path: str, default_date: str = "2024-01-01")
 def championship_json(spark: SparkSession, path: str) -> DataFrame:
     """(post_id, name, date, region, place, player, combos); placements without combos are left out."""
     text = spark.read.text(path, wholetext=True)
-    events = text.select(F.explode(F.from_json("value", CHAMPIONSHIPS)["tournaments"]).alias("e")).select("e.*")
+    events = text.select(F.explode(F.from_json("value", CHAMPIONSHIPS, STRICT)["tournaments"]).alias("e")).select("e.*")
     rows = events.withColumn("p", F.explode("placements")).filter(F.size("p.combos") > 0)
     return rows.select(
         F.concat(F.lit("champ_"), "id").alias("post_id"),
@@ -55,9 +57,51 @@ def championship_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def captions(rows: DataFrame) -> DataFrame:
-    """Captions (source_id, text, posted_at) that announce winning combos."""
-    return rows.filter(F.lower("text").contains("winning combos"))
+class _Tables(HTMLParser):
+    """Collects (table, row, cell, is a header cell, text) of the tables of a page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, int, int, bool, str]] = []
+        self.table, self.row, self.cell, self.text = -1, -1, -1, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.table, self.row = self.table + 1, -1
+        elif tag == "tr":
+            self.row, self.cell = self.row + 1, -1
+        elif tag in ("td", "th") and self.table >= 0:
+            self.cell, self.text, self.head = self.cell + 1, [], tag == "th"
+        elif tag == "br" and self.text is not None:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.text is not None:
+            self.found.append((self.table, self.row, self.cell, self.head, "".join(self.text).strip()))
+            self.text = None
+
+    def handle_data(self, data):
+        if self.text is not None:
+            self.text.append(data)
+
+
+def table_cells(pages: DataFrame) -> DataFrame:
+    """(page, t, r, c, head, text): the cells of all tables in pages (page, html)."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+        for batch in batches:
+            out = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parser = _Tables()
+                parser.feed(html.as_py() or "")
+                out += [(page, *x) for x in parser.found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["page", "t", "r", "c", "head", "text"]
+            )
+
+    rows = pages.select(F.col("page").cast("string"), "html")
+    return rows.mapInArrow(parse, "page string, t int, r int, c int, head boolean, text string")
 
 
 class _Posts(HTMLParser):

@@ -1,12 +1,33 @@
-"""Sinks: append once per key, replace a source, publish a copy, and the refresh that chains them."""
+"""Tables of parsed reports: append once per key, delete a source, reset, publish a finished copy, and the refresh that
+chains them."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); where unset, a fresh temporary one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it names it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 def _loaded(spark: SparkSession, path: str) -> DataFrame | None:
@@ -16,16 +37,41 @@ def _loaded(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def once_per_key(rows: DataFrame, key: str = "post_id", record: str = "record") -> DataFrame:
+    """Rows without those that repeat a key of the same batch: where a column `record` tells records apart, the first record
+    of a key stays; equal rows stay once."""
+    if record in rows.columns:
+        first = F.min(record).over(Window.partitionBy(key))
+        rows = rows.withColumn("_first", first).filter(F.col(record).eqNullSafe(F.col("_first"))).drop("_first", record)
+    return rows.distinct()
+
+
 def append_events(rows: DataFrame, path: str, *, key: str = "post_id") -> DataFrame:
-    """Append rows with a date and a key that is not loaded yet; returns (status, n) counts of events."""
+    """Append the rows of events that have a date, a placement, and a key that is neither loaded nor met before in the batch;
+    returns (status, n) counts of events: added, exists, no_date, no_placements."""
     spark = rows.sparkSession
+    rows = once_per_key(rows, key)
     loaded = _loaded(spark, path)
-    known = loaded.select(key).distinct().withColumn("_old", F.lit(True)) if loaded is not None else None
-    marked = rows.join(known, key, "left") if known is not None else rows.withColumn("_old", F.lit(None).cast("boolean"))
-    status = F.when(F.col("_old"), "exists").when(F.col("date").isNull(), "no_date").otherwise("added")
-    marked = marked.withColumn("status", status)
+    if loaded is not None:
+        known = loaded.select(key).distinct().withColumn("_old", F.lit(True))
+        rows = rows.join(known, key, "left")
+    else:
+        rows = rows.withColumn("_old", F.lit(None).cast("boolean"))
+    own = Window.partitionBy(key)
+    placed = F.max(F.col("place").isNotNull()).over(own) if "place" in rows.columns else F.lit(True)
+    status = (
+        F.when(F.col("_old"), "exists").when(F.col("date").isNull(), "no_date").when(~placed, "no_placements").otherwise("added")
+    )
+    batch = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"  # read twice below, parsed once
+    rows.withColumn("status", status).write.parquet(batch)
+    marked = spark.read.parquet(batch)
     counts = marked.groupBy("status").agg(F.count_distinct(key).alias("n")).collect()
-    marked.filter("status = 'added'").drop("_old", "status").write.mode("append").partitionBy("source").parquet(path)
+    added = marked.filter("status = 'added'").drop("_old", "status")
+    if "place" in added.columns:
+        added = added.filter("place IS NOT NULL")
+    added.write.mode("append").partitionBy("source").parquet(path)
+    fs, there = file_system(spark, batch)
+    fs.delete(there, True)
     return spark.createDataFrame([(r["status"], r["n"]) for r in counts], "status string, n long")
 
 
@@ -34,24 +80,59 @@ def replace_source(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
-def publish(spark: SparkSession, path: str, view: str) -> None:
-    """Point the view that readers use at a finished copy."""
-    spark.read.parquet(path).createOrReplaceTempView(view)
+def delete_sources(spark: SparkSession, path: str, sources: list[str]) -> list[str]:
+    """Delete all rows of the sources; returns those that were there."""
+    out = []
+    for source in sources:
+        fs, there = file_system(spark, f"{path}/source={source}")
+        if fs.exists(there):
+            fs.delete(there, True)
+            out.append(source)
+    return out
+
+
+def reset(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Drop the table and create it anew, empty."""
+    fs, there = file_system(spark, path)
+    fs.delete(there, True)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def publish(spark: SparkSession, path: str, target: str, view: str) -> str:
+    """Copy the table to a folder of its own under `target`, then point the view of the readers at the finished copy."""
+    copy = f"{target}/{uuid.uuid4().hex}"
+    rows = spark.read.parquet(path)
+    writer = rows.write.partitionBy("source") if "source" in rows.columns else rows.write
+    writer.parquet(copy)
+    spark.read.parquet(copy).createOrReplaceTempView(view)
+    return copy
 
 
 def refresh(
-    spark: SparkSession, sources: dict[str, Callable[[SparkSession], DataFrame]], path: str, *, incremental: bool = False
+    spark: SparkSession,
+    sources: dict[str, Callable[[SparkSession], DataFrame]],
+    path: str,
+    *,
+    incremental: bool = False,
+    normalise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Load the sources in order; returns (source, status, n). An error of one source is its status, others go on."""
+    """Load the sources in order: each is cleared unless `incremental`, normalised, and added once per key.
+
+    Returns (source, status, n) of events, and (source, fixes, n) of what the normaliser changed. An error of one source is
+    its status, the others go on.
+    """
     out = []
     for name, load in sources.items():
         try:
             rows = load(spark).withColumn("source", F.lit(name))
-            if incremental:
-                out += [(name, r["status"], r["n"]) for r in append_events(rows, path).collect()]
-            else:
-                replace_source(rows, path)
-                out.append((name, "added", rows.select("post_id").distinct().count()))
+            if normalise is not None:
+                rows = normalise(rows)
+                if "fixes" in rows.columns:
+                    out.append((name, "fixes", int(rows.agg(F.sum("fixes")).first()[0] or 0)))
+                    rows = rows.drop("fixes")
+            if not incremental:
+                delete_sources(spark, path, [name])
+            out += [(name, r["status"], r["n"]) for r in append_events(rows, path).collect()]
         except Exception as error:  # noqa: BLE001
             out.append((name, f"failed: {type(error).__name__}", 0))
     return spark.createDataFrame(out, "source string, status string, n long")
