@@ -179,21 +179,22 @@ def combo_de(text: Column) -> Column:
     return out.withField("bit", F.upper(out["bit"]))
 
 
-def named_combo(combo: Column) -> Column:
-    """A parsed combo under the names of the tables: (lock_chip, blade, assist, ratchet, bit)."""
-    split = parts.split_assist(combo["blade"])
-    whole = parts.compound(split["blade"])
-    assist = F.coalesce(parts.found_in(catalog.ASSISTS, combo["assist"]), combo["assist"], split["assist"])
-    return F.when(
-        combo.isNotNull(),
-        F.struct(
-            whole["lock_chip"].alias("lock_chip"),
-            whole["blade"].alias("blade"),
-            assist.alias("assist"),
-            combo["ratchet"].alias("ratchet"),
-            parts.expanded_bit(combo["bit"]).alias("bit"),
-        ),
+def with_names(rows: DataFrame, combo: str = "combo") -> DataFrame:
+    """The rows with their parsed combo under the names of the tables: (lock_chip, blade, assist, ratchet, bit).
+
+    Each step is a column of its own, so that none is worked out again for every place that uses it.
+    """
+    c = F.col(combo)
+    rows = rows.withColumn("_split", parts.split_assist(c["blade"]))
+    rows = rows.withColumn("_whole", parts.compound(F.col("_split.blade")))
+    named = F.struct(
+        F.col("_whole.lock_chip").alias("lock_chip"),
+        F.col("_whole.blade").alias("blade"),
+        F.coalesce(parts.found_in(catalog.ASSISTS, c["assist"]), c["assist"], F.col("_split.assist")).alias("assist"),
+        c["ratchet"].alias("ratchet"),
+        parts.expanded_bit(c["bit"]).alias("bit"),
     )
+    return rows.withColumn(combo, F.when(c.isNotNull(), named)).drop("_split", "_whole")
 
 
 def folded(rules: dict[str, str]) -> dict[str, str]:
@@ -349,8 +350,8 @@ def placements(rows: DataFrame, *, place: str = PLACE, named: bool = False) -> D
         noise = noise | low.contains(x)
     short = F.col("_place").isNull() & ~line.rlike(RATCHET) & ~noise & ~line.startswith("(") & F.length(line).between(2, 49)
     whole = Window.partitionBy(*key, "section")
-    combo = combo_en(line)
-    rows = rows.withColumn("combo", named_combo(combo) if named else combo).withColumns(
+    rows = rows.withColumn("combo", combo_en(line))
+    rows = (with_names(rows) if named else rows).withColumns(
         {
             "place": F.max(F.when(F.col("_place").isNotNull(), F.regexp_extract("_place", r"\d+", 0).cast("int"))).over(whole),
             "player": F.coalesce(

@@ -29,8 +29,9 @@ def test_names(spark):
         c=names.display_blade(F.lit("Soar Phoenix")),
         d=names.full_blade(F.lit(None).cast("string"), F.lit("Dran")),
         e=names.display_ratchet(F.lit("odd")),
+        f=names.full_blade(F.lit("Sol"), F.lit("Soar Phoenix")),
     )
-    assert tuple(r) == ("9-60", "High Needle", "Phoenix Wing", "Dran", "odd")
+    assert tuple(r) == ("9-60", "High Needle", "Phoenix Wing", "Dran", "odd", "Sol Phoenix Wing")
 
 
 def test_combos(spark):
@@ -38,7 +39,7 @@ def test_combos(spark):
         "DranSword 3-60F": ("DranSword", None, "3-60", "F"),
         "- KnightShield 3-80N (Both Stages)": ("KnightShield", None, "3-80", "N"),
         "HellScythe Phoenix Wing 4-80B": ("HellScythe Phoenix Wing", None, "4-80", "B"),
-        "Wombat: Wizard Rod 9-60 Ball": ("Wizard Rod", None, "9-60", "Ball"),
+        "Ada: Wizard Rod 9-60 Ball": ("Wizard Rod", None, "9-60", "Ball"),
         "no combo here": None,
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", ingest.combo_en(F.col("t")).alias("c"))
@@ -52,6 +53,8 @@ def test_combos(spark):
         stage=ingest.stage_note(F.lit("x (3on3 Finals Only)")),
     )
     assert tuple(r.ja) == ("ウィザードロッド", "ジャギー", "3-60", "HN")
+    whole = one(spark, c=ingest.combo_ja(F.lit("ウィザード ロッド 3-60F"), ("ウィザードロッド",)), d=ingest.combo_ja(F.lit("ドラン Dash 3-60F")))
+    assert tuple(whole.c) == ("ウィザード ロッド", None, "3-60", "F") and tuple(whole.d) == ("ドラン Dash", None, "3-60", "F")
     assert tuple(r.de) == ("T. Rex", None, "1-70", "B")
     assert tuple(r.deh) == ("Wolf Blast", None, "F4-50", "H")
     assert r.stage == "final"
@@ -79,31 +82,79 @@ def test_dates_places_formats(spark):
     assert r.i == "Cup"
 
 
-def test_forum_post(spark):
-    text = """X MARKS THE SPOT! - 07/29/23
-Toronto, ON, Canada - X Format - Unranked 1on1
-
-1st Place: Wombat
-DranSword 3-60F
+HEAD = {
+    "name with its date": (
+        "Harbour Open\n- 03/09/24\nLeeds, UK - X Format - Ranked 3on3",
+        ("Harbour Open", datetime.date(2024, 3, 9), "Leeds", None, "UK", "3on3", True),
+    ),
+    "location before the name": (
+        "03/09/24\nLeeds, Kent, UK - Unranked 1on1\nSpring Meeting",
+        ("Spring Meeting", datetime.date(2024, 3, 9), "Leeds", "Kent", "UK", "1on1", False),
+    ),
+    "date in words on its own line": (
+        "Spring Meeting\nMarch 9, 2024\nNice, France",
+        ("Spring Meeting", datetime.date(2024, 3, 9), "Nice", None, "France", None, None),
+    ),
+    "bars": (
+        "Spring Meeting | X Format (Unranked)\nNice, France | March 9, 2024",
+        ("Spring Meeting", datetime.date(2024, 3, 9), "Nice", None, "France", None, False),
+    ),
+    "notes are no names": (
+        "Winning Combos\nX Format\nSpring Meeting\nMarch 9, 2024",
+        ("Spring Meeting", datetime.date(2024, 3, 9), None, None, None, None, None),
+    ),
+    "the search ends at a placement": ("03/09/24\n1st Place: Ada\nNot A Name", (None, datetime.date(2024, 3, 9), *[None] * 5)),
+}
+
+
+def test_headers(spark):
+    rows = [(name, f"{head}\n\n1st Place: Ada\nAlpha Beta 3-60F") for name, (head, _) in HEAD.items()]
+    posts = spark.createDataFrame(rows, "post_id string, text string")
+    found = ingest.headers(ingest.with_event(ingest.lines(posts)), F.to_date(F.lit("2025-01-01"))).collect()
+    assert {r.post_id: (r.name, r.date, r.city, r.state, r.country, r.format, r.ranked) for r in found} == {
+        name: expected for name, (_, expected) in HEAD.items()
+    }
 
-2nd Place: henwooja1
-HellScythe Phoenix Wing 4-80B
 
-3rd Place:
-1234spinner
-KnightShield 3-80N"""
-    posts = spark.createDataFrame([("pid1", text), ("pid2", "Just a moment 3-60F")], "post_id string, text string")
+def test_two_events_in_a_post(spark):
+    text = """Harbour Open
+- 03/09/24
+Leeds, UK - Ranked 1on1
+
+1st Place: Ada
+Alpha Beta 3-60F (Both Stages)
+2nd
+(click to view)
+Brook
+Gamma Delta S 9-60 Ball
+4th: Cleo
+Epsilon 5-80GN
+
+03/16/24
+Harbour Return
+Leeds, UK
+1st Place - Drew
+Alpha Beta 3-60F"""
+    posts = spark.createDataFrame([("p", text), ("q", "Just a moment 3-60F")], "post_id string, text string")
     rows = ingest.with_event(ingest.lines(ingest.wanted_posts(posts)))
-    head = ingest.headers(rows, F.to_date(F.lit("2025-01-01"))).collect()
-    assert [(h.post_id, h.name, h.date, h.city, h.state, h.country, h.format, h.ranked) for h in head] == [
-        ("pid1", "X MARKS THE SPOT!", datetime.date(2023, 7, 29), "Toronto", "ON", "Canada", "1on1", False)
-    ]
-    found = sorted((r.place, r.player, r.blade) for r in ingest.placements(rows).collect())
-    assert found == [
-        (1, "Wombat", "DranSword"),
-        (2, "henwooja1", "HellScythe Phoenix Wing"),
-        (3, "1234spinner", "KnightShield"),
-    ]
+    head = sorted((h.event, h.name, str(h.date)) for h in ingest.headers(rows, F.to_date(F.lit("2025-01-01"))).collect())
+    assert head == [(0, "Harbour Open", "2024-03-09"), (1, "Harbour Return", "2024-03-16")]
+    found = sorted((r.event, r.place, r.player, r.blade, r.stage) for r in ingest.placements(rows).collect())
+    assert found[0] == (0, 1, "Ada", "Alpha Beta", "both") and (1, 1, "Drew", "Alpha Beta", None) in found
+    named = {(r.event, r.place): r for r in ingest.placements(rows, place=ingest.ANY_PLACE, named=True).collect()}
+    assert set(named) == {(0, 1), (0, 2), (0, 4), (1, 1)}
+    assert (named[0, 2].player, named[0, 2].blade, named[0, 2].assist, named[0, 2].bit) == ("Brook", "Gamma Delta", "Slash", "Ball")
+    assert (named[0, 4].player, named[0, 4].blade, named[0, 4].bit) == ("Cleo", "Epsilon", "GearNeedle")
+
+
+def test_trends_and_ordinals(spark):
+    r = one(
+        spark,
+        up=scoring.trend_class(F.lit(0.2)), down=scoring.trend_class(F.lit(-0.2)), flat=scoring.trend_class(F.lit(0.1)),
+        none=scoring.ordinal(F.lit(0.0)), first=scoring.ordinal(F.lit(1.4)), second=scoring.ordinal(F.lit(1.5)),
+        third=scoring.ordinal(F.lit(3.9)),
+    )
+    assert tuple(r) == ("up", "down", "neutral", "--", "1st", "2nd", "3rd")
 
 
 def test_normaliser_folds_chains(spark):

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from podium.operators import ingest
 from podium.operators.timelines import stream_weekly
 from podium.sources import reports, tables
 from podium.streaming.reports import ingest_stream
@@ -43,23 +45,70 @@ def test_append_replace_refresh(spark, tmp_path):
     other = rows.limit(1).withColumn("source", F.lit("z"))
     tables.replace_source(other, path)
     assert sorted(r.source for r in spark.read.parquet(path).collect()) == ["s", "z"]
+    assert tables.delete_sources(spark, path, ["z", "none"]) == ["z"]
+    assert [r.source for r in spark.read.parquet(path).collect()] == ["s"]
+    copy = tables.publish(spark, path, f"{tmp_path}/published", "seen")
 
     def broken(_):
         raise ValueError
 
-    out = tables.refresh(spark, {"z": lambda s: rows.drop("source"), "bad": broken}, path)
-    assert {(r.source, r.status, r.n) for r in out.collect()} == {("z", "added", 2), ("bad", "failed: ValueError", 0)}
+    new = spark.createDataFrame([("c", "Might Blast"), ("a", "x")], "post_id string, blade string")
+    new = new.withColumn("date", F.to_date(F.lit("2024-02-02")))
+    fix = lambda df: ingest.normalised(df, ["blade"], {"Might Blast": "Emperor Might"})
+    for _ in range(2):  # a source is cleared before it is loaded, so a second run gives the same
+        out = tables.refresh(spark, {"z": lambda s: new, "bad": broken}, path, normalise=fix)
+        assert {tuple(r) for r in out.collect()} == {
+            ("z", "fixes", 1), ("z", "added", 1), ("z", "exists", 1), ("bad", "failed: ValueError", 0)
+        }
+    again = tables.refresh(spark, {"z": lambda s: new}, path, incremental=True)
+    assert {tuple(r) for r in again.collect()} == {("z", "exists", 2)}
+    assert spark.table("seen").count() == 1 and spark.read.parquet(copy).count() == 1  # readers keep the finished copy
+    tables.reset(spark, path, spark.read.parquet(path).schema)
+    assert spark.read.parquet(path).isEmpty()
+
+
+def test_once_in_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", 1, "p", 1), ("a", 2, "q", 1), ("a", 1, "late", 2), ("b", None, "r", 3), ("c", 1, "s", 4), ("c", 1, "s", 4)],
+        "post_id string, place int, player string, record int",
+    ).withColumns({"date": F.to_date(F.lit("2024-01-01")), "source": F.lit("s")})
+    counts = {r.status: r.n for r in tables.append_events(rows, f"{tmp_path}/t").collect()}
+    assert counts == {"added": 2, "no_placements": 1}
+    found = sorted((r.post_id, r.place, r.player) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert found == [("a", 1, "p"), ("a", 2, "q"), ("c", 1, "s")]
+
+
+def test_broken_dump_is_an_error(spark, tmp_path):
+    (tmp_path / "dump.json").write_text('{"1": "<p>')
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        reports.page_dump(spark, f"{tmp_path}/dump.json").collect()
+
+
+def test_match_tables(spark):
+    html = """<table><tr><th>Adaさん使用ベイ</th><th>Brook</th></tr><tr><td>ペガサスブラスト<br>3-60 F</td><td>Beta_9-60</td></tr>
+    <tr><td>ペガサスブラスト 3-60F</td><td>none</td></tr><tr><td>alone 1-60A</td></tr></table>
+    <table><tr><td>勝ち方</td><td>ポイント</td></tr></table><table><tr><td>Cleo</td><td>Ada</td></tr><tr><td>Gamma 5-80B</td><td>Delta 4-60HN</td></tr></table>"""
+    cells = reports.table_cells(spark.createDataFrame([("u", html)], "page string, html string"))
+    found = ingest.match_placements(cells, {"ペガサスブラスト": "Pegasus Blast"})
+    assert sorted((r.place, r.player, r.n, r.lock_chip, r.blade, r.ratchet, r.bit) for r in found.collect()) == [
+        (1, "Ada", 1, "Pegasus", "Blast", "3-60", "Flat"),
+        (1, "Ada", 2, None, "Delta", "4-60", "High Needle"),
+        (2, "Brook", 1, None, "Beta", "9-60", ""),
+        (3, "Cleo", 1, None, "Gamma", "5-80", "Ball"),
+    ]
 
 
 def test_stream_ingest_adds_once(spark, tmp_path):
     folder, path = tmp_path / "in", f"{tmp_path}/table"
     folder.mkdir()
-    (folder / "1.json").write_text(json.dumps({"1": POST.format(n=1)}))
+    for name in ("1", "0"):  # two dumps with one post in the same batch
+        (folder / f"{name}.json").write_text(json.dumps({"1": POST.format(n=1)}))
     ingest_stream(spark, str(folder), path, f"{tmp_path}/c").awaitTermination()
     (folder / "2.json").write_text(json.dumps({"1": POST.format(n=1), "2": POST.format(n=2)}))
     ingest_stream(spark, str(folder), path, f"{tmp_path}/c").awaitTermination()
     found = sorted((r.post_id, r.place, r.player) for r in spark.read.parquet(path).collect())
     assert found == [("1", 1, "Ann"), ("1", 2, "Bob"), ("2", 1, "Ann"), ("2", 2, "Bob")]
+    assert {r.region for r in spark.read.parquet(path).collect()} == {"NA"}
 
 
 def test_weekly_stream_equals_batch(spark, sf_dir, tmp_path):
