@@ -11,8 +11,9 @@ only the links that join components, so no pair that shares a bucket is left uns
 
 With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 1e-7 (1.5e-5 at 0.8).
 
-A pivot or a bucket may hold a third of all rows: the partners of a pivot are dealt to salted copies of it, and the members
-of an open bucket to blocks bounded in rows and in bytes of text.
+A pivot or a bucket may hold a third of all rows: both sides of the joins that give a pivot's partners its signature and text
+are dealt for that join alone, so adaptive execution can split a hot pivot, and the members of an open bucket are dealt to
+blocks bounded in rows and in bytes of text.
 
 Edge cases: null text and texts without words have no shingles and are linked with nothing; very long texts are read whole;
 a text with fewer words than a shingle is one shingle; ids may be of any type that can be ordered; rows that share an id are
@@ -145,20 +146,7 @@ def _surviving(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> n
     return left
 
 
-def _with_value(pairs: DataFrame, end: str, values: DataFrame, name: str, limit: int, most: int = 512) -> DataFrame:
-    """The pairs with the value (id, value) of one end; an end of more than `most` pairs is dealt to copies of its value."""
-    hot = pairs.groupBy(end).agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    hot = written(hot.select(end, F.ceil(F.col("n") / most).cast("int").alias("_copies")), "hot")
-    few = small(hot, hot.count(), limit)
-    other = "b" if end == "a" else "a"
-    dealt = pairs.join(few, end, "left")
-    dealt = dealt.withColumn("_copy", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
-    values = values.toDF(end, name).join(few, end, "left")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
-    return dealt.join(values.select(end, name, copies.alias("_copy")), [end, "_copy"]).drop("_copy")
-
-
-def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]], limit: int) -> DataFrame:
+def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     """The pairs (a, b) whose signatures pass every batch."""
 
     def keep(batches):
@@ -167,16 +155,17 @@ def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]],
             yield batch.select([0, 1]).take(pa.array(rows))
 
     sig = classes.select("id", "sig")
-    joined = _with_value(_with_value(pairs, "b", sig, "sb", limit), "a", sig, "sa", limit)
+    joined = pairs.join(sig.toDF("b", "sb"), "b").join(sig.toDF("a", "sa"), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
-    """(id, data) of the rows with the given names, once each."""
+    """(id, data) of the rows with the given names, once each; written, so that a join deals them anew and can split hot
+    ids."""
     ids = written(ids.toDF("id").distinct(), "ids")
     texts = docs.select(_row().alias("id"), whole_text().cast("binary").alias("data"))
     texts = texts.join(small(ids, ids.count(), broadcast_ids), "id", "left_semi")
-    return written(texts, "texts").dropDuplicates(["id"])
+    return written(texts.dropDuplicates(["id"]), "texts")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broadcast_ids: int) -> DataFrame:
@@ -201,7 +190,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, broad
                 held.clear()
 
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b"))), broadcast_ids)
-    joined = _with_value(_with_value(pairs, "b", texts, "db", broadcast_ids), "a", texts, "da", broadcast_ids)
+    joined = pairs.join(texts.toDF("b", "db"), "b").join(texts.toDF("a", "da"), "a")
     return written(joined.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -336,7 +325,7 @@ def near_duplicates(
     )
     limits = least_matches(threshold, miss)
     bands = written(shared_buckets(band_rows(classes)), "bands")
-    first = written(_prune(_star_pairs(bands), classes, limits, broadcast_ids), "pairs")
+    first = written(_prune(_star_pairs(bands), classes, limits), "pairs")
     links = _verify(first, docs, shingle, percent, broadcast_ids)
     labels = written(components(links), "labels")
     rows = written(_open_buckets(bands, labels, classes), "open")
