@@ -96,17 +96,23 @@ def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per line with a word: row, host, doc, l1 and l2 (128 bits of host and line), words."""
     line = F.col("_line")
     document = F.when(F.col("doc_id").isNull(), F.xxhash64(whole_text())).otherwise(F.xxhash64("doc_id"))
+    # normalised_line of every line, the white space and case of the whole text at once
+    flat = F.lower(F.regexp_replace(whole_text(), "[\\x20\\x09\\x0B-\\x0D]+", " "))
     return (
         docs.select(
             _row(host).alias("row"),
             F.xxhash64(F.col(host)).alias("host"),
             document.alias("doc"),
-            F.explode(F.split(whole_text(), "\n")).alias("_line"),
+            F.explode(F.split(flat, "\n")).alias("_line"),
         )
-        .select("row", "host", "doc", normalised_line(line).alias("_line"))
+        .select("row", "host", "doc", F.trim("_line").alias("_line"))
         .filter(line != "")
         .select(
-            "row", "host", "doc", *_line_key(line), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")
+            "row",
+            "host",
+            "doc",
+            *_line_key(line),
+            (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words"),
         )
     )
 
