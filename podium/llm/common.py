@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> Iterator[None]:
+    """`small_batches` for what runs inside; the session's own settings come back afterwards."""
+    keys = [f"spark.sql.execution.arrow.{key}" for key in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    own = [spark.conf.get(key) for key in keys]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for key, value in zip(keys, own):
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession

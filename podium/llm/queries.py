@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from podium.llm import bpe, decontaminate, language_crf, line_quality, near_dedup, quality_fm, secret_forest, substring_dedup, suffix_dedup, toxicity
+from podium.llm import (
+    bpe,
+    centroids,
+    decontaminate,
+    language_crf,
+    lexical_search,
+    line_quality,
+    near_dedup,
+    quality_fm,
+    secret_forest,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_crf": language_crf.op9_language_crf,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_token_files": token_files.op13_token_files,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
@@ -22,4 +39,6 @@ SQL = {
     "op6_near_dedup": near_dedup.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
