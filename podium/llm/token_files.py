@@ -38,9 +38,12 @@ CUT, UNSURE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
 class Units:
-    """A byte-level vocabulary of the tokenizers library; ids of a text are looked up by what stands between spaces."""
+    """A byte-level vocabulary of the tokenizers library; ids of a text are looked up by what stands between spaces.
 
-    def __init__(self, path: str, most: int = 300_000):
+    The first `most` units that a worker meets stay known; frequent ones are among them.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
@@ -54,14 +57,16 @@ class Units:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.units(text) for text in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        new = [unit for unit in {u for units in cut for u in units} if unit not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for unit, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = np.array(found.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([self.known[u] for u in units]), "<u4") for units in cut]
+        found = [list(map(self.known.get, units)) for units in cut]
+        new = {u for units, ids in zip(cut, found) if None in ids for u, i in zip(units, ids) if i is None}
+        if new:
+            own, some = {}, list(new)
+            for unit, ids in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                own[unit] = np.array(ids.ids, "<u4").tobytes()
+            found = [[own[u] if i is None else i for u, i in zip(units, ids)] for units, ids in zip(cut, found)]
+            if len(self.known) < self.most:
+                self.known |= own
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 @functools.lru_cache(maxsize=2)
