@@ -60,6 +60,48 @@ BITS = {
     "WW": "Wall Wedge", "BS": "Bound Spike", "TK": "Trans Kick", "TP": "Trans Point", "UF": "Under Flat",
     "UN": "Under Needle", "RA": "Rubber Accel",
 }
+#: Bits as the Japanese and the German source read them; both have maps of their own.
+BITS_BY_SOURCE = {
+    "jp": {
+        "B": "Ball", "F": "Flat", "N": "Needle", "P": "Point", "T": "Taper", "S": "Spike", "O": "Orb", "D": "Dot",
+        "A": "Accel", "R": "Rush", "H": "Hexa", "C": "Cyclone", "U": "Unite", "L": "Level", "E": "Elevate", "G": "Glide",
+        "Q": "Quake", "K": "Kick", "V": "Vanguard", "HN": "High Needle", "LF": "Low Flat", "LR": "Low Rush",
+        "LN": "Low Needle", "GF": "GearFlat", "GB": "GearBall", "GN": "GearNeedle", "GP": "GearPoint",
+        "MN": "Metal Needle", "HT": "High Taper", "HA": "High Accel", "DB": "Disc Ball", "HS": "High Sword",
+        "SN": "Spiral Needle",
+    },
+    "de": {
+        "B": "Ball", "F": "Flat", "N": "Needle", "P": "Point", "T": "Taper", "S": "Spike", "O": "Orb", "D": "Dot",
+        "A": "Accel", "R": "Rush", "H": "Hexa", "C": "Cyclone", "U": "Unite", "L": "Level", "E": "Elevate", "G": "Glide",
+        "Q": "Quake", "K": "Kick", "V": "Vanguard", "J": "Jolt", "HN": "High Needle", "LF": "Low Flat", "LR": "Low Rush",
+        "LN": "Low Needle", "LO": "Low Orb", "GF": "GearFlat", "GB": "GearBall", "GN": "GearNeedle", "GP": "GearPoint",
+        "MN": "Metal Needle", "HT": "High Taper", "HA": "High Accel", "DB": "Disc Ball", "HS": "High Sword",
+        "SN": "Spiral Needle", "FB": "Free Ball", "RA": "Rush Accel",
+    },
+}
+#: Sources that write bits in any case.
+UPPER_BITS = ["de"]
+#: Chips, assists, event words and placement words in Japanese.
+KANA_CHIPS = {
+    "ペガサス": "Pegasus", "ドラン": "Dran", "ウィザード": "Wizard", "ペルセウス": "Perseus", "ヘルズ": "Hells",
+    "フォックス": "Fox", "ソル": "Sol", "ウルフ": "Wolf", "エンペラー": "Emperor", "フェニックス": "Phoenix",
+    "ヴァルキリー": "Valkyrie", "ケルベロス": "Cerberus",
+}
+KANA_ASSISTS = {
+    "ジャギー": "Jaggy", "スラッシュ": "Slash", "ホイール": "Wheel", "バンパー": "Bumper", "ヘビー": "Heavy",
+    "アサルト": "Assault", "ラッシュ": "Rush", "ロー": "Low", "ラッシュアサルト": "Rush Assault", "ローオービット": "Low",
+    "バンパースラッシュ": "Bumper Slash", "アッパーフラット": "Upper Flat", "ギアラッシュ": "Gear Rush",
+    "ホイールバンパー": "Wheel Bumper", "W": "Wheel", "H": "Heavy", "S": "Slash", "J": "Jaggy",
+}
+EVENT_WORDS = {
+    "G1大会": "G1 Tournament", "日本選手権": "Japan Championship", "ワールドチャンピオンシップ": "World Championship",
+    "アジアチャンピオンシップ": "Asia Championship", "エクストリームカップGP": "Extreme Cup GP",
+    "ランダムブースターカップ": "Random Booster Cup", "東京": "Tokyo", "大阪": "Osaka", "名古屋": "Nagoya",
+    "福岡": "Fukuoka", "札幌": "Sapporo", "仙台": "Sendai", "横浜": "Yokohama", "神戸": "Kobe", "京都": "Kyoto",
+    "広島": "Hiroshima", "レギュラークラス": "Regular Class", "オープンクラス": "Open Class", "決勝": "Finals",
+    "準決勝": "Semi-Finals", "予選": "Preliminaries",
+}
+PLACE_WORDS = {"1位": 1, "2位": 2, "3位": 3, "優勝": 1, "準優勝": 2, "3位入賞": 3}
 #: Bits of two words that are also written as one.
 SPACED_BITS = [
     "Gear Flat", "Gear Ball", "Gear Needle", "Gear Point", "Gear Rush", "Low Flat", "Low Rush", "Low Needle", "Low Orb",

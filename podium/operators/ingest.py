@@ -453,7 +453,7 @@ def match_placements(
     blade = parts.translated(F.trim(found(plain, pattern)), blades or {}, squeeze=True)
     bit = F.regexp_extract(plain, pattern, 3)
     full = full.filter(plain.rlike(pattern)).withColumns(
-        {"w": parts.compound(blade), "ratchet": F.regexp_extract(plain, pattern, 2), "bit": parts.expanded_bit(parts.translated(bit, bits or {}))}
+        {"w": parts.compound(blade), "ratchet": F.regexp_extract(plain, pattern, 2), "bit": parts.expanded_bit(parts.translated(bit, bits or {}), catalog.BITS_BY_SOURCE["jp"], [])}
     )
     own = full.join(players, ["page", "t", "c"]).select("page", "player", F.struct("t", "r", "c").alias("at"), "w.*", "ratchet", "bit")
     own = own.groupBy("page", "player", "blade", "ratchet", "bit").agg(F.min(F.struct("at", "lock_chip")).alias("f"))
@@ -492,13 +492,14 @@ def prose_placements(rows: DataFrame, blades: dict[str, str] | None = None, bits
         .select(
             "post_id", "place", player.alias("player"), "n", whole["lock_chip"].alias("lock_chip"),
             whole["blade"].alias("blade"), "combo.assist", "combo.ratchet",
-            parts.expanded_bit(parts.translated(F.col("combo.bit"), bits or {})).alias("bit"),
+            parts.expanded_bit(parts.translated(F.col("combo.bit"), bits or {}), catalog.BITS_BY_SOURCE["jp"], []).alias("bit"),
         )
     )
 
 
 def caption_placements(captions: DataFrame, *, prefix: str = "", game_name: str = "", cities: list[str] = catalog.CAPTION_CITIES, skip: tuple[str, ...] = ("#", "Lizenz"), k: int = 3) -> DataFrame:
-    """(post_id, name, date, city, country, place, player, n, blade, ratchet, bit) of captions (source_id, text, posted_at)."""
+    """(post_id, name, date, city, country, place, player, n, lock_chip, blade, ratchet, bit) of captions (source_id, text,
+    posted_at); compound blades are parted, and bits read by the German map."""
     wanted = captions.filter(F.lower("text").contains("winning combos"))
     rows = wanted.select(F.concat(F.lit(prefix), "source_id").alias("post_id"), "posted_at", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.trim("line")).filter("line <> ''")
@@ -529,9 +530,11 @@ def caption_placements(captions: DataFrame, *, prefix: str = "", game_name: str
     out = combos.join(heads, ["post_id", "block"]).withColumn(
         "n", F.row_number().over(Window.partitionBy("post_id", "block").orderBy("line_no"))
     )
-    out = out.filter(F.col("n") <= k).select("post_id", "place", "player", "n", "combo.blade", "combo.ratchet", "combo.bit")
+    out = out.filter(F.col("n") <= k).withColumn("whole", parts.compound(F.col("combo.blade")))
+    bit = parts.expanded_bit(F.col("combo.bit"), catalog.BITS_BY_SOURCE["de"], [])
+    out = out.select("post_id", "place", "player", "n", "whole.lock_chip", "whole.blade", "combo.ratchet", bit.alias("bit"))
     return out.join(head, "post_id").select(
-        "post_id", "name", "date", "city", "country", "place", "player", "n", "blade", "ratchet", "bit"
+        "post_id", "name", "date", "city", "country", "place", "player", "n", "lock_chip", "blade", "ratchet", "bit"
     )
 
 
@@ -686,9 +689,11 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Podiums of each tournament as captions; bits are written by their first letter."""
+    """Podiums of each tournament as captions; bits are written by a code, and some blades are compound ones."""
     rows = usage(spark, sf_dir).filter("place <= 3").withColumn("week", F.expr(WEEK))
-    combo = F.concat("blade", F.lit(" "), display_ratchet(F.col("ratchet")), F.substring("bit", 1, 1))
+    code = F.when(F.col("place") == 1, F.substring("bit", 1, 1)).when(F.col("place") == 2, "FB").otherwise("ra")
+    blade = F.when(F.col("blade").endswith("3"), "Pegasus Blast").when(F.col("blade").endswith("4"), "Brave Emperor").otherwise(F.col("blade"))
+    combo = F.concat(blade, F.lit(" "), display_ratchet(F.col("ratchet")), code)
     block = rows.groupBy("tournament_id", "tournament_date", "week", "place", "player_name").agg(
         F.array_join(F.sort_array(F.collect_list(combo)), "\n").alias("combos")
     )
@@ -800,9 +805,14 @@ FROM n JOIN ply USING (tournament_id, player_name) WHERE n <= 3""",
   max(place) OVER (PARTITION BY tournament_id) AS most, min(place) OVER (PARTITION BY tournament_id) AS least FROM f)
 SELECT tournament_id AS post_id, CAST(place - least + 1 AS INTEGER) AS place, player_name || CASE WHEN most = 2 AND week % 2 = 1 THEN ' (東京)'
   WHEN least = 1 THEN ' (大阪)' ELSE '' END AS player, n, blade, r AS ratchet, bit FROM o""",
-    "ing_captions": f"""WITH {USAGE_SQL}, f AS (SELECT *, {_RATCHET_SQL} AS r, substr(bit, 1, 1) AS letter FROM u WHERE place <= 3)
+    "ing_captions": f"""WITH {USAGE_SQL}, f AS (SELECT *, {_RATCHET_SQL} AS r, CASE place WHEN 1 THEN substr(bit, 1, 1) WHEN 2 THEN 'FB' ELSE 'ra' END AS code,
+  CASE WHEN blade LIKE '%3' THEN 'Pegasus Blast' WHEN blade LIKE '%4' THEN 'Brave Emperor' ELSE blade END AS b FROM u WHERE place <= 3)
 SELECT 'de_' || tournament_id AS post_id, 'Cup Berlin' AS name, tournament_date AS date, 'Berlin' AS city, 'Germany' AS country, place, player_name AS player,
-CAST(row_number() OVER (PARTITION BY tournament_id, place ORDER BY blade || ' ' || r || letter) AS INTEGER) AS n, blade, r AS ratchet, letter AS bit FROM f""",
+CAST(row_number() OVER (PARTITION BY tournament_id, place ORDER BY b || ' ' || r || code) AS INTEGER) AS n,
+CASE b WHEN 'Pegasus Blast' THEN 'Pegasus' WHEN 'Brave Emperor' THEN 'Emperor' END AS lock_chip,
+CASE b WHEN 'Pegasus Blast' THEN 'Blast' WHEN 'Brave Emperor' THEN 'Brave' ELSE b END AS blade, r AS ratchet,
+CASE WHEN place = 2 THEN 'Free Ball' WHEN place = 3 THEN 'Rush Accel'
+     ELSE CASE code WHEN 'E' THEN 'Elevate' WHEN 'L' THEN 'Level' WHEN 'P' THEN 'Point' WHEN 'S' THEN 'Spike' ELSE code END END AS bit FROM f""",
     "src_link_list": """SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages)
 WHERE (lower(link) LIKE '%the%' OR lower(link) LIKE '%page%') AND NOT lower(link) LIKE '%ref%'""",
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import catalog
+from podium.sources import commits
 from podium.sources.orders_adapter import USAGE_SQL, usage
 
 
@@ -178,6 +180,20 @@ def parts_dimension(rows: DataFrame) -> DataFrame:
     return rows.select("name", "type", "spin_direction", "series", "notes").orderBy("type", "name")
 
 
+def load_parts(rows: DataFrame, path: str) -> int:
+    """Put the dimension in the place of the one stored at `path`, by one commit; how many parts it has."""
+    rows = parts_dimension(rows).withColumn("source", F.lit("parts"))
+    spark = rows.sparkSession
+    _, added = commits.add_files(rows.coalesce(1), path)
+    commits.update(spark, path, lambda at: replace(at, schema=rows.schema.json(), batches=tuple(added)))
+    return sum(b.rows for b in added)
+
+
+def stored_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, type, spin_direction, series, notes) of the stored dimension."""
+    return commits.read(spark, path).drop("source")
+
+
 def series_of(blade: Column, series: dict[str, str]) -> Column:
     """The line of a blade: by its whole name, else by its last word, else by its first."""
     parts = words_of(blade)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import names
-from podium.operators import comparisons, decks, discovery, ingest, parts, places, rankings, summaries, timelines
+from podium.operators import comparisons, decks, dictionaries, discovery, ingest, kept, parts, places, rankings, summaries, timelines
 from podium.plans.oracle import ORACLE_SQL as ANALYTIC_SQL
 from podium.sources.orders_adapter import usage
 
@@ -117,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distribution": _of(timelines.distribution),
     "share_monthly": _of(timelines.share_monthly),
     "stream_weekly": lambda spark, sf_dir: timelines.stream_weekly(spark.read.parquet(f"{sf_dir}/events.parquet")),
-} | ingest.QUERIES | parts.QUERIES | places.QUERIES
+} | ingest.QUERIES | parts.QUERIES | places.QUERIES | dictionaries.QUERIES | kept.QUERIES
 
 ORACLE_SQL: dict[str, str] = ANALYTIC_SQL | ingest.ORACLE_SQL | parts.ORACLE_SQL | places.ORACLE_SQL
+ORACLE_SQL |= dictionaries.ORACLE_SQL | kept.oracle_sql(ORACLE_SQL)

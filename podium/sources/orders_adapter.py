@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from podium.sources.tables import file_system, shared_dir
+from podium.sources.commits import file_system
+from podium.sources.tables import shared_dir
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem", "part")
 
@@ -50,19 +53,39 @@ def _version(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
 
 
+#: The columns of the fact; building it only to learn them would read every table's footer for each query.
+FACT = """tournament_id string, tournament_date date, region string, place int, player_name string, blade string,
+ratchet string, bit string, assist string, lock_chip string, stage string, series string, source string"""
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened fact, one row per combo used.
 
-    It is stored in the shared folder, by region and sorted by date, so regions and days are pruned at the scan; it is
-    written anew when the files of the tables have changed.
+    It is stored in the shared folder, by region and sorted by date, so regions and days are pruned at the scan. When the files
+    of the tables have changed it is written anew under another name; a writer finishes its copy aside and then renames it, so
+    sessions that start together read whole copies, and copies of earlier files go after a day.
     """
-    path = f"{shared_dir(spark)}/usage-{_version(spark, sf_dir)}"
+    place = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    path = f"{shared_dir(spark)}/usage-{place}-{_version(spark, sf_dir)}"
     fs, done = file_system(spark, f"{path}/_SUCCESS")
-    fact = _fact(spark, sf_dir)
     if not fs.exists(done):
-        rows = fact.sortWithinPartitions("region", "tournament_date")
-        rows.write.mode("overwrite").partitionBy("region").parquet(path)
-    return spark.read.schema(fact.schema).parquet(path).select(fact.columns)
+        part = f"{path}.{uuid.uuid4().hex}"
+        rows = _fact(spark, sf_dir).sortWithinPartitions("region", "tournament_date")
+        rows.write.partitionBy("region").parquet(part)
+        if not fs.rename(file_system(spark, part)[1], file_system(spark, path)[1]) or not fs.exists(done):
+            fs.delete(file_system(spark, part)[1], True)  # another session was first
+        _forget(spark, f"usage-{place}-", path)
+    columns = [c.split()[0] for c in FACT.split(",")]
+    return spark.read.schema(FACT).parquet(path).select(columns)
+
+
+def _forget(spark: SparkSession, prefix: str, path: str, after: float = 86_400.0) -> None:
+    """Delete copies of the fact over earlier files of the same tables that are older than `after` seconds."""
+    fs, folder = file_system(spark, shared_dir(spark))
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith(prefix) and not path.endswith(name) and f.getModificationTime() < (time.time() - after) * 1000:
+            fs.delete(f.getPath(), True)
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from podium.operators import ingest, places
+from podium.sources.commits import read_bytes
 from podium.sources.reports import posts
 from podium.sources.tables import append_events
 
@@ -31,12 +34,17 @@ def parsed(pages: DataFrame, *, least_year: int = 2023, game_names: tuple[str, .
 
 
 def ingest_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, *, source: str = "forum") -> StreamingQuery:
-    """Append every new dump of `folder` (files of page-number-to-HTML JSON) to the table, then stop when all are read."""
+    """Append every new dump of `folder` (files of page-number-to-HTML JSON) to the table, then stop when all are read.
+
+    The number of a batch is committed together with its rows, under the id that the checkpoint gives the stream: a batch that
+    was stopped after its commit and runs again adds nothing, whatever its pages hold by then.
+    """
     text = spark.readStream.schema("value string").option("wholetext", True).text(folder)
-    json = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
-    pages = text.select(F.explode(json).alias("page_no", "html"))
+    dump = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    pages = text.select(F.explode(dump).alias("page_no", "html"))
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_events(parsed(batch).withColumn("source", F.lit(source)), path)
+    def add(batch: DataFrame, number: int) -> None:
+        name = json.loads(read_bytes(spark, f"{checkpoint}/metadata"))["id"]
+        append_events(parsed(batch).withColumn("source", F.lit(source)), path, stream=(name, number))
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
