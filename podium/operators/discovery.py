@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions.scoring import SITE, count_if, ratio, scoped, scored, total
+from podium.functions.texts import sentence
 from podium.operators.rankings import shown
 from podium.operators.timelines import with_era
 
@@ -99,8 +100,8 @@ def _quality(uses: Column, strong: int, moderate: int) -> Column:
     return F.when(uses >= strong, "strong").when(uses >= moderate, "moderate").otherwise("limited")
 
 
-def _times(n: Column, word: str) -> Column:
-    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+def _texts(kind: str, **values: Column) -> list[Column]:
+    return [sentence(kind, what, **values).alias(what) for what in ("reason", "insight")]
 
 
 def meta_blades(stats: DataFrame, *, k: int = 10) -> DataFrame:
@@ -130,7 +131,7 @@ def gems_underused(
         .select(
             *GEM, F.col("blade_uses").alias("total_uses"), F.round(win, 6).alias("win_rate"), "recent_uses",
             _quality(F.col("blade_uses"), 15, 8).alias("data_quality"), peak_era().alias("peak_era"),
-            gem_trend().alias("trend"),
+            gem_trend().alias("trend"), *_texts("underused", blade=F.col("blade"), win=win, recent=F.col("recent_uses")),
         )
         .orderBy(F.desc("win_rate"), F.desc("total_uses"), "blade")
         .limit(limit)
@@ -146,7 +147,7 @@ def gems_forgotten(usage: DataFrame, *, limit: int = 8) -> DataFrame:
         rows.select(
             *GEM, past.alias("total_uses"), wins.alias("past_wins"), F.round(wins / past, 6).alias("win_rate"),
             _quality(past, 8, 4).alias("data_quality"), peak_era().alias("peak_era"), "peak_date",
-            F.concat(F.lit("Won "), _times(wins, "tournament"), F.lit(" in "), peak_era(), F.lit(" era")).alias("reason"),
+            *_texts("forgotten", wins=wins, win=wins / past, era=peak_era()),
             F.when(F.col("last90_uses") > 0, "returning").otherwise("stable").alias("trend"),
         )
         .orderBy(F.desc("past_wins"), F.desc("win_rate"), *GEM)
@@ -169,7 +170,7 @@ def gems_rising(usage: DataFrame, *, limit: int = 8, max_uses: int = 15) -> Data
             *GEM, F.col("last60_uses").alias("recent_uses"), F.col("last60_wins").alias("recent_wins"),
             F.round(recent, 6).alias("recent_win_rate"), F.col("last60_score").alias("recent_score"),
             _quality(F.col("last60_uses"), 6, 3).alias("data_quality"),
-            F.concat(F.lit("New combo with "), _times(F.col("last60_wins"), "win"), F.lit(" in last 60 days")).alias("reason"),
+            *_texts("rising", wins=F.col("last60_wins")),
         )
         .orderBy(F.desc("recent_win_rate"), F.desc("recent_uses"), *GEM)
         .limit(limit)
@@ -187,6 +188,7 @@ def gems_counter_meta(usage: DataFrame, *, limit: int = 8) -> DataFrame:
             *GEM, F.col("current_uses").alias("total_uses"), "current_wins",
             F.round(F.col("current_wins") / F.col("current_uses"), 6).alias("win_rate"),
             _quality(F.col("current_uses"), 6, 3).alias("data_quality"), gem_trend().alias("trend"),
+            *_texts("counter", wins=F.col("current_wins")),
         )
         .orderBy(F.desc("current_wins"), F.desc("win_rate"), *GEM)
         .limit(limit)

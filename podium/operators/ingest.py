@@ -14,6 +14,8 @@ from podium.functions import catalog
 from podium.functions.names import display_ratchet
 from podium.operators import parts
 from podium.sources.orders_adapter import USAGE_SQL, usage
+from podium.sources.reports import page_rows
+from podium.sources.tables import stored
 
 #: Fixed patterns: a ratchet, placement lines of podiums and of any place, and dates.
 RATCHET = r"\d-\d{2}"
@@ -497,6 +499,28 @@ def prose_placements(rows: DataFrame, blades: dict[str, str] | None = None, bits
     )
 
 
+def match_pages(pages: DataFrame, blades: dict[str, str] | None = None, bits: dict[str, str] | None = None, *, prefix: str = "", k: int = 3) -> DataFrame:
+    """(post_id, url, name, date, country, place, player, n, lock_chip, blade, assist, ratchet, bit) of match pages (url, html).
+
+    A page with tables is read by them, one without by the prose of its entry. The title is that of the first heading; the date
+    is that of a time element, else the first in the text, else January 1 of a year in the address.
+    """
+    rows = stored(page_rows(pages.select(F.col("url").alias("page"), "html").distinct()), "pages")
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("text")))
+    heads = rows.filter("kind <> 'cell'").groupBy("page").agg(*[one(x).alias(x) for x in ("title", "time", "whole", "content", "tables")])
+    none, slug = F.lit(""), F.element_at(F.split(F.regexp_replace("page", "/+$", ""), "/"), -1)
+    written = found(F.col("whole"), r"(\d{4}年\d{1,2}月\d{1,2}日)")
+    date = F.coalesce(date_ja(F.trim("time"), none), date_ja(written, none), date_ja(none, found(F.col("page"), "(202[0-9])")))
+    name = title(F.coalesce(F.trim("title"), F.lit("Unknown Tournament")))
+    head = heads.select("page", F.concat(F.lit(prefix), slug).alias("post_id"), name.alias("name"), date.alias("date"), F.lit("Japan").alias("country"))
+    by_table = match_placements(rows.filter("kind = 'cell'"), blades, bits, k).withColumn("assist", F.lit(None).cast("string"))
+    prose = heads.filter("tables = '0'").select(F.col("page").alias("post_id"), F.col("content").alias("text"))
+    by_prose = prose_placements(lines(prose), blades, bits, k).withColumnRenamed("post_id", "page")
+    return head.join(by_table.unionByName(by_prose), "page").select(
+        "post_id", F.col("page").alias("url"), "name", "date", "country", "place", "player", "n", "lock_chip", "blade", "assist", "ratchet", "bit"
+    )
+
+
 def caption_placements(captions: DataFrame, *, prefix: str = "", game_name: str = "", cities: list[str] = catalog.CAPTION_CITIES, skip: tuple[str, ...] = ("#", "Lizenz"), k: int = 3) -> DataFrame:
     """(post_id, name, date, city, country, place, player, n, lock_chip, blade, ratchet, bit) of captions (source_id, text,
     posted_at); compound blades are parted, and bits read by the German map."""
@@ -671,7 +695,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_placements(_match_cells(spark, sf_dir)).drop("lock_chip")
 
 
-def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prose_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winners and runners-up of each tournament as blocks of prose, in odd weeks with a second city between them."""
     rows = usage(spark, sf_dir).filter("place <= 2").withColumn("week", F.expr(WEEK))
     block = rows.groupBy("tournament_id", "week", "place", "player_name").agg(
@@ -685,7 +709,38 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = block.withColumn("text", text).groupBy(F.col("tournament_id").alias("post_id")).agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("place", "text")))["text"], "\n").alias("text")
     )
-    return prose_placements(lines(posts)).drop("lock_chip", "assist")
+    return posts
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose_placements(lines(_prose_posts(spark, sf_dir))).drop("lock_chip", "assist")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners and runners-up of each tournament as pages: in tables, or in prose where week and name add up to an odd number."""
+    rows = usage(spark, sf_dir).filter("place <= 2").withColumn("week", F.expr(WEEK))
+    days = rows.select("tournament_id", "tournament_date", "region", "week").distinct()
+    cells = _match_cells(spark, sf_dir).withColumnRenamed("page", "tournament_id")
+    tag = F.when(F.col("head"), "th").otherwise("td")
+    cell = F.concat(F.lit("<"), tag, F.lit(">"), F.regexp_replace("text", " ", " <br>"), F.lit("</"), tag, F.lit(">"))
+    line = cells.groupBy("tournament_id", "r").agg(F.sort_array(F.collect_list(F.struct("c", cell.alias("x"))))["x"].alias("x"))
+    line = line.withColumn("x", F.concat(F.lit("<tr>"), F.array_join("x", ""), F.lit("</tr>")))
+    table = line.groupBy("tournament_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("r", "x")))["x"], "").alias("table"))
+    prose = _prose_posts(spark, sf_dir).select(F.col("post_id").alias("tournament_id"), F.col("text").alias("prose"))
+    out = days.join(table, "tournament_id").join(prose, "tournament_id")
+    day, kind = F.col("tournament_date"), F.col("week") % 3
+    dated = F.when(kind == 0, F.concat(F.lit('<time>x</time><time datetime="'), day.cast("string"), F.lit('">1.1.</time>'))).when(
+        kind == 1, F.concat(F.lit("<p>開催"), F.date_format(day, "yyyy年M月d日"), F.lit("</p>"))
+    ).otherwise("<time datetime='soon'></time>")
+    body = F.when(
+        (F.col("week") + F.length("tournament_id")) % 2 == 0, F.concat(F.lit("<table>"), "table", F.lit("</table><p>【優勝者：nobody】\nBrand 1-60F</p>"))
+    ).otherwise(F.concat(F.lit("<div>\n"), "prose", F.lit("\n</div>")))
+    html = F.concat(
+        F.lit("<html><head><title>Site</title><style>p {}</style></head><body><h1>【結果】Cup "), "region", F.lit("<b>!</b> | Site</h1>"), dated,
+        F.lit('<div class="x entry-content">'), body, F.lit("</div>\n【優勝者：outside】\nBrand 1-60F</body></html>"),
+    )
+    url = F.concat(F.lit("https://example.org/202"), (F.col("week") % 10).cast("string"), F.lit("/"), "tournament_id", F.lit("/"))
+    return match_pages(out.select(url.alias("url"), html.alias("html")), prefix="jp_").drop("lock_chip", "assist")
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -738,6 +793,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ing_match_tables": _matches,
     "ing_prose_results": _prose,
     "ing_captions": _captions,
+    "ing_match_pages": _pages,
     "src_link_list": lambda spark, sf_dir: page_links(
         spark.read.parquet(f"{sf_dir}/pages.parquet"), ["the", "page"], ["ref"]
     ),
@@ -816,3 +872,12 @@ CASE WHEN place = 2 THEN 'Free Ball' WHEN place = 3 THEN 'Rush Accel'
     "src_link_list": """SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages)
 WHERE (lower(link) LIKE '%the%' OR lower(link) LIKE '%page%') AND NOT lower(link) LIKE '%ref%'""",
 }
+_BY_PAGE = """SELECT 'jp_' || d.tournament_id AS post_id, 'https://example.org/202' || week % 10 || '/' || d.tournament_id || '/' AS url, 'Cup ' || region || '!' AS name,
+CASE week % 3 WHEN 2 THEN make_date(2020 + week % 10, 1, 1) ELSE tournament_date END AS date, 'Japan' AS country, place, player, n, blade, ratchet, bit
+FROM ({rows}) m JOIN (""" + _TWO + """ SELECT DISTINCT tournament_id, tournament_date, region, week FROM f) d ON d.tournament_id = m.{key}
+WHERE (week + length(d.tournament_id)) % 2 = {odd}"""
+ORACLE_SQL["ing_match_pages"] = (
+    _BY_PAGE.replace("{rows}", ORACLE_SQL["ing_match_tables"]).replace("{key}", "page").replace("{odd}", "0")
+    + " UNION ALL "
+    + _BY_PAGE.replace("{rows}", ORACLE_SQL["ing_prose_results"]).replace("{key}", "post_id").replace("{odd}", "1")
+)

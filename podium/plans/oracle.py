@@ -320,7 +320,9 @@ WHERE uses BETWEEN 4 AND 20 AND w >= 0.2 AND t >= 0.4 ORDER BY potential DESC, b
 FROM (SELECT era, {GEM}, {total('p')} AS score, count(*) AS uses FROM e GROUP BY ALL) WHERE uses >= 2) WHERE rank <= 5""",
     "gem_stats": GEMS + "SELECT * FROM gs",
     "gems_underused": GEMS + f"""SELECT b.blade, ratchet, bit, lock_chip, bu AS total_uses, round(bw / CAST(bu AS DOUBLE), 6) AS win_rate, ru AS recent_uses,
-{quality('bu', 15, 8)} AS data_quality, peak_era, gtrend AS trend
+{quality('bu', 15, 8)} AS data_quality, peak_era, gtrend AS trend,
+b.blade || ' has ' || CAST(floor(bw / CAST(bu AS DOUBLE) * 100 + 0.5) AS INTEGER) || '% win rate ' || CASE ru WHEN 0 THEN 'with no recent appearances' WHEN 1 THEN 'but only 1 recent appearance'
+  ELSE 'but only ' || ru || ' recent appearances' END AS reason, 'Best combo shown above. This blade is undervalued in current meta.' AS insight
 FROM (SELECT blade, CAST(sum(uses) AS BIGINT) AS bu, CAST(sum(wins) AS BIGINT) AS bw, CAST(sum(last60_uses) AS BIGINT) AS ru FROM gt GROUP BY blade) b
 JOIN (SELECT *, row_number() OVER (PARTITION BY blade ORDER BY score DESC, ratchet, bit, lock_chip NULLS FIRST) AS k FROM gt) t ON t.blade = b.blade AND k = 1
 WHERE bu >= 5 AND bw >= 0.1 * bu AND ru <= 5000 AND b.blade NOT IN (SELECT blade FROM meta)
@@ -328,16 +330,20 @@ ORDER BY win_rate DESC, total_uses DESC, b.blade LIMIT 8""",
     "gems_forgotten": GEMS + f"""SELECT {GEM}, early_uses + mid_uses AS total_uses, early_wins + mid_wins AS past_wins,
 round((early_wins + mid_wins) / CAST(early_uses + mid_uses AS DOUBLE), 6) AS win_rate, {quality('early_uses + mid_uses', 8, 4)} AS data_quality,
 peak_era, peak_date, 'Won ' || (early_wins + mid_wins) || ' tournament' || CASE WHEN early_wins + mid_wins = 1 THEN '' ELSE 's' END || ' in ' || peak_era || ' era' AS reason,
+'Former champion with ' || CAST(floor((early_wins + mid_wins) / CAST(early_uses + mid_uses AS DOUBLE) * 100 + 0.5) AS INTEGER) || '% past win rate - meta may have moved on prematurely' AS insight,
 CASE WHEN last90_uses > 0 THEN 'returning' ELSE 'stable' END AS trend
 FROM gt WHERE early_wins + mid_wins >= 1 AND early_uses + mid_uses >= 2 AND current_uses <= 3 AND last60_uses <= 2
 ORDER BY past_wins DESC, win_rate DESC, {GEM_ORDER} LIMIT 8""",
     "gems_rising": GEMS + f"""SELECT {GEM}, last60_uses AS recent_uses, last60_wins AS recent_wins,
 round(last60_wins / CAST(last60_uses AS DOUBLE), 6) AS recent_win_rate, last60_score AS recent_score, {quality('last60_uses', 6, 3)} AS data_quality,
-'New combo with ' || last60_wins || ' win' || CASE WHEN last60_wins = 1 THEN '' ELSE 's' END || ' in last 60 days' AS reason
+'New combo with ' || last60_wins || ' win' || CASE WHEN last60_wins = 1 THEN '' ELSE 's' END || ' in last 60 days' AS reason,
+'Emerging pick gaining traction - could be next meta contender' AS insight
 FROM gt WHERE current_uses >= 0.6 * uses AND last60_uses >= 2 AND last60_wins >= 1 AND uses <= 60
 ORDER BY recent_win_rate DESC, recent_uses DESC, {GEM_ORDER} LIMIT 8""",
     "gems_counter_meta": GEMS + f"""SELECT {GEM}, current_uses AS total_uses, current_wins,
-round(current_wins / CAST(current_uses AS DOUBLE), 6) AS win_rate, {quality('current_uses', 6, 3)} AS data_quality, gtrend AS trend
+round(current_wins / CAST(current_uses AS DOUBLE), 6) AS win_rate, {quality('current_uses', 6, 3)} AS data_quality, gtrend AS trend,
+CASE current_wins WHEN 0 THEN 'Non-meta blade placing well in current era' WHEN 1 THEN 'Non-meta blade with 1 win in current era'
+  ELSE 'Non-meta blade with ' || current_wins || ' wins in current era' END AS reason, 'Could exploit weaknesses in popular meta choices' AS insight
 FROM gt WHERE current_uses >= 2 AND (current_wins >= 1 OR 4 * current_wins >= current_uses) AND last90_uses >= 2 AND blade NOT IN (SELECT blade FROM meta)
 ORDER BY current_wins DESC, win_rate DESC, {GEM_ORDER} LIMIT 8""",
     "part_analysis": WITH + f"""SELECT blade AS name, count(*) AS uses, round({count('place = 1')} / CAST(count(*) AS DOUBLE), 6) AS win_rate,

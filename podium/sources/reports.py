@@ -85,6 +85,77 @@ class _Tables(HTMLParser):
             self.text.append(data)
 
 
+class _Page(_Tables):
+    """Collects, beside the tables, the first heading and title, the first time that has a date, all text, and the text of the
+    first entry or article."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.texts: dict[str, list[str]] = {"all": []}
+        self.open: dict[str, int] = {}  # parts being read, by how many elements of their tag are open inside
+        self.time, self.silent = None, 0
+
+    def _part(self, tag: str, kinds: list[str]) -> str | None:
+        if tag == "div":
+            return "entry" if "entry-content" in kinds else None
+        return tag if tag in ("h1", "title", "article") else None
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        own = dict(attrs)
+        self.silent += tag in ("script", "style")
+        if tag == "time" and self.time is None and own.get("datetime") is not None:
+            self.time = own["datetime"]
+        same = {"entry": "div"}
+        for part in self.open:
+            self.open[part] += same.get(part, part) == tag
+        part = self._part(tag, (own.get("class") or "").split())
+        if part and part not in self.texts:
+            self.texts[part], self.open[part] = [], 1
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        self.silent -= tag in ("script", "style") and self.silent > 0
+        same = {"entry": "div"}
+        for part in [p for p in self.open if same.get(p, p) == tag]:
+            self.open[part] -= 1
+            if not self.open[part]:
+                del self.open[part]
+
+    def handle_data(self, data):
+        super().handle_data(data)
+        if not self.silent:
+            for part in ("all", *self.open):
+                self.texts[part].append(data)
+
+    def rows(self) -> Iterator[tuple]:
+        """(kind, t, r, c, head, text): title, time, whole (all text), content (what holds the report), tables (how many), cell."""
+        text = {part: "".join(found) for part, found in self.texts.items()}
+        once = [("title", text.get("h1", text.get("title"))), ("time", self.time), ("whole", text["all"]),
+                ("content", text.get("entry", text.get("article", text["all"]))), ("tables", str(self.table + 1))]
+        yield from ((kind, None, None, None, None, value) for kind, value in once if value is not None)
+        yield from (("cell", *cell) for cell in self.found)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(page, kind, t, r, c, head, text): everything that match pages (page, html) are read from, by one pass over their HTML."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+        for batch in batches:
+            out = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parser = _Page()
+                parser.feed(html.as_py() or "")
+                out += [(page, *x) for x in parser.rows()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["page", "kind", "t", "r", "c", "head", "text"]
+            )
+
+    rows = pages.select(F.col("page").cast("string"), "html")
+    return rows.mapInArrow(parse, "page string, kind string, t int, r int, c int, head boolean, text string")
+
+
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page, t, r, c, head, text): the cells of all tables in pages (page, html)."""
 

@@ -17,7 +17,7 @@ from podium.sources import commits
 from podium.sources.commits import file_system, read, sweep
 
 __all__ = ["append_events", "compact", "delete_sources", "file_system", "once_per_key", "publish", "read", "refresh",
-           "replace_source", "reset", "shared_dir", "sweep"]
+           "replace_source", "reset", "shared_dir", "stored", "sweep"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,13 @@ def once_per_key(rows: DataFrame, key: str = "post_id", record: str = "record")
     return rows.distinct()
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder, for plans that read them more than once."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _staged(rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The rows, computed once and written aside, and what deletes them; rows that cannot be computed raise here."""
     spark = rows.sparkSession
