@@ -306,6 +306,7 @@ FROM r WHERE blade = 'Brand#2' AND ratchet = '10-60' AND bit = 'ECONOMY' HAVING
     "compare_blades": COMPARE_S + "SELECT * FROM cmp",
     "compare_combos": combos(USAGE_SQL, ("Brand#2", "10-60", "ECONOMY"), ("Brand#3", "11-80", "STANDARD")),
     "compare_combos_named": combos(NAMED_SQL, ("dark", "h1-80", "Economy"), ("Dark", "H1-80", "ECONOMY", "o")),
+    "compare_combos_stored": combos(NAMED_SQL, ("dark", "49-80", "Economy", "o"), ("Dark", "h50-60", "MEDIUM", "f", None)),
     "compare_share": COMPARE_S + f"""SELECT name, {share('raw_score')} AS score_share, {share('uses')} AS use_share,
 {share('first')} AS win_share, {share('inv')} AS place_share FROM (SELECT *, greatest(4 - avg_place, 0.0) AS inv FROM cmp)""",
     "hidden_gems": WITH + f"""SELECT blade, ratchet, bit, uses, round(w, 6) AS win_rate, round(score / uses, 6) AS avg_score,
@@ -497,3 +498,6 @@ dd AS (SELECT deck_id, round(sum(overall) / 3, 6) AS overall,
 SELECT deck_id, overall, {_deck_tier((80, 65, 50, 35, 20))} AS tier, meta_coverage, diversity, consistency, upside, surprise,
 coalesce(nullif(concat_ws(', ', {_STRENGTHS}), ''), CASE WHEN has_any THEN 'tested' ELSE 'new combinations' END) AS strengths,
 concat_ws(', ', {_WEAKNESSES}) AS weaknesses, concat_ws(', ', {_ADVICE}) AS advice FROM dd"""
+ORACLE_SQL["gems_underused_as_of"] = (
+    ORACLE_SQL["gems_underused"].replace(WITH, as_of("1998-06-30", "ASIA"), 1).replace("ru <= 5000", "ru <= 5")
+)

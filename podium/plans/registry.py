@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eras3": _of(discovery.eras3),
     "gem_stats": _of(discovery.gem_stats),
     "gems_underused": _of(discovery.gems_underused, max_recent=5000, min_win_rate=0.1),
+    "gems_underused_as_of": _of(discovery.gems_underused, as_of="1998-06-30", region="ASIA", min_win_rate=0.1),
     "gems_forgotten": _of(discovery.gems_forgotten),
     "gems_rising": _of(discovery.gems_rising, max_uses=60),
     "gems_counter_meta": _of(discovery.gems_counter_meta),
@@ -111,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_combos_named": _named(
         comparisons.compare_combos, ("dark", "h1-80", "Economy"), ("Dark", "H1-80", "ECONOMY", "o")
     ),
+    "compare_combos_stored": _named(
+        comparisons.compare_combos, ("dark", "49-80", "Economy", "o"), ("Dark", "h50-60", "MEDIUM", "f", None)
+    ),
     "blade_cards": _of(summaries.blade_cards),
     "rank_combos_as_of": _of(rankings.rank_combos, as_of="1998-06-30"),
     "rank_combos_region": _of(rankings.rank_combos, region="ASIA"),
