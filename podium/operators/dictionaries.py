@@ -148,6 +148,40 @@ def replaced_words(rows: DataFrame, names: Dictionary, column: str, *, kind: str
     return out.withColumn(column, F.coalesce(F.col(f"`{new}`"), F.col(column))).drop(key, new)
 
 
+# -- the normaliser -----------------------------------------------------------------------------------------------
+
+
+def rewrites(rules: DataFrame, *, most: int = 1_000_000) -> Dictionary:
+    """The ordered rules (kind, step, written, name) as one dictionary that has what all of them together make of a name: later
+    rules see what earlier ones made. Rules of one kind follow each other by `step`; a text is rewritten by one rule of a step,
+    the one whose name sorts first. Up to `most` rules are folded on the driver."""
+    spark = rules.sparkSession
+    rows = rules.groupBy("kind", "step", "written").agg(F.min("name").alias("name")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    made: dict[tuple[str, str], str] = {}
+    steps: dict[tuple[str, int], list] = {}
+    for r in rows:
+        steps.setdefault((r["kind"], r["step"]), []).append(r)
+    for _, own in sorted(steps.items(), reverse=True):  # the later steps are known
+        new = {(r["kind"], r["written"]): made.get((r["kind"], r["name"]), r["name"]) for r in own}
+        made.update(new)
+    out = spark.createDataFrame([(k, w, n) for (k, w), n in made.items()], "kind string, written string, name string")
+    return dictionary(out)
+
+
+def normalised(rows: DataFrame, names: Dictionary, columns: dict[str, str]) -> DataFrame:
+    """The rows with the columns rewritten by the rules of their kinds ({column: kind}), and `fixes`, how many of them changed."""
+    before = {c: fresh(rows, f"_before_{c}") for c in columns}
+    fixes = fresh(rows, "_fixes")
+    out = rows.withColumns({held: F.col(c) for c, held in before.items()})
+    for column, kind in columns.items():
+        out = lookup(out, names, kind, [F.col(column)], column, F.col(column))
+    changed = sum((F.when(~F.col(c).eqNullSafe(F.col(held)), 1).otherwise(0) for c, held in before.items()), F.lit(0))
+    total = changed + (F.col("fixes") if "fixes" in rows.columns else F.lit(0))
+    return out.withColumn(fixes, total).drop("fixes", *before.values()).withColumnRenamed(fixes, "fixes")
+
+
 # -- series by the dimension of parts -----------------------------------------------------------------------------
 
 
@@ -228,10 +262,23 @@ def _source_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("source", "code", "bit").agg(F.count("*").alias("n"))
 
 
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage rewritten by chains of rules: a brand becomes the next one up to a multiple of five; of two rules for bits the
+    second is too early to see what the first made."""
+    rows = usage(spark, sf_dir)
+    number = F.regexp_extract("blade", r"(\d+)", 1).cast("int")
+    brands = rows.select("blade", number.alias("step")).distinct().filter("step % 5 <> 0")
+    rules = brands.select(F.lit("blade").alias("kind"), "step", F.col("blade").alias("written"), F.concat(F.lit("Brand#"), F.col("step") + 1).alias("name"))
+    bits = spark.createDataFrame([("bit", 2, "ECONOMY", "SMALL"), ("bit", 1, "SMALL", "LARGE"), ("bit", 3, "MEDIUM", None)], rules.schema)
+    out = normalised(rows, rewrites(rules.union(bits)), {"blade": "blade", "bit": "bit", "lock_chip": "chip"})
+    return out.groupBy("blade", "bit", "fixes").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ing_translate_tables": _translated_lines,
     "ing_translate_words": _event_words,
     "ing_bit_by_source": _source_bits,
+    "ing_normalise_tables": _normalised,
 }
 
 
@@ -266,4 +313,11 @@ SELECT DISTINCT tournament_id, title, word, CAST(read AS INTEGER) AS read FROM t
     "ing_bit_by_source": f"""WITH l AS (SELECT {_texts(_CODES)}[l_partkey % {len(_CODES)} + 1] AS code, ['de', 'jp', 'wbo'][l_orderkey % 3 + 1] AS source FROM lineitem)
 SELECT source, code, CASE source WHEN 'de' THEN {_case('upper(code)', catalog.BITS_BY_SOURCE['de'], 'upper(code)')}
   WHEN 'jp' THEN {_case('code', catalog.BITS_BY_SOURCE['jp'], 'code')} ELSE {_case('code', catalog.BITS, 'code')} END AS bit, count(*) AS n FROM l GROUP BY ALL""",
+    "ing_normalise_tables": f"""WITH {USAGE_SQL}, b AS (SELECT blade, CAST(regexp_extract(blade, '[0-9]+') AS INTEGER) AS k FROM (SELECT DISTINCT blade FROM u)),
+-- the chain from a brand goes on while the next one is there too
+c AS (SELECT blade, k, (SELECT min(y.k) FROM b y WHERE y.k >= b.k AND (y.k % 5 = 0 OR NOT EXISTS (SELECT 1 FROM b z WHERE z.k = y.k + 1))) AS e FROM b),
+n AS (SELECT blade, CASE WHEN e % 5 = 0 THEN 'Brand#' || e ELSE 'Brand#' || (e + 1) END AS new FROM c),
+r AS (SELECT new AS blade, CASE bit WHEN 'ECONOMY' THEN 'SMALL' WHEN 'SMALL' THEN 'LARGE' ELSE bit END AS bit,
+      CASE WHEN new <> u.blade THEN 1 ELSE 0 END + CASE WHEN bit IN ('ECONOMY', 'SMALL') THEN 1 ELSE 0 END AS fixes FROM u JOIN n ON n.blade = u.blade)
+SELECT blade, bit, fixes, count(*) AS n FROM r GROUP BY ALL""",
 }

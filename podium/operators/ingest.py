@@ -201,13 +201,9 @@ def with_names(rows: DataFrame, combo: str = "combo") -> DataFrame:
 
 def folded(rules: dict[str, str]) -> dict[str, str]:
     """One map for an ordered list of rewrites: later rules see what earlier ones made."""
-    steps = list(rules.items())
-    out = {}
-    for i, (key, value) in enumerate(steps):
-        for later, target in steps[i + 1 :]:
-            if later == value:
-                value = target
-        out.setdefault(key, value)
+    out: dict[str, str] = {}
+    for key, value in reversed(list(rules.items())):  # what is known so far are the rules that come later
+        out[key] = out.get(value, value)
     return out
 
 
