@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import small_batches, whole_text
+from podium.llm.common import shielded, small_batches, whole_text
 
 END = "</w>"
 #: White space of Unicode, which the vocabulary's normaliser folds and its word pattern leaves out (fixed values).
@@ -231,10 +231,11 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
                 first = i
 
     small_batches(docs.sparkSession)
+    docs, back = shielded(docs, "_bpe_text")
     held = [c for c in docs.columns if c not in ("ids", "decoded")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(held).schema)
     rows = docs.select(*held, F.coalesce(F.col(text), F.lit("")).alias("_bpe_text"))
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, decoded string")
+    return back(rows.mapInArrow(run, f"{schema}, ids array<int>, decoded string"))
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:

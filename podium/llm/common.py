@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +55,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among `columns`."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with columns of these names, which an operator uses inside, called otherwise, and what names them back."""
+    taken = {c for c in df.columns if c.lower() in names}
+    moved = {c: fresh([*df.columns, *names], f"_own_{c}") for c in taken}
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({new: c for c, new in moved.items()})
+
+
 class Tables:
     """Intermediate tables of one run, in the shared folder; each can be dropped once no later plan reads it."""
 

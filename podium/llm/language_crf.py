@@ -6,8 +6,8 @@ between neighbouring words are learned with them. Forward-backward gives each wo
 of a code-switched text are labelled one by one (`label_words`); a text's language is the one with the largest share.
 
 The tables are fitted by gradient ascent on the likelihood of a bounded sample: about `fit_rows` labelled documents of
-each language, chosen by a hash of the id among all of them; of a text longer than `fit_chars` characters a drawn piece of
-that length stands for it. As labelled texts are in one language each, chains of two to four stretches of different texts
+each language, or as many as have about `fit_chars` characters together, chosen by a hash of the id among all of them; texts are
+whole, and any length is equally likely. As labelled texts are in one language each, chains of two to four stretches of different texts
 are added to them, one for every two texts, from which the switches are learned. Every other step covers all documents and
 whole texts. A document is rejected for words that no language explains, not for holding several languages.
 Forward-backward is exact for any length: chains are cut into pieces whose transfer matrices are multiplied first, so memory
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import held_out, small_batches
+from podium.llm.common import held_out, shielded, small_batches
 
 _U = np.uint64
 BITS = 16
@@ -226,33 +226,34 @@ def fit(
     return model
 
 
-def _piece(size: int) -> Column:
-    """The text, or `size` characters of a longer one: at a drawn position, or from its first letter if none is there."""
-    text = F.col("text")
-    at = F.pmod(F.xxhash64("doc_id", text, F.lit("piece")), F.length("text") - size + 1).cast("int") + 1
-    drawn = F.substring(text, at, F.lit(size))
-    first = F.substring(text, F.length(F.regexp_extract("text", "^[^\\p{L}]*", 0)) + 1, F.lit(size))
-    return F.when(F.length("text") <= size, text).when(drawn.rlike("\\p{L}"), drawn).otherwise(first)
-
-
-def train(docs: DataFrame, *, fit_rows: int = 250, fit_chars: int = 20_000, keep: Column | None = None) -> Model | None:
-    """A model from the labelled documents that `keep` allows."""
+def train(docs: DataFrame, *, fit_rows: int = 250, fit_chars: int = 5_000_000, keep: Column | None = None) -> Model | None:
+    """A model from whole labelled documents that `keep` allows: of each language about `fit_rows`, or as many as have about
+    `fit_chars` characters together where that is fewer, and its shortest one in any case."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     if keep is not None:
         known = known.filter(keep)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    name = F.xxhash64("doc_id", "text", F.lit("fit"))
+    shortest = F.min(F.struct(F.length("text").alias("n"), name.alias("name")))["name"]
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), shortest.alias("one"))
+    counts = {r["lang"]: r for r in sizes.collect()}  # a row for each language
     if not counts:
         return None
-    # the share of each language that gives about fit_rows rows, drawn by the id's hash
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    rows = known.filter(draw < share[F.col("lang")]).select("lang", F.lower(_piece(fit_chars)).alias("text"))
+    # the share of each language that gives about so many rows or characters, drawn by the id's hash
+    table = lambda of: F.create_map(*[x for lang, r in counts.items() for x in (F.lit(lang), F.lit(of(r)))])[F.col("lang")]
+    share = table(lambda r: min(1.0, fit_rows / r["n"], fit_chars / r["chars"]))
+    draw = F.pmod(name, F.lit(1_000_003)) / 1_000_003
+    rows = known.filter((draw < share) | (name == table(lambda r: r["one"]))).select("lang", F.lower("text").alias("text"))
     return fit(spliced(sorted((r["lang"], r["text"]) for r in rows.collect())), sorted(counts))
 
 
+#: Columns that are made inside, whatever the documents' own are called.
+_INNER = ("_lid", "_lang", "_score", "_sure")
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs`, lang_pred and score (the share of the text's words in that language)."""
-    return _predicted(docs, model).drop("_sure")
+    docs, back = shielded(docs, *_INNER)
+    return back(_predicted(docs, model).drop("_sure"))
 
 
 def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -331,17 +332,20 @@ def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
                 [*rest.columns, pa.array(out, pa.list_(fields))], names=[*rest.schema.names, "word_langs"]
             )
 
+    docs, back = shielded(docs, "_lid")
     held = [c for c in docs.columns if c != "word_langs"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(held).schema)
     rows = docs.select(*held, F.concat(F.lower("text"), F.lit(" ")).cast("binary").alias("_lid"))
-    return rows.mapInArrow(label, f"{schema}, word_langs {kind}")
+    return back(rows.mapInArrow(label, f"{schema}, word_langs {kind}"))
 
 
 def identify(docs: DataFrame, *, reject_below: float = 0.5, **training) -> DataFrame:
     """The documents whose words were recognised, in one language or several, with all their columns: no `und`, and no
     mean probability of the words' best languages under the limit."""
-    found = _predicted(docs, train(docs, **training))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("_sure") >= reject_below)).select(docs.columns)
+    own, back = shielded(docs, *_INNER, "lang_pred", "score")
+    found = _predicted(own, train(docs, **training))
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("_sure") >= reject_below))
+    return back(found.select(own.columns)).select(docs.columns)
 
 
 def op9_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import rolling as R
-from podium.llm.common import held_out, small_batches, whole_text, written
+from podium.llm.common import held_out, shielded, small_batches, whole_text, written
 
 _U = np.uint64
 ORDER = 5
@@ -408,8 +408,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     held = [c for c in docs.columns if c != "score"]
     if model is None:
         return docs.select(*held, F.lit(0.0).alias("score"))
-    rows = docs.select(*held, _padded(whole_text()).alias("_data"))
-    return _with_evidence(rows, model, True).withColumnRenamed("_new", "score")
+    docs, back = shielded(docs.select(held), "_data", "_new", "_chunk")
+    rows = docs.withColumn("_data", _padded(whole_text()))
+    return back(_with_evidence(rows, model, True).withColumnRenamed("_new", "score"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
