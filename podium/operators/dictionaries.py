@@ -256,7 +256,7 @@ def _source_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sorted({*catalog.BITS, *[x for own in catalog.BITS_BY_SOURCE.values() for x in own], "zz", "fb"})
     pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        pick(codes, F.col("l_partkey")).alias("code"), pick(["de", "jp", "wbo"], F.col("l_orderkey")).alias("source")
+        pick(codes, F.col("l_partkey")).alias("code"), pick(["de", "jp", "en"], F.col("l_orderkey")).alias("source")
     )
     out = expanded_bits(rows.withColumn("bit", F.concat(F.lit(" "), "code")), dictionary(standard(spark)))
     return out.groupBy("source", "code", "bit").agg(F.count("*").alias("n"))
@@ -310,7 +310,7 @@ t AS (SELECT tournament_id, region || ' ' || {_texts([*catalog.EVENT_WORDS.value
   || CASE WHEN days // 7 % 2 = 0 THEN '(Semi-Finals)' ELSE '・Finals戦' END AS title, {_texts([*catalog.PLACE_WORDS, "4位"])}[place % 7 + 1] AS word,
   [{", ".join(map(str, catalog.PLACE_WORDS.values()))}, NULL][place % 7 + 1] AS read FROM d)
 SELECT DISTINCT tournament_id, title, word, CAST(read AS INTEGER) AS read FROM t""",
-    "ing_bit_by_source": f"""WITH l AS (SELECT {_texts(_CODES)}[l_partkey % {len(_CODES)} + 1] AS code, ['de', 'jp', 'wbo'][l_orderkey % 3 + 1] AS source FROM lineitem)
+    "ing_bit_by_source": f"""WITH l AS (SELECT {_texts(_CODES)}[l_partkey % {len(_CODES)} + 1] AS code, ['de', 'jp', 'en'][l_orderkey % 3 + 1] AS source FROM lineitem)
 SELECT source, code, CASE source WHEN 'de' THEN {_case('upper(code)', catalog.BITS_BY_SOURCE['de'], 'upper(code)')}
   WHEN 'jp' THEN {_case('code', catalog.BITS_BY_SOURCE['jp'], 'code')} ELSE {_case('code', catalog.BITS, 'code')} END AS bit, count(*) AS n FROM l GROUP BY ALL""",
     "ing_normalise_tables": f"""WITH {USAGE_SQL}, b AS (SELECT blade, CAST(regexp_extract(blade, '[0-9]+') AS INTEGER) AS k FROM (SELECT DISTINCT blade FROM u)),

@@ -105,9 +105,9 @@ def test_words_and_places(spark):
 
 def test_bits_by_source(spark):
     names = dictionaries.dictionary(dictionaries.standard(spark))
-    rows = [("fb", "de"), ("RA", "de"), ("RA", "jp"), ("W", "jp"), ("RA", "wbo"), ("fb", "wbo"), (" FB ", None), ("zz", "de"), (None, "de")]
+    rows = [("fb", "de"), ("RA", "de"), ("RA", "jp"), ("W", "jp"), ("RA", "en"), ("fb", "en"), (" FB ", None), ("zz", "de"), (None, "de")]
     got = dictionaries.expanded_bits(spark.createDataFrame(rows, "bit string, source string"), names).collect()
-    want = [("de", "Free Ball"), ("de", "Rush Accel"), ("jp", "RA"), ("jp", "W"), ("wbo", "Rubber Accel"), ("wbo", "fb"), (None, "Free Ball"), ("de", "ZZ"), ("de", None)]
+    want = [("de", "Free Ball"), ("de", "Rush Accel"), ("jp", "RA"), ("jp", "W"), ("en", "Rubber Accel"), ("en", "fb"), (None, "Free Ball"), ("de", "ZZ"), ("de", None)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
