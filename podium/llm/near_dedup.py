@@ -6,8 +6,9 @@ that is the original) and one drawn anew for every band, so a bucket of n member
 candidate's signatures are compared batch by batch, and it is pruned as soon as the posterior probability of reaching the
 threshold (uniform prior, so a Beta posterior) falls under the chosen miss probability. Survivors are verified on their
 full shingle sets. Components of the verified links then show which buckets still hold more than one component. Members
-of different components are compared there in blocks, by the same pruning and on full sets, and what a block returns is
-only the links that join components, so no pair that shares a bucket is left unsettled and none is written out twice.
+of different components are compared there in blocks: first signatures alone, by the same pruning, then the full sets of the
+members that still have a partner. What two blocks return is only the links that join components, so no pair that shares a
+bucket is left unsettled and none is written out twice.
 
 With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 1e-7 (1.5e-5 at 0.8).
 
@@ -237,30 +238,51 @@ def _open_buckets(bands: DataFrame, labels: DataFrame, classes: DataFrame) -> Da
     return rows.join(sized.groupBy("key").agg(blocks.alias("blocks")), "key").select("key", "id", "component", "blocks")
 
 
-def _open_links(rows: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int, limits) -> DataFrame:
-    """Links (a, b) between different components of a bucket; each block returns at most one fewer than its members.
-
-    A bucket's members are dealt to blocks by their id, and every two blocks meet once. Signatures are compared first; only
-    members with a partner that is not pruned have their text read.
-    """
+def _dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, x, y, id, component, own, sig): the members of open buckets, dealt to blocks by their id; every two blocks of a
+    bucket meet once, as x and y."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).join(texts, "id").join(classes.select("id", "sig"), "id").withColumn("other", other)
-    dealt = dealt.select(
-        "key",
-        F.least("own", "other").alias("x"),
-        F.greatest("own", "other").alias("y"),
-        "id",
-        "component",
-        "own",
-        "sig",
-        "data",
-    )
+    dealt = rows.withColumn("own", own).join(classes.select("id", "sig"), "id").withColumn("other", other)
+    x, y = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    return dealt.select("key", x, y, "id", "component", "own", "sig")
+
+
+def _partners(table, limits):
+    """For each member of block x that has any: its place and the places of members of block y, in other components, that no
+    batch of signatures prunes."""
+    sig, own = _matrix(table["sig"].combine_chunks()), table["own"].to_numpy()
+    x, y = table["x"][0].as_py(), table["y"][0].as_py()
+    _, part = np.unique(table["component"].to_numpy(), return_inverse=True)
+    right = np.flatnonzero(own == y)
+    for i in np.flatnonzero(own == x).tolist():
+        to = right[part[right] != part[i]]
+        to = to if x != y else to[to > i]
+        to = to[_surviving(np.broadcast_to(sig[i], (len(to), SIZE)), sig[to], limits)]
+        if len(to):
+            yield i, to[np.argsort(-(sig[to] == sig[i]).sum(axis=1), kind="stable")], part
+
+
+def _partnered(dealt: DataFrame, limits) -> DataFrame:
+    """The rows of two blocks that have a partner in them; only signatures are read."""
+
+    def keep(table):
+        held = np.zeros(table.num_rows, dtype=bool)
+        for i, to, _ in _partners(table, limits):
+            held[i] = True
+            held[to] = True
+        return table.filter(pa.array(held))
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(keep, dealt.schema)
+
+
+def _open_links(partnered: DataFrame, texts: DataFrame, shingle: int, percent: int, limits) -> DataFrame:
+    """Links (a, b) between different components of a bucket, verified on full sets; two blocks that meet return at most one
+    fewer than their members."""
+    dealt = partnered.join(texts, "id")
 
     def compare(table):
-        ids, own_block = table["id"].to_pylist(), table["own"].to_numpy()
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        data = table["data"].combine_chunks()
+        ids, data = table["id"].to_pylist(), table["data"].combine_chunks()
         held: dict[int, np.ndarray] = {}
 
         def shingles(i):
@@ -268,17 +290,9 @@ def _open_links(rows: DataFrame, texts: DataFrame, classes: DataFrame, shingle:
                 held[i] = next(_sets(data.slice(i, 1), shingle))[1]
             return held[i]
 
-        sig = _matrix(table["sig"].combine_chunks())
-        _, part = np.unique(table["component"].to_numpy(), return_inverse=True)
-        right = np.flatnonzero(own_block == y)
         a, b = [], []
-        for i in np.flatnonzero(own_block == x).tolist():
-            to = right[part[right] != part[i]]
-            to = to if x != y else to[to > i]
-            if not len(to):
-                continue
-            to = to[_surviving(np.broadcast_to(sig[i], (len(to), SIZE)), sig[to], limits)]
-            for j in to[np.argsort(-(sig[to] == sig[i]).sum(axis=1), kind="stable")].tolist():
+        for i, to, part in _partners(table, limits):
+            for j in to.tolist():
                 if part[j] == part[i]:
                     continue
                 p, q = shingles(i), shingles(j)
@@ -329,9 +343,10 @@ def near_duplicates(
     links = _verify(first, docs, shingle, percent, broadcast_ids)
     labels = written(components(links), "labels")
     rows = written(_open_buckets(bands, labels, classes), "open")
-    if not rows.isEmpty():
-        texts = _texts(docs, rows.select("id"), broadcast_ids)
-        more = written(_open_links(rows, texts, classes, shingle, percent, limits), "links")
+    near = None if rows.isEmpty() else written(_partnered(_dealt(rows, classes), limits), "partnered")
+    if near is not None and not near.isEmpty():
+        texts = _texts(docs, near.select("id"), broadcast_ids)
+        more = written(_open_links(near, texts, shingle, percent, limits), "links")
         if not more.isEmpty():
             labels = _joined(labels, more)
     # rows that share an id are one document, whatever sets they have
@@ -344,13 +359,13 @@ def near_duplicates(
     of_class = member.join(final, member["rep"] == final["id"], "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component")
     )
-    out = sigs.select("doc_id", "h1", "h2", "n_shingles").join(of_class, ["h1", "h2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    out = out.withColumn("component", F.when(~alone, F.col("component")))
-    smallest = out.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(smallest, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows without a set or an id share no key with others, and take no part in the joins
+    base, linked = sigs.select("doc_id", "h1", "h2", "n_shingles"), (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = base.filter(linked).join(of_class, ["h1", "h2"])
+    smallest = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = out.join(smallest, "component").select("doc_id", "n_shingles", "component_id")
+    out = out.union(base.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
