@@ -14,7 +14,7 @@ one gram are a run of starts, and a node is such a run or a piece of it.
 
 Members are counted by partial aggregates and looked up by joins on identifiers, so no bucket meets in one task. What is
 broadcast is counted first, and shuffled beyond `broadcast_nodes`. Each intermediate table is dropped once the next stands.
-Content is compared by 128-bit names, and a document is named by 64 bits of its id and text beside its id.
+Content is compared by 128-bit names (what they are made of is up to the shape), and a document is named by 64 bits of its id and text beside its id.
 """
 
 from __future__ import annotations
@@ -50,10 +50,14 @@ class Shape:
         """The greatest distance of a window's start from its gram."""
         return self.window - self.q
 
+    def text(self, offsets: np.ndarray, data: np.ndarray) -> Text:
+        """What names the stretches of some documents."""
+        return Text(self, offsets, data)
 
-def refine(ids: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Bucket identifiers refined by the names of bytes at earlier and later offsets."""
-    return R.mix(ids * _U(0x9FB21C651E98DF25) + R.mix(before ^ _U(0x2545F4914F6CDD1D)) + R.mix(after * _U(0xD6E8FEB86659FD93)))
+    def refine(self, ids: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Bucket identifiers refined by the names of what stands before and after."""
+        before, after = R.mix(before ^ _U(0x2545F4914F6CDD1D)), R.mix(after * _U(0xD6E8FEB86659FD93))
+        return R.mix(ids * _U(0x9FB21C651E98DF25) + before + after)
 
 
 class Text:
@@ -72,6 +76,14 @@ class Text:
         size = (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
         return R.mix(R.range_hash(self.sums[half], start, end, 1 + half) + (size ^ _U(half)))
 
+    def before(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of what stands before a core that starts at `end`."""
+        return self.name(start, end)
+
+    def after(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of what stands after a core that ends at `start`."""
+        return self.name(start, end)
+
 
 def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A node in one integer: its gram's place, its distances lo to hi from it, and 1 for one place, 2 for more."""
@@ -91,9 +103,9 @@ def _node_batch(row, code, c, h1, h2, w) -> pa.RecordBatch:
 
 def _named(text: Text, shape: Shape, p, lo, hi, c, low, top) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of all bytes of nodes, whose core (of starts low to top) has the identifier c."""
-    before = text.name(p - hi, p - low)
-    after = text.name(p - top + shape.window, p - lo + shape.window)
-    return refine(c, before, after), text.name(p - hi, p - lo + shape.window, 1)
+    before = text.before(p - hi, p - low)
+    after = text.after(p - top + shape.window, p - lo + shape.window)
+    return shape.refine(c, before, after), text.name(p - hi, p - lo + shape.window, 1)
 
 
 def _owned(text: Text, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +132,7 @@ def _owned(text: Text, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _texts(shape: Shape, column: pa.Array):
     """The texts of an Arrow column of binary in runs of about 300 kB, with the row number of the first."""
     for first, offsets, data in R.batches(column, 300_000):
-        yield first, Text(shape, offsets, data)
+        yield first, shape.text(offsets, data)
 
 
 def gram_sketch(rows: DataFrame, shape: Shape, bits: int) -> sketch.Bits:
@@ -185,9 +197,8 @@ def refined_nodes(rows: DataFrame, shape: Shape, width: int, last: int) -> DataF
                 # the core of the bucket in the round before, and what the refined core has beyond it
                 was_low = lo // last * last
                 was_top = np.minimum(was_low + last - 1, shape.room)
-                c = refine(
-                    c, text.name(p - low, p - was_low), text.name(p - was_top + shape.window, p - top + shape.window)
-                )
+                before = text.before(p - low, p - was_low)
+                c = shape.refine(c, before, text.after(p - was_top + shape.window, p - top + shape.window))
                 h1, h2 = _named(text, shape, p, lo, hi, c, low, top)
                 yield _node_batch(keys[first + doc], packed(p - offsets[doc], lo, hi, w), c, h1, h2, w)
 
