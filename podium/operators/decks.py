@@ -55,13 +55,25 @@ def rate_combos(
     decks: DataFrame, usage: DataFrame, *, as_of: datetime.date | str | None = None, region: str | None = None
 ) -> DataFrame:
     """Six sub-scores of every (deck_id, blade, ratchet, bit) row; combos without data are rated by their parts."""
-    return _rated(decks, scope(usage, as_of, region)).drop("_meta")
+    rated = _in_decks(decks, _rated(decks.select(*COMBO).distinct(), scope(usage, as_of, region)).drop("_meta"))
+    return rated.select("deck_id", *COMBO, *[c for c in rated.columns if c not in ("deck_id", *COMBO)])
 
 
-def _rated(decks: DataFrame, usage: DataFrame) -> DataFrame:
-    """rate_combos and _meta; the usage is read once for the combos, once for all parts and once for the leaders."""
+COMBO = ("blade", "ratchet", "bit")
+
+
+def _in_decks(decks: DataFrame, rated: DataFrame) -> DataFrame:
+    """The ratings of every combo of every deck; a missing part is a value like others."""
+    named = rated.withColumnsRenamed({c: f"_of_{c}" for c in COMBO})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in COMBO]
+    return decks.select("deck_id", *COMBO).join(named, same).drop(*[f"_of_{c}" for c in COMBO])
+
+
+def _rated(combos: DataFrame, usage: DataFrame) -> DataFrame:
+    """Ratings of distinct combos, and _meta; a combo is rated once, in however many decks it is. The usage is read once for
+    the combos, once for all parts and once for the leaders."""
     rows = shown(scored(usage, SITE))
-    key = ["blade", "ratchet", "bit"]
+    key = list(COMBO)
     place, days = F.col("place"), F.col("days")
     own = rows.groupBy(*key).agg(
         total("ws").alias("_score"),
@@ -70,7 +82,7 @@ def _rated(decks: DataFrame, usage: DataFrame) -> DataFrame:
         total("p", days.between(0, 27)).alias("_late"),
         total("p", days.between(28, 55)).alias("_early"),
     )
-    out = decks.join(own, key, "left").crossJoin(F.broadcast(_top_parts(rows))).crossJoin(F.broadcast(_meta(usage)))  # one row each
+    out = combos.join(own, key, "left").crossJoin(F.broadcast(_top_parts(rows))).crossJoin(F.broadcast(_meta(usage)))  # one row each
     for part in key:
         figures = F.try_element_at(F.col(f"_{part}s"), F.col(part))
         out = out.withColumns({f"{part}_rate": figures["rate"], f"{part}_uses": figures["uses"]})
@@ -114,7 +126,6 @@ def _rated(decks: DataFrame, usage: DataFrame) -> DataFrame:
         "trend": F.when(has, trend_score).otherwise(50.0),
     }
     out = out.select(
-        "deck_id",
         "_meta",
         *key,
         has.alias("has_data"),
@@ -137,11 +148,16 @@ def rate_decks(
     decks: DataFrame, usage: DataFrame, *, as_of: datetime.date | str | None = None, region: str | None = None
 ) -> DataFrame:
     """Deck scores: overall, meta coverage, diversity, consistency, upside, surprise, tier, named strengths and weaknesses."""
-    combos = _rated(decks, scope(usage, as_of, region))
+    combos = _rated(decks.select(*COMBO).distinct(), scope(usage, as_of, region))
     leaders = F.array_distinct(F.transform(F.slice("_meta", 1, 10), lambda m: m["blade"]))
     combos = combos.withColumns(
-        {"_leads": F.array_contains(leaders, F.col("blade")), "_top": F.least(F.size(leaders), F.lit(3))}
+        {
+            "_leads": F.array_contains(leaders, F.col("blade")),
+            "_first": F.col("blade") == F.get(leaders, F.lit(0)),
+            "_top": F.least(F.size(leaders), F.lit(3)),
+        }
     )
+    combos = _in_decks(decks, combos.drop("_meta"))
     # a deck has three combos, so its parts fit in a set and the rows need not be expanded for each distinct count
     kinds = lambda c: F.size(F.collect_set(c)).cast("bigint")
     tier_in = lambda *names: count_if(F.col("tier").isin(*names))
@@ -160,7 +176,7 @@ def rate_decks(
         F.max("is_rising").alias("_rising"),
         tier_in("S", "A").alias("_strong"),
         tier_in("D", "F", "?").alias("_weak"),
-        F.max(F.col("blade") == F.get(leaders, F.lit(0))).alias("_leader"),
+        F.max("_first").alias("_leader"),
         F.min(F.struct(F.round(F.col("meta_score") + F.col("consistency_score"), 4).alias("s"), "tier"))["tier"].alias("_worst"),
     )
     coverage = F.coalesce("overlap", F.lit(0)) / F.greatest("top_blades", F.lit(1)) * 50 + F.col("picks") / 3 * 50

@@ -36,3 +36,21 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_decks_that_share_combos(spark, sf_dir):
+    """A combo in many decks, twice in one, of unknown parts or without a part is rated alike wherever it is."""
+    from podium.operators import decks
+    from podium.sources.orders_adapter import usage
+
+    rows = usage(spark, sf_dir)
+    known = registry.deck_table(spark, sf_dir).select("blade", "ratchet", "bit").orderBy("blade", "ratchet", "bit").first()
+    combos = [tuple(known), ("Nothing", "0-00", "None"), (None, "0-00", None)]
+    table = spark.createDataFrame(
+        [(d, *c) for d in ("x", "y") for c in combos] + [("z", *combos[0])] * 3, "deck_id string, blade string, ratchet string, bit string"
+    )
+    rated = decks.rate_combos(table, rows).collect()
+    assert len(rated) == 9 and len({tuple(r)[1:] for r in rated}) == 3
+    assert sorted(r.has_data for r in rated) == [False] * 4 + [True] * 5
+    found = {r.deck_id: tuple(r)[1:] for r in decks.rate_decks(table, rows).collect()}
+    assert set(found) == {"x", "y", "z"} and found["x"] == found["y"] != found["z"]
