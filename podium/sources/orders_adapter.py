@@ -13,11 +13,28 @@ from podium.sources.commits import file_system
 from podium.sources.tables import shared_dir
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem", "part")
+#: Rows that one task sorts when the fact is built, and rows of a table that every task may hold. Files tell little of either:
+#: repeated values take next to no place in them.
+TASK_ROWS, HELD_ROWS = 300_000, 500_000
+
+
+def _cut(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """The `n` rows by key, in as many parts as keep each to about TASK_ROWS, however large the files' splits are."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *key)
+
+
+def _joined(rows: DataFrame, n: int, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """The `n` rows with those of a table that is broadcast up to HELD_ROWS rows (counted), and shuffled beyond, a hash table a part."""
+    if (m := other.count()) <= HELD_ROWS:
+        return rows.join(F.broadcast(other), F.col(key) == F.col(other_key))
+    return _cut(rows, max(n, m), key).join(_cut(other, max(n, m), other_key).hint("shuffle_hash"), F.col(key) == F.col(other_key))
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, tournament_id, tournament_date, region, place, player_name, source) of every order."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    orders = read("orders")
+    n = orders.count()
     people = (
         read("customer")
         .join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -26,9 +43,9 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     week = F.date_trunc("week", "o_orderdate").cast("date")
     order = Window.partitionBy("tournament_date", "region").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     return (
-        read("orders")
-        .join(people, F.col("o_custkey") == F.col("c_custkey"))
+        _joined(orders, n, "o_custkey", people, "c_custkey")
         .select(
             "o_orderkey",
             "o_totalprice",
@@ -93,13 +110,16 @@ def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_extendedprice"
     )
-    lines = lines.withColumn("slot", F.row_number().over(slot)).filter("slot <= 3")
+    n = lines.count()
+    # dealt before they are sorted: a limit of the window's groups would sort each split of the file whole
+    lines = _cut(lines, n, "l_orderkey").withColumn("slot", F.row_number().over(slot)).filter("slot <= 3")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size")
     flag, size = F.col("l_returnflag"), F.col("p_size")
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    placed = _cut(placements(spark, sf_dir), n, "o_orderkey").hint("shuffle_hash")
+    lines = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(placements(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+        _joined(lines, n, "l_partkey", parts, "p_partkey")
         .select(
             "tournament_id",
             "tournament_date",
