@@ -57,8 +57,9 @@ def loaded(spark: SparkSession, sf_dir: str) -> str:
     path = f"{tables.shared_dir(spark)}/log-{uuid.uuid4().hex}"
     rows = usage(spark, sf_dir).withColumnRenamed("tournament_date", "date").drop("series")
     rows = rows.withColumn("post_id", F.concat_ws("_", "source", "tournament_id"))
-    # equal rows of one placement are different slots of its deck
-    same = Window.partitionBy("post_id", "place", "player_name", *COMBO, "stage").orderBy(F.lit(1))
+    # equal rows of one placement are different slots of its deck; a post has one source, date and region, which are named so
+    # that the filters below reach the scan, and no commit numbers rows that it leaves out
+    same = Window.partitionBy("post_id", "source", "date", "region", "place", "player_name", *COMBO, "stage").orderBy(F.lit(1))
     rows = rows.withColumn("slot", F.row_number().over(same))
     late = F.col("date") >= "1995-06-01"
     tables.append_events(rows.filter(~late), path, partials=daily)

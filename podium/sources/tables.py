@@ -75,6 +75,7 @@ def append_events(
     """
     spark, replaced = rows.sparkSession, list(replaced)
     staged, clear = _staged(once_per_key(rows, key))
+    cleared = [clear]
     try:
         keys, name, seen = commits.Keys(staged, key), None, set()
         while True:
@@ -87,7 +88,10 @@ def append_events(
                 if name is not None:
                     commits.drop_files(spark, path, name)
                 near = tuple(keys.may_be_in(spark, path, base.batches))
-                marked = _marked(staged, commits.read(spark, path, at=replace(base, batches=near)) if near else None, key)
+                loaded = commits.read(spark, path, at=replace(base, batches=near)) if near else None
+                events, clear_events = _staged(_events(staged, loaded, key))
+                cleared.append(clear_events)
+                marked = _marked(staged, events, key)
                 counts = [tuple(r) for r in marked.groupBy("status").agg(F.count_distinct(key).alias("n")).collect()]
                 new = marked.filter("status = 'added'").drop("status")
                 new = new.filter("place IS NOT NULL") if "place" in new.columns else new
@@ -102,18 +106,28 @@ def append_events(
                 break
         return spark.createDataFrame(counts, "status string, n long")
     finally:
-        clear()
+        for clear in cleared:
+            clear()
 
 
-def _marked(rows: DataFrame, loaded: DataFrame | None, key: str) -> DataFrame:
-    """Rows with their event's status."""
-    placed = F.max(F.col("place").isNotNull()).over(Window.partitionBy(key)) if "place" in rows.columns else F.lit(True)
-    status = F.when(F.col("date").isNull(), "no_date").when(~placed, "no_placements").otherwise("added")
-    rows = rows.withColumn("status", status)
+def _events(rows: DataFrame, loaded: DataFrame | None, key: str) -> DataFrame:
+    """(_key, _placed, _old) of every key: whether one of its rows has a place, and whether it is loaded."""
+    placed = F.max(F.col("place").isNotNull()) if "place" in rows.columns else F.max(F.lit(True))
+    events = rows.groupBy(F.col(key).alias("_key")).agg(placed.alias("_placed"))
     if loaded is None:
-        return rows
-    known = loaded.select(key).distinct().withColumn("_old", F.lit(True))
-    return rows.join(known, key, "left").withColumn("status", F.when(F.col("_old"), "exists").otherwise(F.col("status"))).drop("_old")
+        return events.withColumn("_old", F.lit(False))
+    known = loaded.select(F.col(key).alias("_key")).distinct().withColumn("_old", F.lit(True))
+    return events.join(known, "_key", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+
+
+def _marked(rows: DataFrame, events: DataFrame, key: str, *, broadcast_keys: int = 200_000) -> DataFrame:
+    """Rows with their event's status; `events` are stored, and broadcast up to `broadcast_keys` of them (counted)."""
+    if events.count() <= broadcast_keys:
+        events = F.broadcast(events)
+    status = F.when(F.col("_old"), "exists").when(F.col("date").isNull(), "no_date")
+    status = status.when(~F.col("_placed"), "no_placements").otherwise("added")
+    rows = rows.join(events, F.col(key).eqNullSafe(F.col("_key"))).withColumn("status", status)
+    return rows.drop("_key", "_placed", "_old")
 
 
 def replace_source(rows: DataFrame, path: str, *, key: str | None = None, partials=None) -> None:
