@@ -151,41 +151,41 @@ def dictionary(docs: DataFrame, size: int = 1000) -> list[str]:
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
-    """The findings with the forest's inputs."""
+    """The findings with the forest's inputs, of whole values however long."""
     v, near = F.col("value"), F.col("near")
-    head = F.substring(v, 1, 400)  # of a key block the first characters are enough; other values are no longer
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "2")
-    letters = F.array_remove(F.split(head, ""), "")
-    size = F.length(head)
-    share = lambda c: (size - F.length(F.replace(head, c))) / size
-    entropy = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    runs = F.regexp_extract_all(F.lower(head), F.lit("([a-z]{4,})"), 1)
-    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    covered = F.aggregate(F.filter(runs, lambda r: F.array_contains(known, r)), F.lit(0), lambda a, r: a + F.length(r))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "2")
+    # runs of equal characters of the sorted value: its different characters and how often each is there, in one sort
+    sorted_v = F.array_join(F.array_sort(F.split(v, "")), "")
+    letters = F.regexp_extract_all(sorted_v, F.lit("((?s:(.))\\2*+)"), 1)
+    size = F.length(v)
+    share = lambda run: F.length(run) / size
+    entropy = F.aggregate(letters, F.lit(0.0), lambda a, run: a - share(run) * F.log2(share(run)))
+    runs = F.regexp_extract_all(F.lower(v), F.lit("([a-z]{4,})"), 1)
+    covered = F.aggregate(F.filter(runs, lambda r: r.isin(words)), F.lit(0), lambda a, r: a + F.length(r))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return found.select(
         "*",
-        F.least(F.length(v), F.lit(400)).cast("double").alias("length"),
-        (_count(head, "[0-9]") / size).alias("digits"),
-        (_count(head, "[A-Z]") / size).alias("upper"),
-        (_count(head, "[a-z]") / size).alias("lower"),
-        (_count(head, "[^A-Za-z0-9]") / size).alias("other"),
+        size.cast("double").alias("length"),
+        (_count(v, "[0-9]") / size).alias("digits"),
+        (_count(v, "[A-Z]") / size).alias("upper"),
+        (_count(v, "[a-z]") / size).alias("lower"),
+        (_count(v, "[^A-Za-z0-9]") / size).alias("other"),
         (F.length(F.regexp_replace(classes, "(.)\\1*", "$1")) / size).alias("runs"),
         (_count(classes, "0(?=[12])|[12](?=0)") / size).alias("letter_digit"),
         (_count(classes, "1(?=2)|2(?=1)") / size).alias("case_change"),
         (_count(classes, "(.)(?=\\1)") / size).alias("same_class"),
-        (F.size(F.array_distinct(letters)) / size).alias("distinct"),
+        (F.size(letters) / size).alias("distinct"),
         entropy.alias("entropy"),
-        flag(head.rlike("^[0-9a-f-]+$") & head.rlike("[a-f]")).alias("hex"),
-        (_count(F.lower(head), "[aeiou]") / size).alias("vowels"),
+        flag(v.rlike("^[0-9a-f-]+$") & v.rlike("[a-f]")).alias("hex"),
+        (_count(F.lower(v), "[aeiou]") / size).alias("vowels"),
         (covered / size).alias("dictionary"),
         flag(F.col("kind").isin(list(FORMATS))).alias("format"),
         flag(near.rlike(_KEY) | near.rlike("(?i)bearer")).alias("keyed"),
         flag(near.rlike("[=:][ \\t\"'`]*$")).alias("assigned"),
         flag(near.rlike("[\"'`]$")).alias("quoted"),
-        flag(F.concat_ws(" ", near, head, "after").rlike(EXAMPLE_WORD)).alias("example"),
+        flag(F.concat_ws(" ", near, v, "after").rlike(EXAMPLE_WORD)).alias("example"),
         flag(near.rlike(SUM_WORD)).alias("sums"),
-        flag(head.rlike("[(\\[{$]|^[a-z_]+\\.[a-z_.]+$|^[A-Z_]+$")).alias("code"),
+        flag(v.rlike("[(\\[{$]|^[a-z_]+\\.[a-z_.]+$|^[A-Z_]+$")).alias("code"),
         flag(F.col("kind") == "address_password").alias("address"),
         flag(F.col("kind").isin("private_key", "signed_token")).alias("block"),
         flag(F.col("path").rlike("(?i)\\.(py|js|ts|java|go|rb|php|ya?ml|json|env|ini|cfg|sh|tf)$")).alias("path_code"),
@@ -213,11 +213,13 @@ def labelled_snippets(spark: SparkSession, words: list[str], *, rows: int = 8_00
     phrase = F.concat(word("a"), pick("p", "!", "#", "7", "-", "_", "$9"), word("b"), pick("q", "!", "42", "", "99"))
     c = F.concat
     token = lambda salt, n: F.when(draw("lc" + salt, 2) == 0, F.lower(mixed(salt, n))).otherwise(mixed(salt, n))
-    # blocks of 2 to 60 lines, and values of up to 680 characters
+    # blocks of 2 to 60 lines, and values of 80 to 10,000 characters in either class, as many of each power of two: a block is
+    # never told by its length alone
     hashed = lambda i: F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(seed + "line"), i.cast("string")), 512)
     line = lambda i: F.substring(F.translate(F.base64(F.unhex(hashed(i))), "+/=\r\n", ""), 1, 64)
     block = F.array_join(F.transform(F.sequence(F.lit(1), draw("lines", 59) + 2), line), "\n")
-    long = F.substring(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(11)), line), ""), F.lit(1), draw("long", 600) + 80)
+    most = (draw("long", 80) + 80) * pick("longer", 1, 2, 4, 8, 16, 32, 64)
+    long = F.substring(F.array_join(F.transform(F.sequence(F.lit(1), (most / 64).cast("int") + 2), line), ""), F.lit(1), most)
     # words that no corpus counts among its frequent ones
     part = lambda salt: pick(salt, "ba", "cor", "del", "fu", "gran", "hor", "li", "mos", "ne", "pal", "ric", "ste", "tu", "vor")
     rare = lambda salt: F.concat(part(salt), part(salt + "1"), pick(salt + "2", "", "se", "ple", "ry", "ct"))
@@ -307,7 +309,8 @@ def scored(found: DataFrame, forest: Model | None) -> DataFrame:
 def _scan(docs: DataFrame, path: str, snippets: DataFrame | None, fit_rows: int, threshold: float) -> DataFrame:
     words = dictionary(docs)
     if snippets is None:
-        snippets = labelled_snippets(docs.sparkSession, words, rows=fit_rows)
+        # written: else the expressions of all templates would be part of each plan that reads the snippets
+        snippets = written(labelled_snippets(docs.sparkSession, words, rows=fit_rows), "snippets")
     found = written(features(candidates(docs, path), words), "candidates")
     out = scored(found, train(snippets, words))
     return out.withColumn("secret", F.col("score") >= threshold)
