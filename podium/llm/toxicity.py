@@ -21,6 +21,7 @@ besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,7 +118,8 @@ def shared_backoff(grams: DataFrame, order: int, discount: float = 0.75) -> Data
         lower = F.lit(1 / 256)
     else:
         suffix = F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1)
-        shorter = grams.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left"))
+        # written: each order reads its n-grams three times, so unwritten plans would double with every order
+        shorter = written(grams.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left")), "suffixes")
         shorter = shared_backoff(shorter, order - 1, discount).toDF("suffix", "lower")
         rows = rows.withColumn("suffix", suffix).join(shorter, "suffix")
         lower = F.col("lower")
@@ -141,8 +143,9 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum((F.col("t") > 0).cast("long")).alias("nt"),
         F.sum((F.col("o") > 0).cast("long")).alias("no"),
     )
-    per_suffix = counts.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left"))
-    shared = shared_backoff(per_suffix, ORDER - 1).withColumnRenamed("gram", "suffix")
+    per_context = written(per_context, "contexts")
+    per_suffix = written(counts.groupBy(suffix.alias("gram")).agg(F.count("*").alias("left")), "suffixes")
+    shared = written(shared_backoff(per_suffix, ORDER - 1), "backoff").withColumnRenamed("gram", "suffix")
 
     def weight(c: str) -> Column:
         return F.when(F.col(f"c{c}") > 0, discount[c] * F.col(f"n{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0))
@@ -276,10 +279,10 @@ def _column(found: list[np.ndarray], model: Model, as_score: bool) -> pa.Array:
     return new.cast(pa.list_(pa.float64()))
 
 
-def _with_evidence(rows: DataFrame, model: Model, as_score: bool) -> DataFrame:
-    """`rows` (with binary `_data`) and score, or the evidence as an array."""
+def _evidence_of(rows: DataFrame, model: Model, as_score: bool) -> tuple[DataFrame, Callable[[], None]]:
+    """`rows` (with binary `_data`) and score, or the evidence as an array; and what frees the model once that is computed."""
     if isinstance(model.grams, DataFrame):
-        return _joined_evidence(rows, model, as_score)
+        return _joined_evidence(rows, model, as_score), lambda: None
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -296,7 +299,7 @@ def _with_evidence(rows: DataFrame, model: Model, as_score: bool) -> DataFrame:
             )
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, _schema(rows, as_score))
+    return rows.mapInArrow(run, _schema(rows, as_score)), shared.destroy
 
 
 def _schema(rows: DataFrame, as_score: bool) -> str:
@@ -383,7 +386,6 @@ def train(
     present = counts.agg(*[F.coalesce(F.max(f"n{k}"), F.lit(0)) for k in GROUPS]).first()
     if not present[0] + present[2] or not present[1] + present[3]:
         return None
-    model = _model(class_counts(counts, 0, 1), broadcast_grams)
     share = min(1.0, fit_rows / max(1, labelled))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
     rows = text.filter(drawn).select("label", "half", _padded(F.col("text")).alias("_data"))
@@ -392,12 +394,16 @@ def train(
         if not present[2 * half] or not present[2 * half + 1]:
             continue  # a half without both classes judges nothing
         other = _model(class_counts(counts, half), broadcast_grams)
-        judged = _with_evidence(rows.filter(F.col("half") == 1 - half).drop("half"), other, False).toArrow()
+        judged, release = _evidence_of(rows.filter(F.col("half") == 1 - half).drop("half"), other, False)
+        judged = judged.toArrow()
+        release()  # the driver holds one model at a time
+        del other
         found.append(np.array(judged["_new"].to_pylist()).reshape(-1, len(SPANS) + 2))
         truth.append(judged["label"].to_numpy().astype(float))
     if not found or not 0 < sum(y.sum() for y in truth) < sum(map(len, truth)):
         return None
     x, y = np.concatenate(found), np.concatenate(truth)
+    model = _model(class_counts(counts, 0, 1), broadcast_grams)
     model.scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-9])
     model.weights = _logistic((x - model.scale[0]) / model.scale[1], y, len(SPANS) + 1)
     return model
@@ -410,7 +416,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select(*held, F.lit(0.0).alias("score"))
     docs, back = shielded(docs.select(held), "_data", "_new", "_chunk")
     rows = docs.withColumn("_data", _padded(whole_text()))
-    return back(_with_evidence(rows, model, True).withColumnRenamed("_new", "score"))
+    return back(_evidence_of(rows, model, True)[0].withColumnRenamed("_new", "score"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
