@@ -65,6 +65,25 @@ def test_units_are_the_librarys():
         assert ids.tolist() == want.ids, text
 
 
+def test_units_are_cut_where_pieces_end():
+    # signs after a word and a line end before one do not make units of their own: the library sees each part once
+    units = token_files.Units(token_files.vocabulary_path())
+    units.encode(["a the, b the. c the;\nThe d the"])
+    assert " the" in units.known and not {" the,", " the.", " the;\nThe"} & units.known.keys()
+    texts = ["x.\nY", "x.\n\nY", "x\ny\nz", "a\n b", "é!\u2028 ", "it's'll x'", "a<|endoftext|>b, <|endoftext|", "\x01a,\x02b.\n\x01", "x²,3", ""]
+    texts += ["".join(map(chr, range(1, 0x250))) + " the,"]  # no low character is left to mark ends by
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in units.encode(texts)] == want
+
+
+def test_blocks_too_long_are_refused():
+    longest = id_coder.LONGEST + 1
+    with pytest.raises(ValueError):
+        id_coder.encode(np.zeros((1, longest), np.uint32), np.array([longest]))
+    with pytest.raises(ValueError):
+        id_coder.decode([id_coder.HEAD.pack(id_coder.MAGIC, longest, 0, 0)])
+
+
 def test_token_files(spark, tmp_path):
     rows = [(9, "the end <|endoftext|> of it"), (3, None), (5, ""), (7, "word " * 900), (7, "word " * 900), (7, "other"),
             (None, "no id"), (1, "ünïcode\n\n  text"), (-4, "long tail, " * 300)]
