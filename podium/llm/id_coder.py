@@ -34,6 +34,8 @@ RIGHT, TRIED, STRIDE = np.array([0.01, 0.3, 0.5, 0.65, 0.75, 0.82, 0.87, 0.92]),
 #: What an entry gains by a miss and by a hit, by how sure it was; after a miss, those under 2 name the new id instead.
 SURE = np.arange(8)
 GAIN = np.concatenate([np.where(SURE < 2, 0, -(SURE + 1 >> 1)), np.minimum(SURE + 1, 7) - SURE])
+#: Lanes whose order 0 the encoder counts at once.
+STEP = 256
 #: Parts of 2**16 that an escape gets at least, and beyond that at most.
 ESCAPE, MOST_ESCAPE = 256, 65_000
 
@@ -130,8 +132,8 @@ class _Ranks:
         # ids and their places in one number, so that a plain sort is enough
         kind = np.uint64 if ids.dtype.itemsize > 2 else np.uint32
         places = np.arange(longest, dtype=kind)
-        for at in range(0, lanes, 256):
-            ordered = ids[at : at + 256].astype(kind)
+        for at in range(0, lanes, STEP):
+            ordered = ids[at : at + STEP].astype(kind)
             ordered <<= kind(16)
             ordered |= places
             ordered.sort(axis=1)
@@ -139,7 +141,7 @@ class _Ranks:
             ordered >>= kind(16)
             rank = np.zeros(ordered.shape, np.int32)
             np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1, out=rank[:, 1:])
-            np.put_along_axis(self.rank[at : at + 256], order, rank, 1)
+            np.put_along_axis(self.rank[at : at + STEP], order, rank, 1)
         self.ranks = int(self.rank.max()) + 1
         self.rank += np.arange(lanes, dtype=np.int32)[:, None] * self.ranks
         self.distinct = np.zeros(lanes, np.int64)
@@ -147,14 +149,21 @@ class _Ranks:
 
     def upto(self, since: int, t: int, until: int) -> np.ndarray:
         """Count the ids from `since` to `t` too; first place << 16 | count, time by lane, of the ids from `t` to `until`."""
-        self.seen += np.bincount(self.rank[:, since:t].ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+        lanes = len(self.rank)
+        out = np.empty((until - t, lanes), np.int32)
+        # some lanes at a time, whose counts fit a core's cache
+        for at in range(0, lanes, STEP):
+            seen, rank = self.seen[at : at + STEP], self.rank[at : at + STEP]
+            counted = rank[:, since:t] - at * self.ranks
+            seen += np.bincount(counted.ravel(), minlength=seen.size).reshape(seen.shape)
+            both = np.cumsum(seen, axis=1, dtype=np.int32)
+            both -= seen
+            both <<= 16
+            both |= seen
+            out[:, at : at + STEP] = both.take(rank[:, t:until] - at * self.ranks).T
         before, self.distinct = self.distinct, np.count_nonzero(self.seen, axis=1)
         self.escape = _escape(self.distinct, t, before, since)
-        both = np.cumsum(self.seen, axis=1, dtype=np.int32)
-        both -= self.seen
-        both <<= 16
-        both |= self.seen
-        return np.ascontiguousarray(both.take(self.rank[:, t:until]).T)
+        return out
 
 
 class _Counts:
@@ -221,8 +230,9 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     if longest > LONGEST:
         raise ValueError(f"a block has {LONGEST} ids at most")
     wide = bool((ids > 0xFFFF).any())
-    ranks = _Ranks(ids.astype(np.uint32 if wide else np.uint16))
     crcs = [zlib.crc32(row[:n].astype("<u4").tobytes()) for row, n in zip(ids, lengths)]
+    ids = ids.astype(np.uint32 if wide else np.uint16)
+    ranks = _Ranks(ids)
     ids = np.ascontiguousarray(ids.T)
     model, coder = _Mixture(lanes, wide), _Writer(lanes, (2 + wide) * longest + 8)
     counted = until = 0

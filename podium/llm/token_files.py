@@ -55,7 +55,7 @@ class Units:
     The first `most` that a worker meets stay known; frequent ones are among them.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
@@ -133,8 +133,7 @@ class Units:
         merged = self.library.model.tokenize
         for i, name in zip(single, spelled):
             found[i] = array("I", [token.id for token in merged(name)]).tobytes()
-        if len(self.known) < self.most:
-            self.known.update([(pieces[i], found[i]) for i in new])
+        self.known.update([(pieces[i], found[i]) for i in new[: max(self.most - len(self.known), 0)]])
         return found
 
 
